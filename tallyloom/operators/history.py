@@ -160,3 +160,16 @@ def joint_coverage(df: DataFrame, count_field: str, history_field: str) -> DataF
     return a.select(F.inline(F.array(*[
         F.struct(F.lit(k).alias("coverage_category"), F.col(k).alias("entity_count"),
                  F.round(ratio(F.col(k) * 100, F.col("total")), 6).alias("percentage")) for k in cells])))
+
+
+def integrity_rows(sources: dict[str, DataFrame], key: str) -> DataFrame:
+    """Row, key and duplicate counts of every source, one row per (source, metric)."""
+    out = None
+    for name, df in sources.items():
+        per = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        n = F.col("n")
+        a = per.agg(F.sum(n).alias("source_row_count"), F.count(n).alias("unique_key_count"),
+                    count_where(n > 1).alias("duplicated_key_count"), F.sum(n - 1).alias("duplicate_row_count"))
+        rows = a.unpivot([], a.columns, "metric", "value").select(F.lit(name).alias("source"), "metric", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out

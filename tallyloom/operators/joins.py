@@ -8,20 +8,24 @@ from ..functions import states as S
 from .longform import count_where
 
 HOT_KEYS = 1000
+SALTS = 64
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
     """Join rows to a table that is unique on ``key`` when some keys hold many rows.
 
     The most frequent keys (at most ``HOT_KEYS``, so every key with more than 0.1 % of the
-    rows is among them) meet a broadcast of at most ``HOT_KEYS`` rows and are never
-    shuffled; all other keys take an ordinary shuffle join.
+    rows is among them, and small enough to broadcast) are salted: their rows spread over
+    ``SALTS`` join partitions, and the one matching row is repeated that often.  The salt
+    is a hash of the row, so a retried task sends it to the same place.
     """
-    hot = left.where(F.col(key).isNotNull()).groupBy(key).count().orderBy(F.desc("count"), F.asc(key)).limit(HOT_KEYS).select(key)
-    hot_right = right.join(F.broadcast(hot), key, "left_semi")
-    near = left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(hot_right), key, how)
-    rest = left.join(F.broadcast(hot), key, "left_anti").join(right, key, how)
-    return near.unionByName(rest)
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    hot = counts.orderBy(F.desc("__n"), F.asc(key)).limit(HOT_KEYS).select(key, F.lit(True).alias("__hot"))
+    spread = F.when(F.col("__hot"), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(F.lit(0))
+    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = left.join(F.broadcast(hot), key, "left").withColumn("__salt", spread.cast("int")).drop("__hot")
+    copied = right.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+    return salted.join(copied, [key, "__salt"], how).drop("__salt")
 
 
 def align(spine: DataFrame, source: DataFrame, key: str) -> DataFrame:

@@ -28,6 +28,7 @@ def _offsets(ranged: DataFrame, by: list[str], sums: dict[str, Column]) -> DataF
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = w.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     cols = [F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(w).alias("__total")]
+    cols += [F.col(f"__s_{k}").alias(f"__here_{k}") for k in sums]
     for k in sums:
         cols.append(F.coalesce(F.sum(f"__s_{k}").over(before), F.lit(0)).alias(f"__b_{k}"))
         cols.append(F.sum(f"__s_{k}").over(w).alias(f"__t_{k}"))
@@ -80,17 +81,17 @@ def exact_quantiles(
     """
     freq = F.sum(weight) if weight else F.count(F.lit(1))
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(freq.alias("__f"))
-    ranged = range_partition(counts, by + [value])
-    sums = {"f": F.col("__f")}
+    return _quantiles(range_partition(counts, by + [value]), by, value, probs)
+
+
+def _quantiles(ranged: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Quantiles of range-tagged (group, value, ``__f``) rows."""
     n = F.col("__t_f")
-    spans = _offsets(ranged, by, sums).join(
-        ranged.groupBy(*by, RANGE).agg(F.sum("__f").alias("__here")), by + [RANGE]
-    )
     lows = {k: F.floor(F.lit(p) * (n - 1)) for k, p in probs.items()}
     highs = {k: F.ceil(F.lit(p) * (n - 1)) for k, p in probs.items()}
     wanted = F.array(*lows.values(), *highs.values())
-    hit = F.exists(wanted, lambda r: (r >= F.col("__b_f")) & (r < F.col("__b_f") + F.col("__here")))
-    spans = spans.where(hit).select(*by, RANGE, "__b_f", "__t_f")
+    hit = F.exists(wanted, lambda r: (r >= F.col("__b_f")) & (r < F.col("__b_f") + F.col("__here_f")))
+    spans = _offsets(ranged, by, {"f": F.col("__f")}).where(hit).select(*by, RANGE, "__b_f", "__t_f")
     w = Window.partitionBy(*by, RANGE).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
         ranged.join(spans, by + [RANGE])
@@ -118,23 +119,28 @@ SEVEN = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95
 def value_summary(df: DataFrame, by: list[str], value: str, probs: dict[str, float] | None = None) -> DataFrame:
     """Count, distinct count, min, quantiles, max and mean of the non-NULL values per group.
 
-    ``by`` must name at least one column; the value frequencies are computed once and used
-    for the moments and for the quantiles.
+    ``by`` must name at least one column.  The value frequencies are computed once, and the
+    moments and the quantiles both read the checkpoint of them.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("freq"))
-    return summary_of_counts(counts, by, value, "freq", probs)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__f"))
+    return _summary(counts, by, value, probs)
 
 
 def summary_of_counts(
     counts: DataFrame, by: list[str], value: str, freq: str, probs: dict[str, float] | None = None
 ) -> DataFrame:
     """``value_summary`` of a table that already holds one row per (group, value)."""
-    v, f = F.col(value), F.col(freq)
-    moments = counts.groupBy(*by).agg(
+    return _summary(counts.select(*by, value, F.col(freq).alias("__f")), by, value, probs)
+
+
+def _summary(counts: DataFrame, by: list[str], value: str, probs: dict[str, float] | None) -> DataFrame:
+    ranged = range_partition(counts, by + [value])
+    v, f = F.col(value), F.col("__f")
+    moments = ranged.groupBy(*by).agg(
         F.sum(f).alias("n"), F.count(F.lit(1)).alias("distinct"), F.min(v).alias("min"), F.max(v).alias("max"),
         (F.sum(v * f) / F.sum(f)).alias("mean"),
     )
-    return moments.join(exact_quantiles(counts, by, value, probs or SEVEN, freq), by, "left")
+    return moments.join(_quantiles(ranged, by, value, probs or SEVEN), by)
 
 
 def bounded_quantiles(value: Column, probs: list[float], frequency: Column) -> Column:
@@ -150,6 +156,15 @@ def top_frequencies(df: DataFrame, field: str, n: int) -> DataFrame:
     return head.withColumn("rank", F.row_number().over(w).cast("bigint"))
 
 
+def top_values(df: DataFrame, field: str, n: int) -> DataFrame:
+    """Most frequent values with their share of all rows and of the non-missing rows."""
+    totals = df.agg(F.count(F.lit(1)).alias("all"), F.count(field).alias("present")).first()  # two numbers
+    pct = lambda d: F.round(F.try_divide(F.col("row_count") * 100.0, F.lit(d)), 6)
+    return top_frequencies(df, field, n).select(
+        F.lit(field).alias("candidate"), F.col(field).alias("value"), "row_count",
+        pct(totals["all"]).alias("percentage_all"), pct(totals["present"]).alias("percentage_non_missing"), "rank")
+
+
 def top_per_group(freq: DataFrame, by: list[str], field: str, count: str, n: int) -> DataFrame:
     """Top ``n`` of a frequency table per group; Spark prunes each map task to ``n`` rows."""
     w = Window.partitionBy(*by).orderBy(F.desc(count), F.asc(field))
