@@ -84,8 +84,32 @@ def exact_quantiles(
     return _quantiles(range_partition(counts, by + [value]), by, value, probs)
 
 
+def order_statistics(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Neighbouring order statistics ``<name>_lo`` and ``<name>_hi`` of each quantile, and ``n``.
+
+    A monotone map of the values can be applied to them afterwards, so quantiles of several
+    monotone transforms need one pass only.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__f"))
+    row = _neighbours(range_partition(counts, by + [value]), by, value, probs)
+    cols = [F.col(f"__{tag}_{k}").alias(f"{k}_{tag}") for k in probs for tag in ("lo", "hi")]
+    return row.select(*by, F.col("__n").alias("n"), *cols)
+
+
+def interpolate(lo: Column | float, hi: Column | float, n: Column | float, p: float):
+    """Linear interpolation between neighbouring order statistics (columns only)."""
+    pos = F.lit(p) * (n - 1)
+    return lo + (hi - lo) * (pos - F.floor(pos))
+
+
 def _quantiles(ranged: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Quantiles of range-tagged (group, value, ``__f``) rows."""
+    row = _neighbours(ranged, by, value, probs)
+    n = F.col("__n")
+    return row.select(*by, *[interpolate(F.col(f"__lo_{k}"), F.col(f"__hi_{k}"), n, p).alias(k) for k, p in probs.items()])
+
+
+def _neighbours(ranged: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     n = F.col("__t_f")
     lows = {k: F.floor(F.lit(p) * (n - 1)) for k, p in probs.items()}
     highs = {k: F.ceil(F.lit(p) * (n - 1)) for k, p in probs.items()}
@@ -103,13 +127,7 @@ def _quantiles(ranged: DataFrame, by: list[str], value: str, probs: dict[str, fl
         for tag, rank in (("lo", lows[k]), ("hi", highs[k])):
             inside = (rank >= F.col("__start")) & (rank < F.col("__end"))
             picks.append(F.max(F.when(inside, F.col(value))).alias(f"__{tag}_{k}"))
-    row = placed.groupBy(*by).agg(*picks)
-    out = []
-    for k, p in probs.items():
-        pos = F.lit(p) * (F.col("__n") - 1)
-        lo, hi = F.col(f"__lo_{k}"), F.col(f"__hi_{k}")
-        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(k))
-    return row.select(*by, *out)
+    return placed.groupBy(*by).agg(*picks)
 
 
 # Names and levels of the quantile vectors in reports.

@@ -1,2 +1,2 @@
-from . import group_b, group_c, group_d, group_d2  # noqa: F401
+from . import group_b, group_c, group_d, group_d2, group_i  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -71,7 +71,7 @@ def _(t):
 _REASONS = {
     "debit_negative": "ad_debit_mean < 0", "income_zero": "t_income = 0", "deposit_missing": "ad_deposit_mean IS NULL",
     "all_three_present": "ad_debit_mean IS NOT NULL AND ad_deposit_mean IS NOT NULL AND ad_tax_count IS NOT NULL",
-    "rare_category": "t_kind = 'RARE'",
+    "rare_category": "t_kind LIKE 'R%'",
 }
 
 

@@ -109,7 +109,7 @@ SELECT o_orderkey AS case_id, o_orderkey AS base_order, CAST(o_orderdate AS DATE
             ELSE CAST(o_orderkey % 1009 AS DOUBLE) END AS ad_deposit_mean,
        CASE WHEN o_custkey % 7 = 2 THEN NULL ELSE CAST(o_orderkey % 6 AS DOUBLE) END AS ad_tax_count,
        CASE WHEN o_orderkey % 9 = 4 THEN NULL ELSE o_orderpriority END AS t_priority,
-       CASE WHEN md5(CAST(o_orderkey AS STRING)) < '002' THEN 'RARE' WHEN o_custkey % 2 = 0 THEN 'EVEN'
+       CASE WHEN md5(CAST(o_orderkey AS STRING)) < '010' THEN concat('R', CAST(o_custkey % 97 AS STRING)) WHEN o_custkey % 2 = 0 THEN 'EVEN'
             ELSE 'ODD' END AS t_kind,
        CAST(CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS has_debit,
        CAST(CASE WHEN o_custkey % 5 = 1 THEN 0 ELSE 1 END AS BIGINT) AS has_deposit,

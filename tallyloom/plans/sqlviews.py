@@ -176,3 +176,39 @@ def unique_sql() -> list[tuple[str, str, str, str]]:
 
 def quantiles_sql(value: str, probs: dict[str, float], digits: int = 6) -> str:
     return ", ".join(f"round(quantile_cont({value}, {p}), {digits}) AS {k}" for k, p in probs.items())
+
+# fitted preparation, stated over the training rows of the split
+NUM = ["t_age", "t_income", "t_dpd", "ad_debit_mean", "ad_debit_max", "ad_deposit_mean", "ad_tax_count"]
+MONEY = ["t_income", "ad_debit_mean", "ad_debit_max", "ad_deposit_mean"]
+LOGS = MONEY + ["t_dpd"]
+CLIP = ["ad_debit_mean", "ad_debit_max", "ad_deposit_mean"]
+
+
+def _clip(c: str) -> str:
+    return f"CASE WHEN {c} < 0 THEN 0e0 ELSE {c} END" if c in CLIP else c
+
+
+SQL_VIEWS["prep_cap"] = ("SELECT " + ", ".join(f"quantile_cont({_clip(c)}, 0.999) AS cap_{c}" for c in MONEY)
+                         + " FROM {split_rows} WHERE outer_split = 'train'")
+SQL_VIEWS["prep_capped"] = ("SELECT r.*, " + ", ".join(
+    (f"CASE WHEN {_clip(c)} > cap_{c} THEN cap_{c} ELSE {_clip(c)} END" if c in MONEY else c) + f" AS {c}__cap" for c in NUM)
+    + " FROM {split_rows} r CROSS JOIN {prep_cap} p")
+SQL_VIEWS["prep_logged"] = "SELECT *, " + ", ".join(
+    (f"ln(1 + {c}__cap)" if c in LOGS else f"{c}__cap") + f" AS {c}__log" for c in NUM) + " FROM {prep_capped}"
+SQL_VIEWS["prep_median"] = ("SELECT " + ", ".join(f"quantile_cont({c}__log, 0.5) AS med_{c}" for c in NUM)
+                            + " FROM {prep_logged} WHERE outer_split = 'train'")
+SQL_VIEWS["prep_filled"] = ("SELECT r.*, " + ", ".join(f"coalesce({c}__log, med_{c}) AS {c}__fill" for c in NUM)
+                            + " FROM {prep_logged} r CROSS JOIN {prep_median} p")
+SQL_VIEWS["prep_moment"] = ("SELECT " + ", ".join(f"avg({c}__fill) AS mean_{c}, stddev_pop({c}__fill) AS sd_{c}" for c in NUM)
+                            + " FROM {prep_filled} WHERE outer_split = 'train'")
+SQL_VIEWS["prep_scaled"] = ("SELECT r.*, " + ", ".join(f"({c}__fill - mean_{c}) / sd_{c} AS {c}__z" for c in NUM)
+                            + " FROM {prep_filled} r CROSS JOIN {prep_moment} p")
+
+
+def _level(c: str) -> str:
+    return (f"CASE WHEN {c} IS NULL THEN '__MISSING__' WHEN {c} IN (SELECT {c} FROM {{split_rows}} WHERE outer_split = 'train') "
+            f"THEN {c} ELSE '__UNSEEN__' END AS {c}__level")
+
+
+SQL_VIEWS["prep_levels"] = ("SELECT case_id, outer_split, validation_role, t_priority, t_kind, " + _level("t_priority") + ", "
+                            + _level("t_kind") + " FROM {split_rows}")
