@@ -102,3 +102,36 @@ def distribution_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     probs = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
     q = exact_quantiles(df, by, value, probs)
     return base.join(q.select(*by, *[F.round(k, 9).alias(k) for k in probs]), by)
+
+
+def subgroup_integrity(df: DataFrame, dimensions: dict[str, str]) -> DataFrame:
+    """Group sizes, shares, outcome rates and exclusions of every dimension."""
+    from pyspark.sql import Window
+
+    long = df.select("target", F.inline(F.array(*[
+        F.struct(F.lit(d).alias("dim"), F.col(c).alias("label")) for d, c in dimensions.items()])))
+    g = long.groupBy("dim", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("y"))
+    w = Window.partitionBy("dim")  # one row per group
+    n, y = F.col("n"), F.col("y")
+    g = g.withColumn("total", F.sum(n).over(w)).where(F.col("label").isNotNull()).withColumn("eligible", F.sum(n).over(w))
+    return g.select(
+        "dim", "label", n.alias("group_case_count"), F.round(ratio(n, F.col("eligible")), 9).alias("share_of_eligible"),
+        F.round(ratio(n, F.col("total")), 9).alias("share_of_population"), y.alias("positive_count"), F.round(ratio(y, n), 9).alias("observed_rate"),
+        F.col("eligible").alias("eligible_count"), (F.col("total") - F.col("eligible")).alias("excluded_count"))
+
+
+def score_audit(df: DataFrame, by: list[str], key: str, score: str, label: str) -> DataFrame:
+    """Validity counts, key uniqueness and exact quantiles of a score per group."""
+    from .history import LEVELS
+
+    p = F.col(score)
+    # unique keys: count per (group, key) first, then per group
+    per = df.groupBy(*by, key).agg(
+        F.count(F.lit(1)).alias("n"), count_where(p.isNull()).alias("miss"), count_where(p < 0).alias("lo"), count_where(p > 1).alias("hi"),
+        F.sum(label).alias("y"))
+    base = per.groupBy(*by).agg(
+        F.sum("n").alias("row_count"), F.count(key).alias("unique_keys"), F.sum("miss").alias("missing_count"), F.sum("lo").alias("below_zero"),
+        F.sum("hi").alias("above_one"), F.sum("y").alias("positive_count"))
+    s = value_summary(df, by, score, LEVELS)
+    return base.join(s, by).select(
+        *base.columns, F.round("min", 9).alias("minimum"), F.round("max", 9).alias("maximum"), *[F.round(k, 9).alias(k) for k in LEVELS])

@@ -189,3 +189,17 @@ def top_per_group(freq: DataFrame, by: list[str], field: str, count: str, n: int
     return freq.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).withColumn(
         "rank", F.col("rank").cast("bigint")
     )
+
+
+def even_sample(df: DataFrame, order: str, points: int) -> DataFrame:
+    """Rows at ``points`` evenly spaced positions of the order (first and last included)."""
+    r = running(df, [], [order])
+    last = F.col("n_rows") - 1
+    step = last / F.lit(float(points - 1))
+    pos = F.col("rn") - 1
+    near = F.floor(pos / step)  # candidate index; its neighbours cover rounding of the division
+    hit = F.lit(False)
+    for shift in (-1, 0, 1):
+        i = near + shift
+        hit = hit | ((i >= 0) & (i < points) & (F.floor(i * step) == pos))
+    return r.where(F.when(last <= points - 1, F.lit(True)).otherwise(hit)).withColumn("position", pos).drop("rn", "n_rows")

@@ -76,13 +76,13 @@ FROM {customer} WHERE c_custkey % 10 <> 9
 VIEWS["scores"] = """
 SELECT o_orderkey AS case_id, o_orderkey AS base_order, o_custkey AS owner,
        CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS BIGINT) AS target,
-       (200 + o_orderkey * 7919 % 4001) / 1e5 AS logit_t,
-       (200 + o_orderkey * 7907 % 3001 + CASE WHEN o_orderstatus = 'F' THEN o_orderkey * 31 % 2003 ELSE 0 END) / 1e5
+       (200 + o_orderkey * 7919 % 4001) / 99991e0 AS logit_t,
+       (200 + o_orderkey * 7907 % 3001 + CASE WHEN o_orderstatus = 'F' THEN o_orderkey * 31 % 2003 ELSE 0 END) / 99991e0
            AS logit_ad,
-       (200 + o_orderkey * 7901 % 401 * 10) / 1e5 AS trees_t,
-       (200 + o_orderkey * 7883 % 301 * 10 + CASE WHEN o_orderstatus = 'F' THEN 900 ELSE 0 END) / 1e5 AS trees_ad,
-       (250 + o_orderkey * 7879 % 5003) / 1e5 AS mlp_t,
-       (250 + o_orderkey * 7877 % 4003 + CASE WHEN o_orderstatus = 'F' THEN o_orderkey * 37 % 1009 ELSE 0 END) / 1e5
+       (200 + o_orderkey * 7901 % 401 * 10) / 99991e0 AS trees_t,
+       (200 + o_orderkey * 7883 % 301 * 10 + CASE WHEN o_orderstatus = 'F' THEN 900 ELSE 0 END) / 99991e0 AS trees_ad,
+       (250 + o_orderkey * 7879 % 5003) / 99991e0 AS mlp_t,
+       (250 + o_orderkey * 7877 % 4003 + CASE WHEN o_orderstatus = 'F' THEN o_orderkey * 37 % 1009 ELSE 0 END) / 99991e0
            AS mlp_ad,
        CASE WHEN o_custkey % 23 = 0 THEN NULL ELSE CAST(o_custkey % 6 AS DOUBLE) END AS account_count,
        CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE (o_custkey % 121) / 2e1 END AS history_years,

@@ -212,3 +212,75 @@ def _level(c: str) -> str:
 
 SQL_VIEWS["prep_levels"] = ("SELECT case_id, outer_split, validation_role, t_priority, t_kind, " + _level("t_priority") + ", "
                             + _level("t_kind") + " FROM {split_rows}")
+
+# counts and metrics per distinct score; by = comma separated group columns
+def metric_sql(source: str, by: str, score: str = "pd", digits: int = 9) -> str:
+    r = lambda e, k: f"round({e}, {digits}) AS {k}"
+    lim = "least(greatest(s, 2.220446049250313e-16), 1 - 2.220446049250313e-16)"
+    return f"""
+SELECT {by}, CAST(sum(n) AS BIGINT) AS sample_count, CAST(sum(pos) AS BIGINT) AS positive_count, CAST(sum(n - pos) AS BIGINT) AS negative_count,
+       {r('sum(pos) / sum(n)', 'observed_rate')}, {r('sum(s * n) / sum(n)', 'mean_pd')},
+       {r('sum(pos * (below + (n - pos) / 2.0::DOUBLE)) / nullif(sum(pos)::DOUBLE * sum(n - pos), 0)', 'roc_auc')},
+       {r('CASE WHEN sum(n - pos) > 0 THEN sum(pos * tp / fn::DOUBLE) / nullif(sum(pos), 0) END', 'average_precision')},
+       {r(f'sum(-(pos * ln({lim}) + (n - pos) * ln(1 - {lim}))) / sum(n)', 'log_loss')},
+       {r('sum(pos * (1 - s) * (1 - s) + (n - pos) * s * s) / sum(n)', 'brier_score')}, min(s) AS min_pd, max(s) AS max_pd,
+       CASE WHEN sum(pos) > 0 AND sum(n - pos) > 0 THEN 'PASS' ELSE 'PARTIAL_SINGLE_CLASS' END AS metric_status
+FROM (SELECT *, coalesce(sum(n - pos) OVER (PARTITION BY {by} ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS below,
+             sum(pos) OVER (PARTITION BY {by} ORDER BY s DESC)::DOUBLE AS tp, sum(n) OVER (PARTITION BY {by} ORDER BY s DESC)::DOUBLE AS fn
+      FROM (SELECT {by}, {score} AS s, count(*)::DOUBLE AS n, sum(target)::DOUBLE AS pos FROM {source} GROUP BY ALL) c) d
+GROUP BY {by}"""
+
+
+SQL_VIEWS["strata_long"] = " UNION ALL ".join(
+    f"SELECT dim, label, case_id, target, '{m}' AS model_id, {m} AS pd FROM {{strata}}" for m in MODELS)
+SQL_VIEWS["metric_overall"] = metric_sql("{scores_long}", "model_id")
+SQL_VIEWS["metric_strata"] = metric_sql("{strata_long}", "dim, label, model_id")
+
+
+def gain_sql(source: str, by: str = "") -> str:
+    on = " AND ".join(f"c.{b.strip()} = r.{b.strip()}" for b in by.split(",") if b.strip()) or "true"
+    sel = "".join(f"r.{b.strip()}, " for b in by.split(",") if b.strip())
+    return f"""SELECT {sel}split_part(r.model_id, '_', 1) AS algorithm_family, r.sample_count, round(c.roc_auc - r.roc_auc, 9) AS roc_auc_gain,
+        round(c.average_precision - r.average_precision, 9) AS average_precision_gain, round(r.log_loss - c.log_loss, 9) AS log_loss_gain,
+        round(r.brier_score - c.brier_score, 9) AS brier_gain, round(c.mean_pd - r.mean_pd, 9) AS mean_pd_change,
+        CASE WHEN r.metric_status = 'PASS' AND c.metric_status = 'PASS' THEN 'PASS' ELSE 'PARTIAL' END AS gain_status
+        FROM {source} r JOIN {source} c ON {on} AND r.model_id LIKE '%\\_t' ESCAPE '\\' AND c.model_id = replace(r.model_id, '_t', '_ad')
+            AND split_part(c.model_id, '_', 1) = split_part(r.model_id, '_', 1)"""
+
+
+SQL_VIEWS["pair_rank"] = """
+SELECT split_part(t.model_id, '_', 1) AS algorithm_family, t.case_id, t.target, t.n_rows AS n, t.pd AS pd_t, a.pd AS pd_ad, t.rn AS rn_t, a.rn AS rn_ad
+FROM {ranked} t JOIN {ranked} a ON a.case_id = t.case_id AND t.model_id LIKE '%\\_t' ESCAPE '\\' AND a.model_id LIKE '%\\_ad' ESCAPE '\\'
+     AND split_part(t.model_id, '_', 1) = split_part(a.model_id, '_', 1)
+"""
+SQL_VIEWS["pair_strata"] = """
+SELECT p.*, s.dim, s.label FROM {pair_rank} p JOIN (SELECT dim, label, case_id FROM {strata}) s ON s.case_id = p.case_id
+"""
+SQL_VIEWS["approval_points"] = """
+SELECT r.model_id, g.bp / 100e0 AS approval_rate_percent, g.bp IN (4000, 5000, 6000, 7000, 8000) AS is_display_point, r.rn AS approved_count,
+       r.n_rows - r.rn AS rejected_count, round(100 * r.rn / r.n_rows, 9) AS actual_approval_rate_percent, r.pd AS cutoff,
+       (SELECT min(pd) FROM {ranked} x WHERE x.model_id = r.model_id) AS approved_minimum, round(cum_pd / rn, 9) AS approved_mean_pd,
+       round(cum_pd, 6) AS expected_defaults, cum_y AS realised_defaults, rn - cum_y AS realised_non_defaults, round(cum_y / rn, 9) AS realised_default_rate
+FROM {ranked} r JOIN (SELECT CAST(unnest(generate_series(4000, 8000, 25)) AS BIGINT) AS bp) g ON r.rn = (r.n_rows * g.bp) // 10000
+"""
+SQL_VIEWS["budget_points"] = """
+SELECT b.*, r.pd, r.cum_pd, r.cum_y FROM (
+    SELECT m.model_id, g.u, m.n, (SELECT max(rn) FROM {ranked} x WHERE x.model_id = m.model_id AND x.cum_pd / x.rn <= g.u / 1e4) AS k
+    FROM (SELECT model_id, max(n_rows) AS n FROM {ranked} GROUP BY 1) m CROSS JOIN (SELECT CAST(unnest(generate_series(75, 200)) AS BIGINT) AS u) g) b
+LEFT JOIN {ranked} r ON r.model_id = b.model_id AND r.rn = b.k
+"""
+
+LOSSES = {2: "detailed_only", 5: "detailed_only", 10: "detailed_only", 20: "lower_loss_sensitivity", 30: "primary", 50: "higher_loss_sensitivity"}
+SQL_VIEWS["scenario_rows"] = " UNION ALL ".join(f"""
+SELECT model_id, {k}::BIGINT AS loss_ratio, 1e0 / {1 + k}e0 AS pd_threshold, '{role}' AS display_role, count(*) FILTER (WHERE ok) AS approved_count,
+       count(*) - count(*) FILTER (WHERE ok) AS rejected_count, round(100 * count(*) FILTER (WHERE ok) / count(*), 9) AS approval_rate_percent,
+       count(*) FILTER (WHERE ok AND target = 0) AS approved_non_defaults, count(*) FILTER (WHERE ok AND target = 1) AS approved_defaults,
+       round(count(*) FILTER (WHERE ok AND target = 1) / nullif(count(*) FILTER (WHERE ok), 0), 9) AS approved_default_rate,
+       round(avg(pd) FILTER (WHERE ok), 9) AS approved_mean_pd, round(coalesce(sum(1 - pd - pd * {k}) FILTER (WHERE ok), 0), 5) AS expected_value,
+       round(coalesce(sum(1 - pd - pd * {k}) FILTER (WHERE ok), 0) / count(*), 9) AS expected_value_per_case,
+       round(avg(1 - pd - pd * {k}) FILTER (WHERE ok), 9) AS expected_value_per_approved,
+       CAST(count(*) FILTER (WHERE ok AND target = 0) - {k} * count(*) FILTER (WHERE ok AND target = 1) AS DOUBLE) AS realised_value,
+       round((count(*) FILTER (WHERE ok AND target = 0) - {k} * count(*) FILTER (WHERE ok AND target = 1)) / count(*), 9) AS realised_value_per_case,
+       round((count(*) FILTER (WHERE ok AND target = 0) - {k} * count(*) FILTER (WHERE ok AND target = 1)) / nullif(count(*) FILTER (WHERE ok), 0), 9)
+           AS realised_value_per_approved, count(*) AS n_cases
+FROM (SELECT *, pd < 1e0 / {1 + k}e0 AS ok FROM {{scores_long}}) s GROUP BY model_id""" for k, role in LOSSES.items())
