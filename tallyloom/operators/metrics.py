@@ -49,7 +49,8 @@ def metrics_of(table: DataFrame, by: list[str], digits: int = 9) -> DataFrame:
         rounded(ratio(positives, count), "observed_rate"), rounded(F.col("mean_pd"), "mean_pd"),
         rounded(F.when(both, F.col("__wins") / (positives.cast("double") * negatives)), "roc_auc"),
         rounded(F.when(both, F.col("__ap") / positives), "average_precision"),
-        rounded(F.col("log_loss"), "log_loss"), rounded(F.col("brier_score"), "brier_score"), "min_pd", "max_pd",
+        rounded(F.col("log_loss"), "log_loss"), rounded(F.col("brier_score"), "brier_score"), rounded(F.col("min_pd"), "min_pd"),
+        rounded(F.col("max_pd"), "max_pd"),
         F.when(both, "PASS").otherwise("PARTIAL_SINGLE_CLASS").alias("metric_status"),
     )
 

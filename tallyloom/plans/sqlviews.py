@@ -223,7 +223,7 @@ SELECT {by}, CAST(sum(n) AS BIGINT) AS sample_count, CAST(sum(pos) AS BIGINT) AS
        {r('sum(pos * (below + (n - pos) / 2.0::DOUBLE)) / nullif(sum(pos)::DOUBLE * sum(n - pos), 0)', 'roc_auc')},
        {r('CASE WHEN sum(n - pos) > 0 THEN sum(pos * tp / fn::DOUBLE) / nullif(sum(pos), 0) END', 'average_precision')},
        {r(f'sum(-(pos * ln({lim}) + (n - pos) * ln(1 - {lim}))) / sum(n)', 'log_loss')},
-       {r('sum(pos * (1 - s) * (1 - s) + (n - pos) * s * s) / sum(n)', 'brier_score')}, min(s) AS min_pd, max(s) AS max_pd,
+       {r('sum(pos * (1 - s) * (1 - s) + (n - pos) * s * s) / sum(n)', 'brier_score')}, {r('min(s)', 'min_pd')}, {r('max(s)', 'max_pd')},
        CASE WHEN sum(pos) > 0 AND sum(n - pos) > 0 THEN 'PASS' ELSE 'PARTIAL_SINGLE_CLASS' END AS metric_status
 FROM (SELECT *, coalesce(sum(n - pos) OVER (PARTITION BY {by} ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS below,
              sum(pos) OVER (PARTITION BY {by} ORDER BY s DESC)::DOUBLE AS tp, sum(n) OVER (PARTITION BY {by} ORDER BY s DESC)::DOUBLE AS fn
@@ -284,3 +284,91 @@ SELECT model_id, {k}::BIGINT AS loss_ratio, 1e0 / {1 + k}e0 AS pd_threshold, '{r
        round((count(*) FILTER (WHERE ok AND target = 0) - {k} * count(*) FILTER (WHERE ok AND target = 1)) / nullif(count(*) FILTER (WHERE ok), 0), 9)
            AS realised_value_per_approved, count(*) AS n_cases
 FROM (SELECT *, pd < 1e0 / {1 + k}e0 AS ok FROM {{scores_long}}) s GROUP BY model_id""" for k, role in LOSSES.items())
+
+# ---------------------------------------------------------------- calibration
+
+SQL_VIEWS["cal"] = """
+SELECT s.* FROM {scores} s JOIN {split} p ON p.case_id = s.case_id WHERE p.validation_role = 'validation_calibration'
+"""
+SQL_VIEWS["cal_long"] = " UNION ALL ".join(f"SELECT case_id, target, '{m}' AS model_id, {m} AS pd FROM {{cal}}" for m in MODELS)
+SQL_VIEWS["cal_fold"] = """
+SELECT c.*, f.fold_id FROM {cal_long} c JOIN (
+    SELECT case_id, (row_number() OVER (PARTITION BY target ORDER BY md5(concat('folds|', case_id)), case_id) - 1) % 5 AS fold_id FROM {cal}) f
+ON f.case_id = c.case_id
+"""
+METHOD_SQL = {"identity": "pd", "logistic": "1 / (1 + exp(-(0.1::DOUBLE + 0.95::DOUBLE * ln(pd / (1 - pd)))))", "isotonic": "round(pd, 3)"}
+BOOT_MODELS = ("trees_t", "trees_ad")
+SQL_VIEWS["methods"] = " UNION ALL ".join(
+    f"SELECT case_id, target, model_id, '{m}' AS method, fold_id, {e} AS pd FROM {{cal_fold}} WHERE model_id IN {BOOT_MODELS}" for m, e in METHOD_SQL.items())
+SQL_VIEWS["boot"] = """
+SELECT d.r AS replicate_id, m.model_id, m.method, sum(c * -(m.target * ln(pd) + (1 - m.target) * ln(1 - pd))) / (SELECT count(*) FROM {cal}) AS log_loss,
+       sum(c * (pd - m.target) * (pd - m.target)) / (SELECT count(*) FROM {cal}) AS brier_score
+FROM (SELECT r, target, CAST('0x' || substr(md5(concat_ws('|', r, target, position)), 1, 8) AS BIGINT) % class_size AS position, count(*) AS c
+      FROM (SELECT target, row_number() OVER (PARTITION BY target ORDER BY case_id) - 1 AS position, count(*) OVER (PARTITION BY target) AS class_size FROM {cal}) p
+      CROSS JOIN range(0, 20) t(r) GROUP BY ALL) d
+JOIN (SELECT case_id, target, row_number() OVER (PARTITION BY target ORDER BY case_id) - 1 AS position FROM {cal}) q ON q.target = d.target AND q.position = d.position
+JOIN {methods} m ON m.case_id = q.case_id GROUP BY ALL
+"""
+SQL_VIEWS["boot_diff"] = """
+SELECT b.*, b.log_loss - i.log_loss AS log_loss_vs_identity, b.brier_score - i.brier_score AS brier_vs_identity
+FROM {boot} b JOIN {boot} i ON i.replicate_id = b.replicate_id AND i.model_id = b.model_id AND i.method = 'identity'
+"""
+SQL_VIEWS["metric_method"] = metric_sql("{methods}", "model_id, method", digits=15)
+SQL_VIEWS["guard"] = """
+SELECT m.model_id, m.method, m.log_loss AS oof_log_loss, m.brier_score - i.brier_score AS brier_change, s.se AS brier_se, m.roc_auc - i.roc_auc AS auc_change,
+       m.average_precision - i.average_precision AS ap_change, m.min_pd >= 0 AND m.max_pd <= 1 AS probability_valid,
+       m.method = 'identity' OR m.brier_score - i.brier_score <= s.se AS passes_brier,
+       CASE m.method WHEN 'identity' THEN true
+            WHEN 'logistic' THEN abs(m.roc_auc - i.roc_auc) <= 1e-10 AND abs(m.average_precision - i.average_precision) <= 1e-10
+            ELSE round(m.roc_auc - i.roc_auc, 12) >= -0.0005::DOUBLE AND round(m.average_precision - i.average_precision, 12) >= -0.0005::DOUBLE END AS passes_ranking
+FROM {metric_method} m JOIN {metric_method} i ON i.model_id = m.model_id AND i.method = 'identity'
+LEFT JOIN (SELECT model_id, method, stddev_samp(brier_vs_identity) AS se FROM {boot_diff} GROUP BY 1, 2) s ON s.model_id = m.model_id AND s.method = m.method
+"""
+SQL_VIEWS["best"] = """
+SELECT model_id, min_by(method, list_position(['identity', 'logistic', 'isotonic'], method)) AS reference_method
+FROM (SELECT *, min(oof_log_loss) OVER (PARTITION BY model_id) AS low FROM {guard} WHERE probability_valid AND passes_brier AND passes_ranking) g
+WHERE oof_log_loss <= low + 1e-12 GROUP BY model_id
+"""
+SQL_VIEWS["boot_ref"] = """
+SELECT b.*, x.reference_method, r.log_loss AS reference_log_loss, b.log_loss - r.log_loss AS log_loss_difference
+FROM {boot} b JOIN {best} x ON x.model_id = b.model_id JOIN {boot} r ON r.replicate_id = b.replicate_id AND r.model_id = b.model_id AND r.method = x.reference_method
+"""
+SQL_VIEWS["selection"] = """
+SELECT model_id, method, reference_method, oof_log_loss, CASE WHEN hard THEN delta END AS delta_log_loss, CASE WHEN hard THEN se END AS paired_se,
+       hard AS hard_admissible, eligible, eligible AND rn = 1 AS selected,
+       CASE WHEN NOT probability_valid THEN 'INVALID_FIT_OR_PROBABILITY' WHEN NOT hard THEN 'INELIGIBLE_HARD_CONSTRAINT' WHEN eligible AND rn = 1
+            THEN 'SELECTED_SIMPLEST_ELIGIBLE' WHEN eligible THEN 'ELIGIBLE_NOT_SIMPLEST' ELSE 'OUTSIDE_ONE_SE_BAND' END AS selection_reason
+FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY eligible DESC, list_position(['identity', 'logistic', 'isotonic'], method)) AS rn
+      FROM (SELECT *, coalesce(hard AND delta <= se + 1e-12, false) AS eligible
+            FROM (SELECT g.*, x.reference_method, g.probability_valid AND g.passes_brier AND g.passes_ranking AS hard, g.oof_log_loss - r.oof_log_loss AS delta,
+                         CASE WHEN g.method = x.reference_method THEN 0e0 ELSE e.se END AS se
+                  FROM {guard} g JOIN {best} x ON x.model_id = g.model_id JOIN {guard} r ON r.model_id = g.model_id AND r.method = x.reference_method
+                  LEFT JOIN (SELECT model_id, method, stddev_samp(log_loss_difference) AS se FROM {boot_ref} GROUP BY 1, 2) e
+                    ON e.model_id = g.model_id AND e.method = g.method) a) b) c
+"""
+
+
+def newton_sql(counts: str, by: str, steps: int = 9, slope: bool = True) -> str:
+    """Chain of CTEs p0 .. p<steps> with the Newton iterates of a logistic fit on the logit of pd."""
+    keys = [k.strip() for k in by.split(",")]
+    out = [f"z AS MATERIALIZED (SELECT {by}, n, pos, ln(pd) - ln(1 - pd) AS z FROM ({counts}) c)", f"p0 AS (SELECT {by}, ln(sum(pos) / sum(n - pos)){'' if slope else ' - sum(n * z) / sum(n)'} AS a, {'0e0' if slope else '1e0'} AS b FROM z GROUP BY {by})"]
+    on = " AND ".join(f"z.{k} = q.{k}" for k in keys)
+    sel = ", ".join(f"q.{k}" for k in keys)
+    for i in range(steps):
+        sums = (f"SELECT {sel}, q.a, q.b, sum(n * mu * (1 - mu)) AS s0, sum(n * mu * (1 - mu) * z) AS s1, sum(n * mu * (1 - mu) * z * z) AS s2, "
+                f"sum(pos - n * mu) AS r0, sum((pos - n * mu) * z) AS r1 FROM (SELECT z.*, q.a, q.b, 1 / (1 + exp(-(q.a + q.b * z.z))) AS mu "
+                f"FROM z JOIN p{i} q ON {on}) q GROUP BY {sel}, q.a, q.b")
+        new = ("a + (s2 * r0 - s1 * r1) / (s0 * s2 - s1 * s1) AS a, b + (s0 * r1 - s1 * r0) / (s0 * s2 - s1 * s1) AS b" if slope
+               else "a + r0 / s0 AS a, b")
+        out.append(f"p{i + 1} AS (SELECT {by}, {new} FROM ({sums}) s)")
+    return ", ".join(out)
+
+
+def isotonic_sql(counts: str) -> str:
+    """CTE iso(grp, x, y): monotone fit by the max-min formula over all score intervals."""
+    return f"""ii AS MATERIALIZED (SELECT grp, x, n, pos, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(pos) OVER w AS cp FROM ({counts}) c
+            WINDOW w AS (PARTITION BY grp ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        iw AS (SELECT a.grp, a.i AS j, b.i AS k, min((b.cp - a.cp + a.pos) / (b.cn - a.cn + a.n)::DOUBLE) OVER
+               (PARTITION BY a.grp, a.i ORDER BY b.i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS low
+               FROM ii a JOIN ii b ON b.grp = a.grp AND b.i >= a.i),
+        iso AS (SELECT ii.grp, ii.x, t.y FROM ii JOIN (SELECT grp, k, max(low) AS y FROM iw GROUP BY 1, 2) t ON t.grp = ii.grp AND t.k = ii.i)"""
