@@ -120,7 +120,7 @@ FROM {orders}
 # data dictionary: one variable per passage, some blank, duplicated or without description
 VIEWS["dictionary"] = """
 SELECT item_id,
-       CASE WHEN item_id % 19 = 18 THEN ' ' ELSE lower(regexp_extract(text, '([A-Za-z]{6,12})', 1)) END AS variable,
+       CASE WHEN item_id % 19 = 18 THEN ' ' ELSE lower(regexp_extract(text, '([A-Za-z][A-Za-z][A-Za-z][A-Za-z][A-Za-z][A-Za-z]+)', 1)) END AS variable,
        CASE WHEN item_id % 7 = 3 THEN '' ELSE concat('passage ', CAST(item_id AS STRING)) END AS description
 FROM {benchmark}
 """

@@ -372,3 +372,24 @@ def isotonic_sql(counts: str) -> str:
                (PARTITION BY a.grp, a.i ORDER BY b.i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS low
                FROM ii a JOIN ii b ON b.grp = a.grp AND b.i >= a.i),
         iso AS (SELECT ii.grp, ii.x, t.y FROM ii JOIN (SELECT grp, k, max(low) AS y FROM iw GROUP BY 1, 2) t ON t.grp = ii.grp AND t.k = ii.i)"""
+
+# words of each text as fields of the file "<source>_<lang>" in the group "<source>"
+SQL_VIEWS["field_rows"] = """
+SELECT DISTINCT concat(source, '_', lang) AS file_name, source AS table_group, lower(unnest(regexp_extract_all(text, '[A-Za-z]{6,12}'))) AS field_name FROM documents
+"""
+SQL_VIEWS["dict_unique"] = """
+SELECT variable AS field_name, min_by(coalesce(description, ''), item_id) AS description FROM {dictionary} WHERE trim(coalesce(variable, '')) <> '' GROUP BY variable
+"""
+SQL_VIEWS["mention_rows"] = """
+SELECT d.doc_id, d.source, d.lang, d.text, t.name FROM documents d
+JOIN (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM documents) t ON t.doc_id = d.doc_id
+WHERE t.name IN (SELECT field_name FROM {dict_unique}) OR regexp_full_match(t.name, '[A-Za-z][A-Za-z0-9_]*_[0-9]+[A-Z]?')
+   OR t.name IN ('case_id', 'target', 'date_decision', 'MONTH', 'WEEK_NUM', 'num_group1', 'num_group2')
+"""
+SQL_VIEWS["mention_excerpts"] = """
+SELECT doc_id, source, name, substr(concat(CASE WHEN s > 0 THEN '…' ELSE '' END,
+           trim(regexp_replace(substr(text, s + 1, e - s), '[ \\t\\n\\f\\r]+', ' ', 'g'), ' '), CASE WHEN e < n THEN '…' ELSE '' END), 1, 240) AS excerpt
+FROM (SELECT *, greatest(p0 - 120, 0) AS s, least(p0 + length(name) + 120, n) AS e
+      FROM (SELECT *, length(text) AS n, instr(text, m) - 1 + CASE WHEN m[1] = name[1] AND starts_with(m, name) THEN 0 ELSE 1 END AS p0
+            FROM (SELECT *, regexp_extract(text, concat('(?:^|[^A-Za-z0-9_])', name, '(?:[^A-Za-z0-9_]|$)')) AS m FROM {mention_rows}) a) b) c
+"""
