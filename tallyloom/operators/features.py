@@ -25,8 +25,8 @@ def numeric_feature_audit(df: DataFrame, columns: list[str]) -> DataFrame:
         base = long.groupBy("feature_name").agg(
             F.count(F.lit(1)).alias("row_count"), count_where(v.isNull()).alias("missing_count"), F.count(v).alias("finite_count"),
             count_where(v == 0).alias("zero_count"), count_where(v > 0).alias("positive_count"), count_where(v < 0).alias("negative_count"))
-        s = value_summary(long, ["feature_name"], "v", {"p01": 0.01, "median": 0.5, "p99": 0.99})
-        parts.append(base.join(s.drop("n", "distinct", "mean"), "feature_name", "left"))
+        s = value_summary(long, ["feature_name"], "v", {"p01": 0.01, "median": 0.5, "p99": 0.99}, distinct=False)
+        parts.append(base.join(s.drop("n", "mean"), "feature_name", "left"))
     out = union_all(parts)
     return out.select(
         "feature_name", "row_count", "missing_count", F.round(ratio(F.col("missing_count"), F.col("row_count")), 9).alias("missing_rate"),
@@ -132,6 +132,6 @@ def score_audit(df: DataFrame, by: list[str], key: str, score: str, label: str)
     base = per.groupBy(*by).agg(
         F.sum("n").alias("row_count"), F.count(key).alias("unique_keys"), F.sum("miss").alias("missing_count"), F.sum("lo").alias("below_zero"),
         F.sum("hi").alias("above_one"), F.sum("y").alias("positive_count"))
-    s = value_summary(df, by, score, LEVELS)
+    s = value_summary(df, by, score, LEVELS, distinct=False)
     return base.join(s, by).select(
         *base.columns, F.round("min", 9).alias("minimum"), F.round("max", 9).alias("maximum"), *[F.round(k, 9).alias(k) for k in LEVELS])

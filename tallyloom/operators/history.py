@@ -84,7 +84,7 @@ def difference_distribution(j: DataFrame, left: str, right: str) -> DataFrame:
                 "absolute_relative_difference": F.abs(F.try_divide(d, F.col(right)))}
     long = j.select(F.inline(F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("v")) for k, v in measures.items()])))
     probs = {"p01": 0.01, "p05": 0.05, "median": 0.5, "p95": 0.95, "p99": 0.99}
-    s = value_summary(long, ["measure"], "v", probs)
+    s = value_summary(long, ["measure"], "v", probs, distinct=False)
     return s.select("measure", "n", *[F.round(c, 6).alias(c) for c in ("min", *probs, "max", "mean")])
 
 

@@ -75,6 +75,16 @@ class Preprocessor:
         v = F.col(c).cast("string")
         return F.when(v.isNull(), MISSING).when(v.isin(known), v).otherwise(UNSEEN)
 
+    def one_hot(self, c: str, level: str) -> Column:
+        """Indicator of one level; stated per level so that no output carries the whole mapping."""
+        v = F.col(c).cast("string")
+        if level == MISSING:
+            return v.isNull()
+        if level == UNSEEN:
+            known = [x for x in self.vocabularies[c] if x not in (MISSING, UNSEEN)]
+            return F.coalesce(~v.isin(known), F.lit(False)) if known else v.isNotNull()
+        return F.coalesce(v == level, F.lit(False))
+
     # output layout
 
     def level_columns(self, c: str) -> list[tuple[str, str]]:
@@ -101,7 +111,7 @@ class Preprocessor:
         out |= {f: F.col(f).cast("byte") for f in self.spec.flags}
         out |= {m["name"]: F.col(m["columns"][0]).isNull().cast("byte") for m in self.missing_flags}
         for c in self.spec.categories:
-            out |= {name: (self.mapped(c) == level).cast("byte") for level, name in self.level_columns(c)}
+            out |= {name: self.one_hot(c, level).cast("byte") for level, name in self.level_columns(c)}
         return df.select(*keep, *[out[n].alias(n) for n in self.output_columns()])
 
     # storage
@@ -260,7 +270,7 @@ def category_audit(df: DataFrame, p: Preprocessor, split: str) -> DataFrame:
     """Missing and unseen levels per category and split, and the one-hot row sums."""
     items = []
     for c in p.spec.categories:
-        total = sum((F.when(p.mapped(c) == level, 1).otherwise(0) for level, _ in p.level_columns(c)), F.lit(0))
+        total = sum((p.one_hot(c, level).cast("int") for level, _ in p.level_columns(c)), F.lit(0))
         items.append(F.struct(F.lit(c).alias("input_column"), p.mapped(c).alias("m"), total.alias("ones"),
                               F.lit(len(p.vocabularies[c])).cast("bigint").alias("output_count")))
     long = df.select(F.col(split).alias("split"), F.inline(F.array(*items)))
@@ -307,7 +317,7 @@ def standardized_audit(df: DataFrame, p: Preprocessor, role: str) -> DataFrame:
     by = ["role", "input_column", "slice"]
     probs = {"q0001": 0.001, "q001": 0.01, "median": 0.5, "q099": 0.99, "q0999": 0.999}
     extreme = long.groupBy(*by).agg(count_where(F.abs("v") > 10).alias("abs_gt_10_count"), count_where(F.abs("v") > 20).alias("abs_gt_20_count"))
-    s = value_summary(long, by, "v", probs).join(extreme, by)
+    s = value_summary(long, by, "v", probs, distinct=False).join(extreme, by)
     return s.select(*by, F.col("n").alias("denominator"), *[F.round(c, 6).alias(c) for c in ("min", *probs, "max")], "abs_gt_10_count", "abs_gt_20_count")
 
 

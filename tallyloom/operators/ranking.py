@@ -75,13 +75,11 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group, one row per group.
 
-    Values are reduced to (value, frequency) first; ``weight`` names the frequency of rows
-    that are already counted.  Only the ranges that hold a wanted rank are ranked, so
-    neither a task nor the driver ever sees the whole column.
+    ``weight`` names the frequency of rows that are already counted per value.
     """
-    freq = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(freq.alias("__f"))
-    return _quantiles(range_partition(counts, by + [value]), by, value, probs)
+    row = _neighbours(df, by, value, probs, weight)
+    n = F.col("__n")
+    return row.select(*by, *[interpolate(F.col(f"__lo_{k}"), F.col(f"__hi_{k}"), n, p).alias(k) for k, p in probs.items()])
 
 
 def order_statistics(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -90,8 +88,7 @@ def order_statistics(df: DataFrame, by: list[str], value: str, probs: dict[str,
     A monotone map of the values can be applied to them afterwards, so quantiles of several
     monotone transforms need one pass only.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__f"))
-    row = _neighbours(range_partition(counts, by + [value]), by, value, probs)
+    row = _neighbours(df, by, value, probs, None)
     cols = [F.col(f"__{tag}_{k}").alias(f"{k}_{tag}") for k in probs for tag in ("lo", "hi")]
     return row.select(*by, F.col("__n").alias("n"), *cols)
 
@@ -102,63 +99,100 @@ def interpolate(lo: Column | float, hi: Column | float, n: Column | float, p: fl
     return lo + (hi - lo) * (pos - F.floor(pos))
 
 
-def _quantiles(ranged: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Quantiles of range-tagged (group, value, ``__f``) rows."""
-    row = _neighbours(ranged, by, value, probs)
-    n = F.col("__n")
-    return row.select(*by, *[interpolate(F.col(f"__lo_{k}"), F.col(f"__hi_{k}"), n, p).alias(k) for k, p in probs.items()])
+SKETCH = 10_000  # a sketch of this accuracy misses a rank by at most one part in SKETCH
+MARGIN = 3.0 / SKETCH
+
+
+def _frequencies(df: DataFrame, by: list[str], value: str, weight: str | None) -> DataFrame:
+    """(group, smallest and largest value, rows): here one row per value."""
+    f = F.sum(weight) if weight else F.count(F.lit(1))
+    return df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(f.alias("__f")).withColumn("__top", F.col("__v"))
 
 
-def _neighbours(ranged: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def _compressed(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Frequencies in which the values no wanted rank can be near are merged.
+
+    A mergeable sketch brackets every wanted quantile per group.  Values inside a bracket
+    keep their own row, the values between two brackets become a single row, so one
+    aggregate with map-side combine replaces a shuffle of the column.
+    """
+    ps = sorted(probs.values())
+    edges = [max(0.0, p - MARGIN) for p in ps] + [min(1.0, p + MARGIN) for p in ps]
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
+    sketch = rows.groupBy(*by).agg(F.percentile_approx("__v", edges, SKETCH).alias("__edges"))
+    v = F.col("__v")
+    inside, passed = F.lit(False), F.lit(0)
+    for i in range(len(ps)):
+        low, high = F.col("__edges")[i], F.col("__edges")[len(ps) + i]
+        inside = inside | v.between(low, high)
+        passed = passed + F.when(v > high, 1).otherwise(0)
+    tagged = (rows.join(F.broadcast(sketch), by) if by else rows.join(F.broadcast(sketch), F.lit(True))).select(
+        *by, "__v", F.when(inside, v).alias("__own"), F.when(~inside, passed).alias("__gap"))  # the sketch has one row per group
+    return tagged.groupBy(*by, "__own", "__gap").agg(F.min("__v").alias("__v"), F.max("__v").alias("__top"), F.count(F.lit(1)).alias("__f")).drop("__own", "__gap")
+
+
+def _neighbours(df: DataFrame, by: list[str], value: str, probs: dict[str, float], weight: str | None) -> DataFrame:
+    if weight is None:
+        row = _pick(_compressed(df, by, value, probs), by, probs)
+        if row.where("__inexact").limit(1).count() == 0:
+            return row.drop("__inexact")
+    return _pick(_frequencies(df, by, value, weight), by, probs).drop("__inexact")
+
+
+def _pick(freq: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:
+    """The values at the wanted ranks of a frequency table, found in ranges of its order.
+
+    Only the ranges that hold a wanted rank are ranked, so neither a task nor the driver
+    ever sees the whole table.  ``__inexact`` marks a rank that fell on a merged row.
+    """
+    ranged = range_partition(freq, by + ["__v"])
     n = F.col("__t_f")
     lows = {k: F.floor(F.lit(p) * (n - 1)) for k, p in probs.items()}
     highs = {k: F.ceil(F.lit(p) * (n - 1)) for k, p in probs.items()}
     wanted = F.array(*lows.values(), *highs.values())
     hit = F.exists(wanted, lambda r: (r >= F.col("__b_f")) & (r < F.col("__b_f") + F.col("__here_f")))
     spans = _offsets(ranged, by, {"f": F.col("__f")}).where(hit).select(*by, RANGE, "__b_f", "__t_f")
-    w = Window.partitionBy(*by, RANGE).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*by, RANGE).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
         ranged.join(spans, by + [RANGE])
         .withColumn("__end", F.col("__b_f") + F.sum("__f").over(w))
         .withColumn("__start", F.col("__end") - F.col("__f"))
     )
+    holds = lambda rank: (rank >= F.col("__start")) & (rank < F.col("__end"))
     picks = [F.max("__t_f").alias("__n")]
     for k in probs:
         for tag, rank in (("lo", lows[k]), ("hi", highs[k])):
-            inside = (rank >= F.col("__start")) & (rank < F.col("__end"))
-            picks.append(F.max(F.when(inside, F.col(value))).alias(f"__{tag}_{k}"))
-    return placed.groupBy(*by).agg(*picks)
+            picks.append(F.max(F.when(holds(rank), F.col("__v"))).alias(f"__{tag}_{k}"))
+    merged = F.exists(wanted, holds) & (F.col("__v") < F.col("__top"))
+    return placed.groupBy(*by).agg(*picks, F.bool_or(merged).alias("__inexact"))
 
 
 # Names and levels of the quantile vectors in reports.
 SEVEN = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
 
-def value_summary(df: DataFrame, by: list[str], value: str, probs: dict[str, float] | None = None) -> DataFrame:
+def value_summary(df: DataFrame, by: list[str], value: str, probs: dict[str, float] | None = None, distinct: bool = True) -> DataFrame:
     """Count, distinct count, min, quantiles, max and mean of the non-NULL values per group.
 
-    ``by`` must name at least one column.  The value frequencies are computed once, and the
-    moments and the quantiles both read the checkpoint of them.
+    ``by`` must name at least one column.  Without ``distinct`` no shuffle of values is needed.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__f"))
-    return _summary(counts, by, value, probs)
+    v = F.col(value)
+    rows = df.where(v.isNotNull())
+    aggs = [F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean")]
+    out = rows.groupBy(*by).agg(*aggs, *([F.count_distinct(v).alias("distinct")] if distinct else []))
+    return out.join(exact_quantiles(df, by, value, probs or SEVEN), by)
 
 
 def summary_of_counts(
     counts: DataFrame, by: list[str], value: str, freq: str, probs: dict[str, float] | None = None
 ) -> DataFrame:
     """``value_summary`` of a table that already holds one row per (group, value)."""
-    return _summary(counts.select(*by, value, F.col(freq).alias("__f")), by, value, probs)
-
-
-def _summary(counts: DataFrame, by: list[str], value: str, probs: dict[str, float] | None) -> DataFrame:
-    ranged = range_partition(counts, by + [value])
-    v, f = F.col(value), F.col("__f")
-    moments = ranged.groupBy(*by).agg(
+    v, f = F.col(value), F.col(freq)
+    moments = counts.groupBy(*by).agg(
         F.sum(f).alias("n"), F.count(F.lit(1)).alias("distinct"), F.min(v).alias("min"), F.max(v).alias("max"),
         (F.sum(v * f) / F.sum(f)).alias("mean"),
     )
-    return moments.join(_quantiles(ranged, by, value, probs or SEVEN), by)
+    return moments.join(exact_quantiles(counts, by, value, probs or SEVEN, freq), by)
 
 
 def bounded_quantiles(value: Column, probs: list[float], frequency: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import prep as X, split as P
 from ..operators.longform import count_where
-from ..session import scratch_path
+from ..session import freeze, scratch_path
 from .group_d2 import split_of
 from .registry import query
 from .sqlviews import CLIP, LOGS, MONEY, NUM
@@ -20,7 +20,8 @@ TRAIN = "outer_split = 'train'"
 
 
 def split_rows(t):
-    return t.features.join(split_of(t).drop("target"), "case_id")
+    """Features with their split, written once because fitting and auditing read them several times."""
+    return freeze(t.features.join(split_of(t).drop("target"), "case_id"))
 
 
 def fitted(t):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import groups as G
 from ..operators import features as X, metrics as M, policy as L
 from ..operators.longform import count_where
+from ..session import freeze
 from ..operators.scoring import DIMENSIONS, add_subgroups, expand_strata, unpivot_models
 from .registry import query
 from .sqlviews import gain_sql, metric_sql, quantiles_sql
@@ -191,7 +192,7 @@ def _(t):
     + quantiles_sql("v", {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}, 9) + " FROM v GROUP BY ALL",
 )
 def _(t):
-    return X.distribution_summary(L.reassessment(pair_rows(t), DIMENSIONS), ["algorithm_family", "dim", "label", "measure"], "v")
+    return X.distribution_summary(L.reassessment(freeze(pair_rows(t)), DIMENSIONS), ["algorithm_family", "dim", "label", "measure"], "v")
 
 
 def _migration_sql(source, dims, k):
