@@ -35,8 +35,9 @@ def as_number(c: Column, text: bool) -> Column:
     return F.when(~F.isnan(v), v)
 
 
-def numeric_state(c: Column, text: bool) -> Column:
-    v = as_number(c, text)
+def numeric_state(c: Column, text: bool, parsed: Column | None = None) -> Column:
+    """State of a value; ``parsed`` is its ``as_number`` when that is already a column."""
+    v = as_number(c, text) if parsed is None else parsed
     absent = F.when(c.isNull(), "missing").when(v.isNull(), "unparseable") if text else F.when(v.isNull(), "missing")
     return (
         absent.when(v.isin(_INF, -_INF), "nonfinite")
@@ -52,13 +53,17 @@ def finite_value(c: Column, text: bool) -> Column:
 
 
 def classify(df: DataFrame, fields: list[str]) -> DataFrame:
-    """Add ``<field>__state`` and ``<field>__value`` (finite or NULL) for every field."""
+    """Add ``<field>__state`` and ``<field>__value`` (finite or NULL) for every field.
+
+    Texts are parsed in a projection of their own, so each value is parsed once.
+    """
+    parsed = df.withColumns({f"{f}__parsed": as_number(F.col(f), is_text(df, f)) for f in fields})
     out = {}
     for f in fields:
-        text = is_text(df, f)
-        out[f"{f}__state"] = numeric_state(F.col(f), text)
-        out[f"{f}__value"] = finite_value(F.col(f), text)
-    return df.withColumns(out)
+        v = F.col(f"{f}__parsed")
+        out[f"{f}__state"] = numeric_state(F.col(f), is_text(df, f), v)
+        out[f"{f}__value"] = F.when(~v.isin(_INF, -_INF), v)
+    return parsed.withColumns(out).drop(*[f"{f}__parsed" for f in fields])
 
 
 def as_day(df: DataFrame, field: str) -> Column:
@@ -69,12 +74,13 @@ def as_day(df: DataFrame, field: str) -> Column:
     return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(fmt)) for fmt in DATE_FORMATS]).cast("date")
 
 
-def date_state(df: DataFrame, field: str) -> Column:
+def date_state(df: DataFrame, field: str, day: Column | None = None) -> Column:
+    """State of a date; ``day`` is its ``as_day`` when that is already a column."""
     c = F.col(field)
     state = F.when(c.isNull(), "native_missing")
     if is_text(df, field):
         state = state.when(F.trim(c) == "", "empty")
-    return state.when(as_day(df, field).isNotNull(), "parseable").otherwise("parse_failure")
+    return state.when((as_day(df, field) if day is None else day).isNotNull(), "parseable").otherwise("parse_failure")
 
 
 def text_state(c: Column) -> Column:

@@ -15,6 +15,7 @@ from . import joins as J
 from .longform import NO_FINITE, Metric, count_where, ratio, to_long, with_rate
 from .ranking import SEVEN, bounded_quantiles, running, summary_of_counts
 
+AUDIT_FIELDS = 6
 BLOCK = 40  # columns per aggregate; hundreds in one aggregate exceed the code generation limit
 
 
@@ -198,6 +199,8 @@ def matched_value_counts(spine: DataFrame, source: DataFrame, key: str, fields:
 
 def audit_numeric(spine: DataFrame, source: DataFrame, key: str, fields: list[str], count_fields: list[str] = ()) -> DataFrame:
     """Long audit of numeric fields: row states, value statistics, entity states, overlap diagnostics."""
+    if len(fields) > AUDIT_FIELDS:  # a dozen aggregates per field
+        return union_all([audit_numeric(spine, source, key, fields[i : i + AUDIT_FIELDS], count_fields) for i in range(0, len(fields), AUDIT_FIELDS)])
     e = on_spine(spine, per_entity(source, key, fields), key)
     parts = [*S.ROW_STATES, "finite", "nonzero"]
     long = e.select("source_rows", F.inline(F.array(*[

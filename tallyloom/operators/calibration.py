@@ -165,6 +165,7 @@ def cross_fit_logistic(rows: DataFrame, k: int) -> DataFrame:
 
 def cross_fit_isotonic(rows: DataFrame, models: list[str], k: int) -> DataFrame:
     """Out-of-fold isotonic maps, one fit per (model, fold) on the other folds' counts."""
+    rows = freeze(rows)
     counts = freeze(score_counts(rows, ["model_id", "fold_id"]))
     out = None
     for m in models:
@@ -205,8 +206,8 @@ def class_positions(rows: DataFrame, key: str, label: str) -> DataFrame:
     return r.withColumn("position", F.col("rn") - 1).withColumnRenamed("n_rows", "class_size").drop("rn")
 
 
-def draw_counts(positions: DataFrame, label: str, first: int, last: int) -> DataFrame:
-    """How often each class position is drawn in the replicates ``first`` .. ``last`` - 1.
+def draws(positions: DataFrame, label: str, first: int, last: int) -> DataFrame:
+    """Drawn class positions of the replicates ``first`` .. ``last`` - 1, one row per draw.
 
     Every row makes one draw per replicate within its class, so class sizes are kept; the
     draw is an md5 number and does not depend on the layout of the data.
@@ -214,14 +215,20 @@ def draw_counts(positions: DataFrame, label: str, first: int, last: int) -> Data
     reps = positions.select(label, "position", "class_size", F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("replicate_id"))
     text = F.concat_ws("|", F.col("replicate_id").cast("string"), F.col(label).cast("string"), F.col("position").cast("string"))
     pick = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % F.col("class_size")
-    return reps.groupBy("replicate_id", label, pick.alias("position")).agg(F.count(F.lit(1)).alias("draws"))
+    return reps.select("replicate_id", label, pick.alias("position"))
+
+
+def draw_counts(positions: DataFrame, label: str, first: int, last: int) -> DataFrame:
+    """How often each class position is drawn per replicate."""
+    return draws(positions, label, first, last).groupBy("replicate_id", label, "position").agg(F.count(F.lit(1)).alias("draws"))
 
 
 def paired_bootstrap(rows: DataFrame, key: str, label: str, variants: dict[str, tuple[str, str]], replicates: int, block: int = 100) -> DataFrame:
     """Replicate means of log loss and Brier score for every (model, method) column of ``rows``.
 
     ``variants`` maps a probability column to its (model_id, method).  All variants share
-    the draws.  Replicates run in blocks, so at most ``block`` draws per row exist at once.
+    the draws.  A draw only moves to the row it hits, where its losses are added up per
+    replicate before anything else is shuffled; replicates run in blocks.
     """
     y = F.col(label).cast("double")
     cols = list(variants)
@@ -230,10 +237,9 @@ def paired_bootstrap(rows: DataFrame, key: str, label: str, variants: dict[str,
     total = placed.count()
     out = None
     for first in range(0, replicates, block):
-        draws = draw_counts(placed, label, first, min(replicates, first + block))
-        w = F.col("draws")
-        part = draws.join(placed.drop("class_size", key), [label, "position"]).groupBy("replicate_id").agg(
-            *[(F.sum(w * F.col(f"{k}_{c}")) / F.lit(total)).alias(f"{k}_{c}") for k in ("l", "b") for c in cols])
+        drawn = draws(placed, label, first, min(replicates, first + block))
+        part = drawn.join(placed.drop("class_size", key), [label, "position"]).groupBy("replicate_id").agg(
+            *[(F.sum(f"{k}_{c}") / F.lit(total)).alias(f"{k}_{c}") for k in ("l", "b") for c in cols])
         rowset = part.select("replicate_id", F.inline(F.array(*[
             F.struct(F.lit(m).alias("model_id"), F.lit(meth).alias("method"), F.col(f"l_{c}").alias("log_loss"), F.col(f"b_{c}").alias("brier_score"))
             for c, (m, meth) in variants.items()])))

@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import states as S
-from .audit import on_spine
 from .longform import count_where, ratio
 
 MEASURES = ("content", "nonzero", "zero_only", "invalid", "auxiliary_evidence", "field_evidence")
@@ -43,11 +42,12 @@ def component_flags(spine: DataFrame, sources: dict[str, DataFrame], components:
     out = spine.select(key, *(keep or []))
     for name, df in sources.items():
         aggs = [F.count(F.lit(1)).alias(f"source__{name}")]
+        used = list(dict.fromkeys(f for c in components.values() if c.source == name for f in c.economic))
         for cname, c in components.items():
             if c.source != name:
                 continue
-            val = {f: S.finite_value(F.col(f), S.is_text(df, f)) for f in c.economic}
-            st = {f: S.numeric_state(F.col(f), S.is_text(df, f)) for f in c.economic}
+            val = {f: F.col(f"{f}__value") for f in c.economic}
+            st = {f: F.col(f"{f}__state") for f in c.economic}
             aggs += [
                 F.bool_or(any_of([v.isNotNull() for v in val.values()])).alias(f"{cname}__content"),
                 F.bool_or(any_of([F.coalesce(v != 0, F.lit(False)) for v in val.values()])).alias(f"{cname}__any_nonzero"),
@@ -55,8 +55,8 @@ def component_flags(spine: DataFrame, sources: dict[str, DataFrame], components:
                 F.bool_or(any_of([s != "missing" for s in st.values()])).alias(f"{cname}__economic"),
                 F.bool_or(any_of([_populated(df, a) for a in c.auxiliary])).alias(f"{cname}__auxiliary_evidence"),
             ]
-        reduced = df.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
-        out = out.join(on_spine(spine, reduced, key), key)
+        reduced = S.classify(df.where(F.col(key).isNotNull()), used).groupBy(key).agg(*aggs)
+        out = out.join(reduced, key, "left")
     flag = lambda c: F.coalesce(c, F.lit(False))
     cols: dict[str, Column] = {}
     for cname in components:
@@ -68,7 +68,7 @@ def component_flags(spine: DataFrame, sources: dict[str, DataFrame], components:
         cols[f"{cname}__invalid"] = flag(F.col(f"{cname}__invalid"))
         cols[f"{cname}__auxiliary_evidence"] = aux
         cols[f"{cname}__field_evidence"] = flag(F.col(f"{cname}__economic")) | aux
-    return out.select(key, *(keep or []), *[F.col(f"source__{s}") for s in sources], *[v.alias(k) for k, v in cols.items()])
+    return out.select(key, *(keep or []), *[F.coalesce(f"source__{s}", F.lit(0)).alias(f"source__{s}") for s in sources], *[v.alias(k) for k, v in cols.items()])
 
 
 def module_flags(flags: DataFrame, components: dict[str, Component]) -> DataFrame:

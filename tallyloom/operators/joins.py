@@ -86,8 +86,8 @@ def day_offsets(source: DataFrame, spine: DataFrame, key: str, field: str, decis
     at most one row per calendar day.
     """
     pre = (
-        source.select(key, S.date_state(source, field).alias("state"), S.as_day(source, field).alias("day"))
-        .where(F.col(key).isNotNull())
+        source.where(F.col(key).isNotNull()).select(key, field, S.as_day(source, field).alias("day"))
+        .select(key, S.date_state(source, field, F.col("day")).alias("state"), "day")
         .groupBy(key, "state", "day")
         .agg(F.count(F.lit(1)).alias("row_count"))
     )

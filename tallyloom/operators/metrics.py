@@ -127,15 +127,18 @@ def select_candidate(candidates: DataFrame, by: list[str], complexity: str, band
 
 
 def join_predictions(parts: list[DataFrame], key: str, label: str, names: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Merge one prediction column per model into a wide table, and check keys, labels and bounds."""
-    out = parts[0].select(key, label, F.col("pd").alias(names[0]))
-    agree = F.lit(True)
-    for i, (part, name) in enumerate(zip(parts[1:], names[1:])):
-        out = out.join(part.select(key, F.col(label).alias(f"__y{i}"), F.col("pd").alias(name)), key, "full_outer")
-        agree = agree & F.col(label).eqNullSafe(F.col(f"__y{i}"))
-    bounded = reduce(lambda a, b: a & b, [F.col(n).between(0.0, 1.0) for n in names])
-    complete = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
-    checks = out.agg(
-        F.count(F.lit(1)).alias("row_count"), count_where(~complete).alias("incomplete_rows"), count_where(~agree).alias("label_conflicts"),
-        count_where(complete & ~bounded).alias("out_of_bounds_rows"))
-    return out.select(key, label, *names), checks
+    """Merge one prediction column per model into a wide table, and check keys, labels and bounds.
+
+    The parts are stacked and regrouped by key, which is one shuffle for any number of models.
+    """
+    long = reduce(lambda a, b: a.unionByName(b), [p.select(key, label, F.lit(n).alias("__m"), "pd") for p, n in zip(parts, names)])
+    m = F.col("__m")
+    wide = long.groupBy(key).agg(
+        F.min(label).alias(label), (F.min(label) != F.max(label)).alias("__conflict"),
+        *[F.max(F.when(m == n, F.col("pd"))).alias(n) for n in names], *[count_where(m == n).alias(f"__c_{n}") for n in names])
+    complete = reduce(lambda a, b: a & b, [F.col(n).isNotNull() & (F.col(f"__c_{n}") == 1) for n in names])
+    bounded = reduce(lambda a, b: a & b, [F.coalesce(F.col(n).between(0.0, 1.0), F.lit(True)) for n in names])
+    checks = wide.agg(
+        F.count(F.lit(1)).alias("row_count"), count_where(~complete).alias("incomplete_rows"), count_where(F.col("__conflict")).alias("label_conflicts"),
+        count_where(~bounded).alias("out_of_bounds_rows"))
+    return wide.select(key, label, *names), checks

@@ -144,19 +144,19 @@ def common_budgets(curve: DataFrame, decimals: int = 12) -> DataFrame:
 def pair_ranks(predictions: DataFrame, pairs: dict[str, tuple[str, str]], keep: list[str]) -> DataFrame:
     """One row per (family, case): scores and ranks of both models of the pair.
 
-    All models are ranked in one long table; the pair is put side by side by a keyed aggregate.
+    All models are ranked in one long table of keys and scores; the ranks come back to one
+    row per case by a keyed aggregate, and only then meet the labels.
     """
     models = tuple(m for p in pairs.values() for m in p)
-    r = running(unpivot_models(predictions, models, keep), ["model_id"], ["pd", "base_order"])
+    narrow = predictions.unpivot(["case_id", "base_order"], list(models), "model_id", "pd")
+    r = running(narrow, ["model_id"], ["pd", "base_order"])
     m = F.col("model_id")
-    family = F.when(F.lit(False), None)
-    for name, p in pairs.items():
-        family = family.when(m.isin(*p), name)
-    ref = m.isin(*[a for a, _ in pairs.values()])
-    side = lambda c, cond: F.max(F.when(cond, F.col(c)))
-    return r.groupBy(family.alias("algorithm_family"), "case_id", "target", *keep).agg(
-        F.max("n_rows").alias("n"), side("pd", ref).alias("pd_t"), side("pd", ~ref).alias("pd_ad"),
-        side("rn", ref).alias("rn_t"), side("rn", ~ref).alias("rn_ad"))
+    ranks = r.groupBy("case_id").agg(
+        F.max("n_rows").alias("n"), *[F.max(F.when(m == name, F.col("rn"))).alias(f"rn_{name}") for name in models])
+    wide = predictions.select("case_id", "target", *keep, *models).join(ranks, "case_id")
+    items = [F.struct(F.lit(f).alias("algorithm_family"), F.col(a).alias("pd_t"), F.col(b).alias("pd_ad"), F.col(f"rn_{a}").alias("rn_t"),
+                      F.col(f"rn_{b}").alias("rn_ad")) for f, (a, b) in pairs.items()]
+    return wide.select("case_id", "target", *keep, "n", F.inline(F.array(*items)))
 
 
 def reassessment(pairs: DataFrame, dimensions: dict[str, str]) -> DataFrame:

@@ -101,6 +101,7 @@ def interpolate(lo: Column | float, hi: Column | float, n: Column | float, p: fl
 
 SKETCH = 10_000  # a sketch of this accuracy misses a rank by at most one part in SKETCH
 MARGIN = 3.0 / SKETCH
+SKETCH_GROUPS = 100_000  # more groups than this are not broadcast and take the plain way
 
 
 def _frequencies(df: DataFrame, by: list[str], value: str, weight: str | None) -> DataFrame:
@@ -109,31 +110,37 @@ def _frequencies(df: DataFrame, by: list[str], value: str, weight: str | None) -
     return df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(f.alias("__f")).withColumn("__top", F.col("__v"))
 
 
-def _compressed(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def _compressed(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame | None:
     """Frequencies in which the values no wanted rank can be near are merged.
 
     A mergeable sketch brackets every wanted quantile per group.  Values inside a bracket
     keep their own row, the values between two brackets become a single row, so one
-    aggregate with map-side combine replaces a shuffle of the column.
+    aggregate with map-side combine replaces a shuffle of the column.  None when there are
+    too many groups to send their brackets to every task.
     """
     ps = sorted(probs.values())
     edges = [max(0.0, p - MARGIN) for p in ps] + [min(1.0, p + MARGIN) for p in ps]
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
-    sketch = rows.groupBy(*by).agg(F.percentile_approx("__v", edges, SKETCH).alias("__edges"))
+    sketch = freeze(rows.groupBy(*by).agg(F.percentile_approx("__v", edges, SKETCH).alias("__edges")))
+    if sketch.count() > SKETCH_GROUPS:
+        return None
     v = F.col("__v")
     inside, passed = F.lit(False), F.lit(0)
     for i in range(len(ps)):
         low, high = F.col("__edges")[i], F.col("__edges")[len(ps) + i]
         inside = inside | v.between(low, high)
         passed = passed + F.when(v > high, 1).otherwise(0)
-    tagged = (rows.join(F.broadcast(sketch), by) if by else rows.join(F.broadcast(sketch), F.lit(True))).select(
-        *by, "__v", F.when(inside, v).alias("__own"), F.when(~inside, passed).alias("__gap"))  # the sketch has one row per group
+    tagged = rows.join(F.broadcast(sketch), by).select(
+        *by, "__v", F.when(inside, v).alias("__own"), F.when(~inside, passed).alias("__gap"))
     return tagged.groupBy(*by, "__own", "__gap").agg(F.min("__v").alias("__v"), F.max("__v").alias("__top"), F.count(F.lit(1)).alias("__f")).drop("__own", "__gap")
 
 
 def _neighbours(df: DataFrame, by: list[str], value: str, probs: dict[str, float], weight: str | None) -> DataFrame:
-    if weight is None:
-        row = _pick(_compressed(df, by, value, probs), by, probs)
+    if not by:
+        return _neighbours(df.withColumn("__all", F.lit(1)), ["__all"], value, probs, weight).drop("__all")
+    merged = _compressed(df, by, value, probs) if weight is None else None
+    if merged is not None:
+        row = _pick(merged, by, probs)
         if row.where("__inexact").limit(1).count() == 0:
             return row.drop("__inexact")
     return _pick(_frequencies(df, by, value, weight), by, probs).drop("__inexact")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.checks import check_row, check_rows
+from ..operators.joins import skew_join
 from ..operators.longform import count_where
 from ..operators.ranking import top_per_group
+from ..session import freeze, spread
 from .io import table_name
 
 # Technical roles of the structural columns and the file name grammar of the sources.
@@ -19,6 +21,7 @@ FILE_NAME = r"^train_(.+?)_([012])(?:_([0-9]+))?\.parquet$"
 BASE_FILE = "train_base.parquet"
 RAW_TOKEN = r"^[A-Za-z][A-Za-z0-9_]*_[0-9]+[A-Z]?$"
 CONTEXT_CHARS = 240
+BROADCAST_NAMES = 100_000
 CONTEXTS = 3
 
 
@@ -139,10 +142,13 @@ def mentions(blocks: DataFrame, text: str, names: DataFrame, keys: list[str]) ->
     tokens) and only then meet the text again, so each text moves at most once.
     """
     t = F.col(text)
+    blocks = spread(blocks)
     tokens = blocks.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(t, F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("name"))
     known = names.select(F.col("field_name").alias("name"), F.lit(True).alias("__known")).where(F.col("name").rlike("^[A-Za-z0-9_]+$")).distinct()
-    hits = tokens.join(known, "name", "left").where(
-        F.coalesce("__known", F.lit(False)) | F.col("name").rlike(RAW_TOKEN) | F.col("name").isin(*STRUCTURAL))
+    small = known.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
+    # common words make hot join keys, so a dictionary too large to broadcast is joined with salt
+    joined = tokens.join(F.broadcast(known), "name", "left") if small else skew_join(tokens, known, "name", "left")
+    hits = joined.where(F.coalesce("__known", F.lit(False)) | F.col("name").rlike(RAW_TOKEN) | F.col("name").isin(*STRUCTURAL))
     per_text = hits.groupBy(*keys).agg(F.collect_list("name").alias("__names"))
     rows = blocks.join(per_text, keys).select(*keys, t, F.explode("__names").alias("name"))
     # position of the first exact occurrence, kept as a column so that it is computed once
@@ -163,6 +169,7 @@ def excerpt(text: Column, at: Column, width: Column, size: int = CONTEXT_CHARS)
 
 def mine_identifiers(found: DataFrame, location: str, order: str) -> DataFrame:
     """Per identifier: texts, distinct locations and the first three different excerpts."""
+    found = freeze(found)  # names and excerpts only; the texts are read once
     base = found.groupBy("name", location).agg(F.count(F.lit(1)).alias("n")).groupBy("name").agg(
         F.sum("n").alias("text_count"), F.count(F.lit(1)).alias("location_count"))
     firsts = found.where(F.col("excerpt") != "").groupBy("name", "excerpt").agg((-F.min(order)).alias("first"))
