@@ -140,7 +140,7 @@ def _neighbours(df: DataFrame, by: list[str], value: str, probs: dict[str, float
         return _neighbours(df.withColumn("__all", F.lit(1)), ["__all"], value, probs, weight).drop("__all")
     merged = _compressed(df, by, value, probs) if weight is None else None
     if merged is not None:
-        row = _pick(merged, by, probs)
+        row = freeze(_pick(merged, by, probs))  # one row per group, read by the check and by the caller
         if row.where("__inexact").limit(1).count() == 0:
             return row.drop("__inexact")
     return _pick(_frequencies(df, by, value, weight), by, probs).drop("__inexact")
