@@ -12,8 +12,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import probability as P
-from ..session import freeze
-from .longform import count_where, ratio
+from ..session import at_once, freeze
+from .longform import count_where
 from .metrics import binary_metrics, score_counts
 from .ranking import running
 
@@ -167,13 +167,18 @@ def cross_fit_isotonic(rows: DataFrame, models: list[str], k: int) -> DataFrame:
     """Out-of-fold isotonic maps, one fit per (model, fold) on the other folds' counts."""
     rows = freeze(rows)
     counts = freeze(score_counts(rows, ["model_id", "fold_id"]))
+
+    def fit(task: tuple[str, int]):
+        m, f = task
+        others = counts.where((F.col("model_id") == m) & (F.col("fold_id") != f))
+        return fit_isotonic(others.groupBy("pd").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")))
+
+    tasks = [(m, f) for m in models for f in range(k)]
     out = None
-    for m in models:
-        for f in range(k):
-            train = counts.where((F.col("model_id") == m) & (F.col("fold_id") != f)).groupBy("pd").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-            part = apply_isotonic(rows.where((F.col("model_id") == m) & (F.col("fold_id") == f)), fit_isotonic(train))
-            part = part.select(*rows.columns, F.col("iso").alias("oof"))
-            out = part if out is None else out.unionByName(part)
+    for (m, f), model in zip(tasks, at_once(rows.sparkSession, fit, tasks)):
+        part = apply_isotonic(rows.where((F.col("model_id") == m) & (F.col("fold_id") == f)), model)
+        part = part.select(*rows.columns, F.col("iso").alias("oof"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 

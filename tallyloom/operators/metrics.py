@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import probability as P
 from .longform import count_where, ratio
@@ -114,8 +114,6 @@ def select_candidate(candidates: DataFrame, by: list[str], complexity: str, band
 
     Candidate tables hold one row per fitted model, so the windows are small.
     """
-    from pyspark.sql import Window
-
     ok = F.col("eligible")
     top = F.max(F.when(ok, F.col("average_precision"))).over(Window.partitionBy(*by))
     inside = ok & (F.col("average_precision") >= top - F.lit(band))

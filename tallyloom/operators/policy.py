@@ -7,9 +7,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .longform import count_where, ratio
-from .metrics import score_counts  # noqa: F401
 from .ranking import equal_count_bin, risk_percentile, running
-from .scoring import expand_strata, unpivot_models
+from .scoring import expand_strata
 
 # Approval rates in percent (40 to 80 by 0.25) and displayed points.
 APPROVAL_RANGE = (4000, 8000, 25)

@@ -6,6 +6,7 @@ projection with those numbers as literals, so it needs no shuffle and no Python
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import asdict, dataclass, field
 
@@ -137,8 +138,6 @@ class Preprocessor:
 
 def level_name(column: str, level: str) -> str:
     """Deterministic one-hot name: reserved levels by word, others by a hash prefix."""
-    import hashlib
-
     if level in (MISSING, UNSEEN):
         return f"ohe_{column}__{level.strip('_').lower()}"
     return f"ohe_{column}__{hashlib.sha1(level.encode()).hexdigest()[:10]}"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import states as S  # noqa: F401
 from .longform import count_where
 from .ranking import running
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import groups as G, states as S
-from ..operators import audit as A, joins as J, ranking as R
+from ..operators import audit as A, joins as J
 from ..operators.longform import count_where
 from ..operators.scoring import unpivot_models
 from .registry import query

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import states as S
-from ..operators import audit as A, checks as K, coverage as V, detail as T, joins as J, ranking as R
+from ..operators import audit as A, coverage as V, detail as T, ranking as R
+from ..operators.history import amount_state
 from ..operators.ranking import SEVEN
 from .registry import query
 from .sqlviews import coverage_mask_sql, coverage_sql, long_sql, quantiles_sql, rated, unique_sql
@@ -577,8 +578,6 @@ def _(t):
        FROM spine s LEFT JOIN child_num c ON c.case_id = s.case_id GROUP BY s.case_id""",
 )
 def _(t):
-    from ..operators.history import amount_state
-
     e = A.on_spine(t.spine, A.per_entity(t.child, "case_id", ["amount_text"]), "case_id")
     return e.select("case_id", amount_state(F.col("source_rows"), F.col("amount_text__finite"), F.col("amount_text__sum")).alias("state"))
 

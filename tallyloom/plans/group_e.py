@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import groups as G, probability as P, states as S
-from ..operators import audit as A, checks as K, joins as J, metrics as M, ranking as R
+from ..operators import audit as A, checks as K, joins as J, metrics as M, policy as L, ranking as R
 from ..operators.longform import ratio
 from ..operators.scoring import unpivot_models
 from .registry import query
@@ -71,8 +71,6 @@ def _(t):
               round(n / sum(n) OVER (), 9) AS share_of_total FROM g""",
 )
 def _(t):
-    from pyspark.sql import Window
-
     g = t.lineitem.groupBy(F.col("l_returnflag").alias("origin"), F.col("l_linestatus").alias("destination")).agg(F.count(F.lit(1)).alias("row_count"))
     n = F.col("row_count")
     everything = Window.partitionBy(F.lit(0))  # one row per cell
@@ -247,8 +245,6 @@ def _(t):
        SELECT o_orderpriority, CAST(bp AS DOUBLE) / 100 AS rate_percent, n * bp // 10000 AS approved_count FROM n CROSS JOIN r""",
 )
 def _(t):
-    from ..operators import policy as L
-
     totals = t.orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
     g = L._attach(totals, L.approval_grid(t.spark))
     return g.select("o_orderpriority", F.col("approval_rate_percent").cast("double").alias("rate_percent"),

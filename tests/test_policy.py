@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import groups as G
-from tallyloom.operators import metrics as M, policy as L
+from tallyloom.operators import policy as L
 from tallyloom.operators.scoring import unpivot_models
 
 
