@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
@@ -20,7 +22,15 @@ _UNSAFE = re.compile(r"\s\s|\A\s|\s\Z")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it; on a cluster it is installed or sent with --py-files."""
+    root, env = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [env.get("PYTHONPATH")])])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -41,7 +51,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, limit: int = STEP_BYTES)
     for b in batches:
         if not b.num_rows:
             continue
-        size = pa.compute.fill_null(pa.compute.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
+        size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(size, dtype=np.int64)
         at = 0
         while at < b.num_rows:
@@ -51,10 +61,6 @@ def steps(batches: Iterator[pa.RecordBatch], text: str, limit: int = STEP_BYTES)
             at = to
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def chunks(text: str) -> list[str]:
     """Cut a text at single spaces between two characters that are not white space; each later chunk misses its leading space.
 
