@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from . import op01_bitplanes, op10_bpe_tree
+from . import op01_bitplanes, op09_simhash_trie, op10_bpe_tree
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def op1_bit_plane_shuffling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op01_bitplanes.encode_write_read(table(spark, sf_dir, "documents"))
 
 
+@register
+def op9_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op09_simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @register
 def op10_bpe_tree_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_bpe_tree.digests(op10_bpe_tree.encode_decode(table(spark, sf_dir, "documents")))
