@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from . import op01_bitplanes, op09_simhash_trie, op10_bpe_tree
+from . import op01_bitplanes, op02_language_mixture, op04_toxicity, op09_simhash_trie, op10_bpe_tree
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,16 @@ def op1_bit_plane_shuffling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op01_bitplanes.encode_write_read(table(spark, sf_dir, "documents"))
 
 
+@register
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op02_language_mixture.languages(table(spark, sf_dir, "documents"))
+
+
+@register
+def op4_subword_bag_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op04_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @register
 def op9_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op09_simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
