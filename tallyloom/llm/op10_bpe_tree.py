@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Bytes below which a segment is merged directly.
-LEAF = 3
+#: Bytes up to which a segment is a leaf of the tree, and up to which a boundary window's merges are remembered.
+LEAF, SHORT = 5, 16
 #: Tokens that one leaf of the decoding tree concatenates.
 DECODE_LEAF = 4096
 
@@ -34,9 +34,9 @@ class TreeEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = common.CACHE_ENTRIES):
         self.ranks, self.pattern, self.limit = ranks, regex.compile(pattern), cache
         self.tokens = {v: k for k, v in ranks.items()}
-        self._segments: dict[bytes, tuple[int, ...]] = {}
+        self._short: dict[bytes, tuple[int, ...]] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
-        self._chunks: dict[str, bytes] = {}
+        self._after: dict[str, bytes] = {}
 
     def merge(self, data: bytes) -> tuple[int, ...]:
         """The merges in order of rank, leftmost first."""
@@ -52,43 +52,43 @@ class TreeEncoder:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return tuple([ranks[p] for p in parts])
 
+    def direct(self, data: bytes) -> tuple[int, ...]:
+        """The merges of a short byte string, remembered."""
+        got = self._short.get(data)
+        if got is None:
+            if len(self._short) >= self.limit:
+                self._short.clear()
+            got = self._short[data] = self.merge(data)
+        return got
+
     def stable(self, left: int, right: int) -> bool:
         """Whether the two tokens side by side are the encoding of their bytes."""
         known = self._pairs.get((left, right))
         if known is None:
             if len(self._pairs) >= self.limit:
                 self._pairs.clear()
-            known = self.merge(self.tokens[left] + self.tokens[right]) == (left, right)
-            self._pairs[left, right] = known
+            known = self._pairs[left, right] = self.merge(self.tokens[left] + self.tokens[right]) == (left, right)
         return known
 
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The monoid's product: the encoding of the bytes of both."""
-        if not left or not right:
-            return left or right
-        k, mid = 0, ()
+        if not left or not right or self.stable(left[-1], right[0]):
+            return left + right
+        k, tokens, stable = 1, self.tokens, self.stable
         while True:
             lo, hi = max(0, len(left) - k), min(k, len(right))
-            if k:
-                mid = self.merge(b"".join([self.tokens[t] for t in left[lo:] + right[:hi]]))
-            seam = (left[lo - 1:lo] if lo else ()) + mid + right[hi:hi + 1]
-            edges = ((seam[0], seam[1]), (seam[-2], seam[-1])) if len(seam) > 1 else ()
-            ends = [e for e, needed in zip(edges, (lo > 0, hi < len(right))) if needed]
-            if all(self.stable(*e) for e in ends):
+            window = b"".join([tokens[t] for t in left[lo:] + right[:hi]])
+            mid = self.direct(window) if len(window) <= SHORT else self.merge(window)
+            if (lo == 0 or stable(left[lo - 1], mid[0])) and (hi == len(right) or stable(mid[-1], right[hi])):
                 return left[:lo] + mid + right[hi:]
-            k = 2 * k or 1
+            k *= 2
 
     def segment(self, data: bytes) -> tuple[int, ...]:
         """Tokens of a byte string by halves."""
-        got = self._segments.get(data)
-        if got is None:
-            half = len(data) // 2
-            got = self.merge(data) if len(data) <= LEAF else self.join(self.segment(data[:half]), self.segment(data[half:]))
-            if len(data) <= 64:
-                if len(self._segments) >= self.limit:
-                    self._segments.clear()
-                self._segments[data] = got
-        return got
+        if len(data) <= LEAF:
+            return self._short.get(data) or self.direct(data)
+        half = len(data) // 2
+        return self.join(self.segment(data[:half]), self.segment(data[half:]))
 
     def match(self, piece: str) -> tuple[int, ...]:
         """Tokens of one match of the pattern; a match that is itself a vocabulary entry is that entry."""
@@ -96,28 +96,28 @@ class TreeEncoder:
         whole = self.ranks.get(data)
         return (whole,) if whole is not None else self.segment(data)
 
-    def _chunk(self, text: str) -> bytes:
-        out: list[int] = []
-        for m in self.pattern.findall(text):
-            out.extend(self.match(m))
-        return np.array(out, np.int32).tobytes()
-
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a whole text as 32-bit integers."""
-        cache, out, lead = self._chunks, [], ""
-        for c in common.chunks(text):
-            key = c if lead else "\x00" + c  # the first chunk has no space in front of it
-            ids = cache.get(key)
-            if ids is None:
-                if len(cache) >= self.limit:
-                    cache.clear()
-                ids = self._chunk(lead + c)
-                if len(c) <= 64:
-                    cache[key] = ids
-            out.append(ids)
-            lead = " "
+        first, *rest = common.chunks(text)
+        out = [self._tokens(first), *map(self._after.get, rest)]  # known chunks behind a space
+        if None in out:
+            for k, ids in enumerate(out):
+                if ids is None:
+                    c = rest[k - 1]
+                    out[k] = self._after.get(c) or self._learn(c)
         return np.frombuffer(b"".join(out), np.int32)
 
+    def _tokens(self, text: str) -> bytes:
+        return np.array([t for m in self.pattern.findall(text) for t in self.match(m)], np.int32).tobytes()
+
+    def _learn(self, chunk: str) -> bytes:
+        ids = self._tokens(" " + chunk)
+        if len(chunk) <= 64:
+            if len(self._after) >= self.limit:
+                self._after.clear()
+            self._after[chunk] = ids
+        return ids
+
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a token sequence, concatenated up the tree."""
         if len(ids) <= DECODE_LEAF:
