@@ -18,7 +18,7 @@ STEP_BYTES = 4 << 20
 #: Entries of a per-process cache before it is emptied.
 CACHE_ENTRIES = 400_000
 
-_UNSAFE = re.compile(r"\s\s|\A\s|\s\Z")
+_UNSAFE = re.compile(r" (?:(?=\s)|(?<=\s ))")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -66,7 +66,8 @@ def chunks(text: str) -> list[str]:
 
     The pretokenizer pattern always begins a match at such a space, so chunks can be tokenized one by one.
     """
-    return text.split(" ") if _UNSAFE.search(text) is None else _SAFE_CUT.split(text)
+    safe = not (text[:1].isspace() or text[-1:].isspace()) and _UNSAFE.search(text) is None
+    return text.split(" ") if safe else _SAFE_CUT.split(text)
 
 
 def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType | None = None) -> pa.ListArray:
