@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from . import op01_bitplanes, op02_language_mixture, op04_toxicity, op09_simhash_trie, op10_bpe_tree
+from . import op01_bitplanes, op02_language_mixture, op04_toxicity, op05_positional_index, op09_simhash_trie, op10_bpe_tree
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,27 @@ def op4_subword_bag_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@register
+def op5_positional_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op05_positional_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op5_positional_inverted_index"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+i AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(ws), 13) AS n, ws[k:k + least(len(ws), 13) - 1] AS win
+       FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS k FROM i WHERE len(ws) > 0)),
+lengths AS (SELECT DISTINCT n FROM iw),
+dk AS (SELECT doc_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS k FROM d, lengths WHERE len(ws) >= n),
+hit AS (SELECT dk.doc_id, dk.k, dk.n, iw.item_id FROM dk JOIN iw ON iw.n = dk.n AND iw.win = dk.ws[dk.k:dk.k + dk.n - 1]),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
 @register
 def op9_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op09_simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
