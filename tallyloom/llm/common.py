@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path  # noqa: F401
 
 #: Bytes of text that one inner step of an operator holds at once; a longer single text is held alone.
 STEP_BYTES = 4 << 20

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from . import op01_bitplanes, op02_language_mixture, op04_toxicity, op05_positional_index, op08_quality_neighbours, op09_simhash_trie, op10_bpe_tree
+from . import op01_bitplanes, op02_language_mixture, op04_toxicity, op05_positional_index, op07_radix_dedup, op08_quality_neighbours, op09_simhash_trie, op10_bpe_tree
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,11 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+@register
+def op7_radix_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op07_radix_dedup.digests(op07_radix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 @register
 def op8_neighbour_voting_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08_quality_neighbours.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
