@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from . import op01_bitplanes, op02_language_mixture, op04_toxicity, op05_positional_index, op07_radix_dedup, op08_quality_neighbours, op09_simhash_trie, op10_bpe_tree
+from . import op01_bitplanes, op02_language_mixture, op03_style_tree, op04_toxicity, op05_positional_index, op07_radix_dedup, op08_quality_neighbours, op09_simhash_trie, op10_bpe_tree
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_language_mixture.languages(table(spark, sf_dir, "documents"))
 
 
+@register
+def op3_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op03_style_tree.main_text(table(spark, sf_dir, "pages"))
+
+
 @register
 def op4_subword_bag_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
