@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from . import op01_bitplanes, op02_language_mixture, op03_style_tree, op04_toxicity, op05_positional_index, op07_radix_dedup, op08_quality_neighbours, op09_simhash_trie, op10_bpe_tree
+from . import op01_bitplanes, op02_language_mixture, op03_style_tree, op04_toxicity, op05_positional_index, op06_pruned_graph, op07_radix_dedup, op08_quality_neighbours, op09_simhash_trie, op10_bpe_tree
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,22 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+@register
+def op6_robust_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op06_pruned_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op6_robust_pruned_graph"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN least ON least.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id"""
+
+
 @register
 def op7_radix_sort_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op07_radix_dedup.digests(op07_radix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
