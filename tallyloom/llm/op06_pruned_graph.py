@@ -72,7 +72,8 @@ def _assign(cells: DataFrame, crowded: DataFrame) -> DataFrame:
                     continue
                 centre = apart(unit(np.array([x["vector"] for x in own], np.float64)))
                 sims = unit(_matrix(vectors.take(pa.array(rows)))) @ centre.T
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :OVERLAP]
+                overlap = max(1, min(OVERLAP, len(centre) // 4))  # a split always makes cells smaller
+                best = np.argsort(-sims, axis=1, kind="stable")[:, :overlap]
                 for k, near in zip(rows, best.tolist()):
                     names[k] = [(c * 1000003 + x + 1) % (1 << 62) for x in near]
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("weight"), vectors, pa.array(names, pa.list_(pa.int64()))], ["node", "weight", "vector", "to"])
