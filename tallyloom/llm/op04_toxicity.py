@@ -154,11 +154,13 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 known.update(zip(new, inner.word_scores(new).tolist()))
             z = np.array([pool(window_means(np.fromiter(map(known.__getitem__, w), float, len(w)), WINDOW)) if w else min(0.0, -offset) for w in bags]) + offset
             got = pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], got], [*b.schema.names[:-1], "__score"])
+            out = [*b.columns, got] if text in keep else [*b.columns[:-1], got]
+            yield pa.RecordBatch.from_arrays(out, [*b.schema.names, "__score"] if text in keep else [*b.schema.names[:-1], "__score"])
 
-    source = docs.select(F.col(key), *keep, F.col(text).cast("string").alias("__text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in source.dtypes[:-1]) + ", __score double"
-    return source.mapInArrow(run, schema).withColumnRenamed("__score", "score")
+    source = docs.select(F.col(key), *[c for c in keep if c != text], F.col(text).cast("string").alias("__text"))
+    given = source.dtypes if text in keep else source.dtypes[:-1]
+    scored = source.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in given) + ", __score double")
+    return scored.withColumnRenamed("__score", "score").withColumnRenamed("__text", text)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
