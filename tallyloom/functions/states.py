@@ -23,6 +23,11 @@ _NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 _INF = float("inf")
 
 
+def blank(c: Column) -> Column:
+    """Nothing but white space."""
+    return c.rlike(r"\A\s*\z")
+
+
 def is_text(df: DataFrame, field: str) -> bool:
     return isinstance(df.schema[field].dataType, StringType)
 
@@ -71,7 +76,7 @@ def as_day(df: DataFrame, field: str) -> Column:
     c, kind = F.col(field), df.schema[field].dataType
     if isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
         return c.cast("date")
-    return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(fmt)) for fmt in DATE_FORMATS]).cast("date")
+    return F.coalesce(*[F.try_to_timestamp(F.btrim(c, F.lit(" \t\n\r\x0b\x0c")), F.lit(fmt)) for fmt in DATE_FORMATS]).cast("date")
 
 
 def date_state(df: DataFrame, field: str, day: Column | None = None) -> Column:
@@ -79,12 +84,12 @@ def date_state(df: DataFrame, field: str, day: Column | None = None) -> Column:
     c = F.col(field)
     state = F.when(c.isNull(), "native_missing")
     if is_text(df, field):
-        state = state.when(F.trim(c) == "", "empty")
+        state = state.when(blank(c), "empty")
     return state.when((as_day(df, field) if day is None else day).isNotNull(), "parseable").otherwise("parse_failure")
 
 
 def text_state(c: Column) -> Column:
-    return F.when(c.isNull(), "native_missing").when(F.trim(c) == "", "empty_or_whitespace").otherwise("populated")
+    return F.when(c.isNull(), "native_missing").when(blank(c), "empty_or_whitespace").otherwise("populated")
 
 
 def entity_state(source: Column, finite: Column, nonzero: Column) -> Column:

@@ -30,7 +30,7 @@ def any_of(cols: list[Column]) -> Column:
 
 def _populated(df: DataFrame, name: str) -> Column:
     c = F.col(name)
-    return c.isNotNull() & (F.trim(c) != "") if S.is_text(df, name) else c.isNotNull()
+    return c.isNotNull() & ~S.blank(c) if S.is_text(df, name) else c.isNotNull()
 
 
 def component_flags(spine: DataFrame, sources: dict[str, DataFrame], components: dict[str, Component], key: str,

@@ -40,7 +40,7 @@ def index_cross_check(source: DataFrame, index: str, other: str) -> DataFrame:
 
 def token(c: Column) -> Column:
     """Category as text with explicit tokens for missing and blank."""
-    return F.when(c.isNull(), "<NULL>").when(F.trim(c) == "", "<EMPTY>").otherwise(c)
+    return F.when(c.isNull(), "<NULL>").when(S.blank(c), "<EMPTY>").otherwise(c)
 
 
 def combination_counts(df: DataFrame, fields: list[str]) -> DataFrame:

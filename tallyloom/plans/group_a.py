@@ -243,7 +243,7 @@ def _(t):
 
 
 def field_rows(t):
-    words = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,12}"), F.lit(0)))
+    words = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))
     return t.documents.select(F.concat("source", F.lit("_"), "lang").alias("file_name"), F.col("source").alias("table_group"), words.alias("w")).select(
         "file_name", "table_group", F.lower("w").alias("field_name")).distinct()
 

@@ -264,13 +264,11 @@ def _(t):
 
 @query(
     "h08_row_hashes",
-    """WITH h AS (SELECT md5(concat_ws('|', case_id, num_group1, amount, flag)) AS d, count(*) AS n FROM detail GROUP BY 1)
-       SELECT count(*) AS distinct_payloads, count(*) FILTER (WHERE n > 1) AS repeated_payloads, max(n) AS max_multiplicity FROM
+    """SELECT count(*) AS distinct_payloads, count(*) FILTER (WHERE n > 1) AS repeated_payloads, max(n) AS max_multiplicity FROM
        (SELECT case_id, num_group1, amount, flag, count(*) AS n FROM detail GROUP BY ALL) x""",
 )
 def _(t):
-    d = F.xxhash64("case_id", "num_group1", "amount", "flag")
-    g = t.detail.groupBy(d.alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    g = t.detail.groupBy("case_id", "num_group1", "amount", "flag").agg(F.count(F.lit(1)).alias("n"))
     return g.agg(F.count(F.lit(1)).alias("distinct_payloads"), F.count(F.when(F.col("n") > 1, 1)).alias("repeated_payloads"), F.max("n").alias("max_multiplicity"))
 
 

@@ -17,6 +17,9 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
+#: Views that a statement may read several times and that are dear to expand each time.
+SHARED_VIEWS = ("scores_long", "scenario_rows")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -53,7 +56,7 @@ def _view_closure(text: str) -> list[str]:
 def expand(sql: str) -> str:
     """Prefix the definitions of the input views a statement uses."""
     sql = sql.strip()
-    views = [f"{v} AS ({re.sub(r'{(\w+)}', r'\1', ALL_VIEWS[v]).strip()})" for v in _view_closure(sql)]
+    views = [f"{v} AS {'MATERIALIZED ' if v in SHARED_VIEWS else ''}({re.sub(r'{(\w+)}', r'\1', ALL_VIEWS[v]).strip()})" for v in _view_closure(sql)]
     if not views:
         return sql
     head = ",\n".join(views)

@@ -375,7 +375,7 @@ def isotonic_sql(counts: str) -> str:
 
 # words of each text as fields of the file "<source>_<lang>" in the group "<source>"
 SQL_VIEWS["field_rows"] = """
-SELECT DISTINCT concat(source, '_', lang) AS file_name, source AS table_group, lower(unnest(regexp_extract_all(text, '[A-Za-z]{6,12}'))) AS field_name FROM documents
+SELECT DISTINCT concat(source, '_', lang) AS file_name, source AS table_group, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS field_name FROM documents
 """
 SQL_VIEWS["dict_unique"] = """
 SELECT variable AS field_name, min_by(coalesce(description, ''), item_id) AS description FROM {dictionary} WHERE trim(coalesce(variable, '')) <> '' GROUP BY variable

@@ -1,5 +1,8 @@
 import datetime as dt
+import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import audit as A, checks as K, coverage as V, detail as T, features as X, history as H, joins as J
@@ -8,17 +11,23 @@ D = dt.date
 
 
 def test_structure(spark):
-    spine = spark.createDataFrame([(1,), (2,), (3,)], "case_id long")
-    src = spark.createDataFrame([(1, 0), (1, 0), (4, 0), (None, 1)], "case_id long, num_group1 long")
-    r = A.source_structure(spine, src, "case_id", "num_group1").first()
-    assert (r.null_key_rows, r.orphan_rows, r.matched_rows, r.duplicate_key_excess, r.duplicate_composite_excess) == (1, 1, 2, 1, 1)
-    assert r.missing_base_keys == 2 and r.join_readiness == "KEY_DEFECTS_REQUIRE_REVIEW"
+    rng = random.Random(12)
+    keys = [rng.choice([None, *range(30)]) for _ in range(400)]
+    data = [(k, rng.randrange(6)) for k in keys]
+    spine = set(range(5, 40))
+    r = A.source_structure(spark.createDataFrame([(k,) for k in sorted(spine)], "case_id long"), spark.createDataFrame(data, "case_id long, num_group1 long").repartition(3), "case_id", "num_group1").first()
+    known = [d for d in data if d[0] is not None]
+    assert r.null_key_rows == keys.count(None) and r.orphan_rows == sum(k not in spine for k, _ in known)
+    assert r.matched_rows == sum(k in spine for k, _ in known) and r.missing_base_keys == len(spine - {k for k, _ in known})
+    assert r.duplicate_key_excess == len(known) - len({k for k, _ in known}) and r.duplicate_composite_excess == len(known) - len(set(known))
+    assert r.join_readiness == "KEY_DEFECTS_REQUIRE_REVIEW"
 
 
 def test_shard_overlap(spark):
-    df = spark.createDataFrame([(1, 10, "a"), (2, 20, "a"), (2, 21, "b"), (3, 30, "b")], "k long, v long, f string")
-    r = J.shard_overlap(df, "k", "f", ["v"]).first()
-    assert (r.overlapping_keys, r.conflicting_keys, r.check_status) == (1, 1, "CHECKED")
+    left, right = {k: k * k for k in range(0, 70)}, {k: k * k + (k % 5 == 0) for k in range(55, 90)}
+    data = [(k, v, "left") for k, v in left.items()] + [(k, v, "right") for k, v in right.items()]
+    r = J.shard_overlap(spark.createDataFrame(data, "k long, v long, f string"), "k", "f", ["v"]).first()
+    assert (r.overlapping_keys, r.conflicting_keys, r.check_status) == (15, 3, "CHECKED")
 
 
 def test_shard_overlap_repeated_keys_not_compared(spark):
@@ -29,26 +38,36 @@ def test_shard_overlap_repeated_keys_not_compared(spark):
 
 
 def test_composite_overlap(spark):
-    data = [(0, 0, "l", 100), (1, 0, "l", 200), (1, 0, "r", 201), (2, 0, "r", 300)]
+    data = [(k, i, "x", 1000 * k + i) for k in range(12) for i in range(3)] + [(k, i, "y", 1000 * k + i + (k == 10 and i > 1)) for k in range(8, 20) for i in range(1, 5)]
     r = J.shard_composite_overlap(spark.createDataFrame(data, "k long, i long, f string, h long"), "k", "i", "f", ["h"]).first()
-    assert (r.case_overlap_count, r.composite_key_overlap_count, r.conflicting_composite_keys) == (1, 1, 1)
+    assert (r.case_overlap_count, r.composite_key_overlap_count, r.conflicting_composite_keys) == (4, 8, 1)
 
 
 def test_latest_ties(spark):
-    spine = spark.createDataFrame([(1,), (2,)], "case_id long")
-    src = spark.createDataFrame([(1, D(2020, 1, 2), 5), (1, D(2020, 1, 2), 7), (2, None, 1)], "case_id long, d date, v long")
+    rng = random.Random(8)
+    data = [(rng.randrange(25), rng.choice([None, D(2017, 3, 1), D(2017, 3, 2), D(2018, 11, 30)]), rng.randrange(3)) for _ in range(70)]
+    spine = spark.createDataFrame([(k,) for k in range(25)], "case_id long")
+    src = spark.createDataFrame(data, "case_id long, d date, v long")
+    tied = conflict = undated = 0
+    for k in range(25):
+        own = [(d, v) for c, d, v in data if c == k]
+        dated = [x for x in own if x[0] is not None]
+        undated += bool(own) and not dated
+        last = [v for d, v in dated if d == max(x[0] for x in dated)]
+        tied += len(last) > 1
+        conflict += len(set(last)) > 1
     r = A.latest_date_ties(spine, src, "case_id", "d", ["v"]).first()
-    assert (r.entities_latest_date_tied, r.entities_latest_tie_payload_conflict, r.entities_no_usable_date) == (1, 1, 1)
+    assert (r.entities_latest_date_tied, r.entities_latest_tie_payload_conflict, r.entities_no_usable_date) == (tied, conflict, undated) and conflict < tied
     off = A.latest_date_ties(spine, src, "case_id", "d", ["v"], track=False).first()
     assert off.entities_latest_date_tied is None and off.tie_status == "NOT_CHECKED"
 
 
 def test_date_audit(spark):
-    spine = spark.createDataFrame([(1, D(2020, 1, 1))], "case_id long, decision date")
-    src = spark.createDataFrame([(1, "2020-01-03"), (1, "bad"), (1, None)], "case_id long, d string")
-    m = {r.metric_name: r for r in A.audit_date(spine, src, "case_id", "d", "decision").collect()}
-    assert m["row_date_parse_failure_count"].value == 1 and m["date_offset_above_zero_count"].value == 1
-    assert m["date_offset_days_median"].value == 2
+    spine = spark.createDataFrame([(k, D(2015, 6, 15)) for k in range(4)], "case_id long, decision date")
+    texts = [(0, "2015-06-15"), (0, "2015-06-25"), (1, "2015-07-05"), (1, "15.06.2015"), (2, "2015-13-01"), (2, None), (3, "2014-06-15"), (3, "soon")]
+    m = {r.metric_name: r for r in A.audit_date(spine, spark.createDataFrame(texts, "case_id long, d string"), "case_id", "d", "decision").collect()}
+    assert m["row_date_parse_failure_count"].value == 3 and m["date_offset_above_zero_count"].value == 2
+    assert m["date_offset_days_median"].value == 5
 
 
 def test_undefined_status(spark):
@@ -61,41 +80,55 @@ def test_undefined_status(spark):
 
 
 def test_index_zero_rows(spark, rows):
-    spine = spark.createDataFrame([(1,), (2,), (3,), (4,)], "case_id long")
-    src = spark.createDataFrame([(1, 0, 100), (1, 1, 999), (2, 0, 200), (3, 0, 300), (3, 1, 888), (4, 0, 1), (4, 0, 2)],
-                                "case_id long, num_group1 long, v long")
-    got = rows(T.select_index_zero(spine, src, "case_id", "num_group1", ["v"]), "case_id")
-    assert [got[i]["v"] for i in (1, 2, 3, 4)] == [100, 200, 300, None]
+    data = [(k, i, 10 * k + i) for k in range(1, 20) for i in range(k % 4)] + [(30, 0, 7), (30, 0, 8), (31, 5, 9)]
+    spine = spark.createDataFrame([(k,) for k in [*range(1, 20), 30, 31, 32]], "case_id long")
+    got = rows(T.select_index_zero(spine, spark.createDataFrame(data, "case_id long, num_group1 long, v long"), "case_id", "num_group1", ["v"]), "case_id")
+    assert {k: r["v"] for k, r in got.items()} == {**{k: 10 * k if k % 4 else None for k in range(1, 20)}, 30: None, 31: None, 32: None}
 
 
 def test_ratio_review(spark):
-    df = spark.createDataFrame([(0.0, 1.0), (2.0, 0.0), (3.0, -1.0), (None, 2.0)], "n double, d double")
-    r = A.ratio_review(df, {"x": ("n", "d")}).first()
-    assert (r.eligible_count, r.undefined_count, r.denominator_zero_count, r.denominator_negative_count) == (1, 3, 1, 1)
+    data = [(n, d) for n in (None, -4.0, 0.0, 9.5) for d in (None, -2.0, -0.0, 0.0, 0.5, 1e-300)]
+    r = A.ratio_review(spark.createDataFrame(data, "n double, d double"), {"x": ("n", "d")}).first()
+    assert (r.eligible_count, r.undefined_count, r.denominator_zero_count, r.denominator_negative_count) == (6, 18, 8, 4)
 
 
 def test_duplicate_columns(spark):
-    df = spark.createDataFrame([(1, 1.0, 1.0, 1.0), (2, None, None, 0.0), (3, 0.0, 0.0, None)], "k long, a double, b double, c double")
-    assert [(r.left_column, r.right_column) for r in X.duplicate_columns(df, "k", ["a", "b", "c"]).collect()] == [("a", "b")]
+    rng = random.Random(5)
+    base = [rng.choice([None, 0.0, -1.5, 1e9]) for _ in range(80)]
+    last = [v if k < 79 else 123.0 for k, v in enumerate(base)]
+    data = [(k, b, l, b, None if b == 0 else b) for k, (b, l) in enumerate(zip(base, last))]
+    df = spark.createDataFrame(data, "k long, p double, q double, r double, s double")
+    assert [(x.left_column, x.right_column) for x in X.duplicate_columns(df, "k", ["p", "q", "r", "s"]).collect()] == [("p", "r")]
 
 
 def test_consistent_value(spark, rows):
-    spine = spark.createDataFrame([(i,) for i in range(1, 6)], "case_id long")
-    src = spark.createDataFrame([(1, 0.0), (1, 0.0), (2, None), (3, 1.0), (3, 2.0), (5, 4.0)], "case_id long, v double")
-    vals = T.consistent_value(spine, src, "case_id", "v")
-    got = rows(vals, "case_id")
-    assert [got[i]["value"] for i in range(1, 6)] == [0.0, None, None, None, 4.0]
+    rng = random.Random(21)
+    data = [(rng.randrange(40), rng.choice([None, None, 2.5, 2.5, 2.5, -8.0])) for _ in range(90)]
+    want, conflicts, empty = {}, 0, 0
+    for k in range(45):
+        own = [v for c, v in data if c == k]
+        seen = {v for v in own if v is not None}
+        want[k] = seen.pop() if len(seen) == 1 else None
+        conflicts += len({v for v in own if v is not None}) > 1
+        empty += bool(own) and all(v is None for v in own)
+    vals = T.consistent_value(spark.createDataFrame([(k,) for k in range(45)], "case_id long"), spark.createDataFrame(data, "case_id long, v double"), "case_id", "v")
+    assert {k: r["value"] for k, r in rows(vals, "case_id").items()} == want
     s = T.consistent_summary(vals).first()
-    assert (s.source_present_no_finite, s.conflicting_finite_values) == (1, 1)
+    assert (s.source_present_no_finite, s.conflicting_finite_values) == (empty, conflicts) and conflicts and empty
 
 
 def test_asof_history(spark, rows):
-    spine = spark.createDataFrame([(1, D(2020, 1, 10)), (2, D(2020, 1, 10)), (3, D(2020, 1, 10))], "case_id long, decision date")
-    a = spark.createDataFrame([(1, D(2020, 1, 5)), (2, D(2020, 1, 8)), (3, D(2020, 1, 11))], "case_id long, d date")
-    c = spark.createDataFrame([(1, D(2019, 1, 1)), (2, D(2020, 1, 3))], "case_id long, d date")
-    got = rows(H.combined_history(spine, a, "d", c, "d", "case_id", "decision"), "case_id")
-    assert [got[i]["history_days"] for i in (1, 2, 3)] == [374, 7, None]
-    assert got[3]["active_after_rows"] == 1 and got[3]["negative_before_exclusion"] is True
+    rng = random.Random(33)
+    day = lambda n: D(2012, 1, 1) + dt.timedelta(days=n)
+    decision = {k: day(rng.randrange(200, 260)) for k in range(30)}
+    active = [(rng.randrange(30), day(rng.randrange(0, 400))) for _ in range(50)]
+    closed = [(rng.randrange(30), day(rng.randrange(0, 400))) for _ in range(50)]
+    frame = lambda x: spark.createDataFrame(x, "case_id long, d date")
+    got = rows(H.combined_history(spark.createDataFrame(list(decision.items()), "case_id long, decision date"), frame(active), "d", frame(closed), "d", "case_id", "decision"), "case_id")
+    for k, when in decision.items():
+        known = [d for c, d in active + closed if c == k and d <= when]
+        assert got[k]["history_days"] == (max((when - d).days for d in known) if known else None)
+        assert got[k]["active_after_rows"] == sum(c == k and d > when for c, d in active)
 
 
 def test_weekly_and_missing_weeks(spark, rows):
@@ -106,27 +139,32 @@ def test_weekly_and_missing_weeks(spark, rows):
 
 
 def test_grouped_dates(spark):
-    day = lambda n: D(2020, 1, n)
-    l = spark.createDataFrame([(0, day(10)), (0, day(10)), (1, day(20))], "k long, d date")
-    r = spark.createDataFrame([(0, day(10)), (0, day(10)), (1, day(21))], "k long, d date")
-    x = J.grouped_date_comparison(l, r, "k", "d").first()
-    assert (x.matched_group_count, x.matched_equal_multiplicity_count, x.matched_ambiguous_multirow_group_count,
-            x.left_only_group_count, x.right_only_group_count) == (1, 1, 1, 1, 1)
+    rng = random.Random(6)
+    draw = lambda: [(rng.randrange(12), D(2019, 5, rng.randint(1, 3))) for _ in range(40)]
+    left, right = draw(), draw()
+    a, b = Counter(left), Counter(right)
+    x = J.grouped_date_comparison(spark.createDataFrame(left, "k long, d date"), spark.createDataFrame(right, "k long, d date"), "k", "d").first()
+    both = set(a) & set(b)
+    assert x.matched_group_count == len(both) and x.left_only_group_count == len(set(a) - both) and x.right_only_group_count == len(set(b) - both)
+    assert x.matched_equal_multiplicity_count == sum(a[g] == b[g] for g in both)
+    assert x.matched_ambiguous_multirow_group_count == sum(a[g] > 1 or b[g] > 1 for g in both)
 
 
 def test_summary_against_detail(spark):
-    spine = spark.createDataFrame([(1,), (2,), (3,)], "case_id long")
-    s = spark.createDataFrame([(1, 0.0, None), (2, 2.0, 0.3), (3, 1.0, 5.0)], "case_id long, c double, s double")
-    d = spark.createDataFrame([(2, 0.1), (2, 0.2), (3, 5.0)], "case_id long, a double")
-    j = J.summary_vs_detail(spine, s, d, "case_id", "c", "s", "a")
-    r = H.correspondence_counts(j, "c", "s").first()
-    assert (r.exact_record_count, r.exact_sum_count, r.close_sum_count) == (3, 1, 2)
+    spine = spark.createDataFrame([(k,) for k in range(1, 7)], "case_id long")
+    s = spark.createDataFrame([(1, 3.0, 0.6), (2, 1.0, 40.0), (3, 2.0, 17.5), (4, 5.0, 9.0), (6, 1.0, 2.25)], "case_id long, c double, s double")
+    d = spark.createDataFrame([(1, 0.2), (1, 0.2), (1, 0.2), (2, 40.0), (3, 10.0), (3, 7.0), (4, 9.0), (6, 2.25)], "case_id long, a double")
+    r = H.correspondence_counts(J.summary_vs_detail(spine, s, d, "case_id", "c", "s", "a"), "c", "s").first()
+    assert (r.exact_record_count, r.exact_sum_count, r.close_sum_count) == (4, 3, 4)
 
 
-def test_amount_states(spark):
-    df = spark.createDataFrame([(0, 0, None), (1, 0, None), (2, 2, 0.0), (2, 1, 5.0), (2, 1, -2.0)], "r long, f long, s double")
-    got = [x[0] for x in df.select(H.amount_state(F.col("r"), F.col("f"), F.col("s"))).collect()]
-    assert got == ["NO_DETAIL_SOURCE", "DETAIL_ALL_AMOUNTS_MISSING_OR_INVALID", "DETAIL_FINITE_ZERO_SUM"] + ["DETAIL_FINITE_NONZERO_SUM"] * 2
+@pytest.mark.parametrize("records, finite, total, state", [
+    (0, 0, None, "NO_DETAIL_SOURCE"), (6, 0, None, "DETAIL_ALL_AMOUNTS_MISSING_OR_INVALID"), (6, 6, -0.0, "DETAIL_FINITE_ZERO_SUM"),
+    (7, 3, 1e-9, "DETAIL_FINITE_NONZERO_SUM"), (1, 1, -480.5, "DETAIL_FINITE_NONZERO_SUM"),
+])
+def test_amount_states(spark, records, finite, total, state):
+    df = spark.createDataFrame([(records, finite, total)], "r long, f long, s double")
+    assert df.select(H.amount_state(F.col("r"), F.col("f"), F.col("s"))).first()[0] == state
 
 
 def test_signatures(spark):
@@ -158,8 +196,6 @@ def test_constant_column_has_no_correlation(spark):
 
 
 def test_align_refuses_repeated_keys(spark):
-    import pytest
-
     spine = spark.createDataFrame([(1,)], "case_id long")
     with pytest.raises(Exception, match="not unique"):
         J.align(spine, spark.createDataFrame([(1, 2), (1, 3)], "case_id long, v long"), "case_id").collect()

@@ -15,8 +15,8 @@ def bins(spark, p, k):
 
 
 def test_bins_keep_ties(spark):
-    assert bins(spark, [0.1] * 3 + [0.9] * 3, 3) == [(1, 3), (2, 3)]
-    assert bins(spark, [0.1, 0.2, 0.3, 0.4], 3)[0] == (1, 1)  # equal distance goes to the lower count
+    assert bins(spark, [0.05] * 2 + [0.4] * 11 + [0.75] * 3, 4) == [(1, 2), (2, 11), (3, 3)]
+    assert bins(spark, [0.11, 0.22, 0.33, 0.44, 0.55, 0.66], 4)[0] == (1, 1)  # equal distance goes to the lower count
     assert bins(spark, [0.3] * 7, 4) == [(1, 7)]
 
 
@@ -33,9 +33,11 @@ def test_bins_equal_brute_force(spark, seed):
 
 
 def test_bin_diagnostics(spark):
-    df = spark.createDataFrame([("m", 1, 0.2, 3), ("m", 3, -0.1, 3)], "model_id string, row_count long, gap double, requested_bins long")
+    rng = np.random.default_rng(9)
+    n, gap = rng.integers(1, 50, 12), rng.normal(0, 0.1, 12)
+    df = spark.createDataFrame([("m", int(a), float(g), 12) for a, g in zip(n, gap)], "model_id string, row_count long, gap double, requested_bins long")
     r = C.bin_diagnostics(df, ["model_id"]).first()
-    assert r.ece == pytest.approx(0.125) and r.max_abs_gap == pytest.approx(0.2)
+    assert r.ece == pytest.approx((n * np.abs(gap)).sum() / n.sum()) and r.max_abs_gap == pytest.approx(np.abs(gap).max())
 
 
 def sample(seed=0, n=3000):

@@ -6,13 +6,16 @@ from tallyloom.operators import features as X, metrics as M, ranking as R
 
 
 def test_ties_follow_base_order(spark):
-    p, base = [0.2, 0.1, 0.1, 0.3, 0.2], [4, 3, 1, 2, 0]
-    df = spark.createDataFrame(list(zip(range(5), p, base)), "i int, p double, b int")
-    r = {x.i: x for x in R.running(df, [], ["p", "b"]).select(
-        "i", "rn", R.risk_percentile(F.col("rn"), F.col("n_rows")).alias("pct"), R.equal_count_bin(F.col("rn"), F.col("n_rows"), 5).alias("bin")).collect()}
-    order = sorted(r, key=lambda i: r[i].rn)
-    assert order == [2, 1, 4, 0, 3]
-    assert [r[i].pct for i in order] == [0, 0.25, 0.5, 0.75, 1.0] and [r[i].bin for i in order] == [1, 2, 3, 4, 5]
+    rng = np.random.default_rng(19)
+    p, base = rng.integers(0, 4, 41) / 8, rng.permutation(41)
+    df = spark.createDataFrame([(i, float(a), int(b)) for i, (a, b) in enumerate(zip(p, base))], "i int, p double, b int")
+    r = {x.i: x for x in R.running(df.repartition(3), [], ["p", "b"]).select(
+        "i", "rn", R.risk_percentile(F.col("rn"), F.col("n_rows")).alias("pct"), R.equal_count_bin(F.col("rn"), F.col("n_rows"), 4).alias("bin")).collect()}
+    order = np.lexsort((base, p)).tolist()
+    assert sorted(r, key=lambda i: r[i].rn) == order
+    assert np.allclose([r[i].pct for i in order], np.arange(41) / 40)
+    sizes = np.bincount([r[i].bin for i in order])[1:]
+    assert len(sizes) == 4 and sizes.sum() == 41 and sizes.max() - sizes.min() == 1 and [r[i].bin for i in order] == sorted(r[i].bin for i in order)
 
 
 def test_running_matches_brute_force_with_a_heavy_tie(spark):
@@ -62,16 +65,21 @@ def test_weighted_quantiles(spark):
 
 
 def test_distribution_summary(spark):
-    df = spark.createDataFrame([(-0.2,), (0.0,), (0.1,), (0.3,)], "v double").withColumn("g", F.lit(1))
-    r = X.distribution_summary(df, ["g"], "v").first()
-    assert (r.n_cases, r.share_below_zero, r.share_exactly_zero, r.share_above_zero) == (4, 0.25, 0.25, 0.5)
-    assert r.standard_deviation == pytest.approx(np.std([-0.2, 0, 0.1, 0.3], ddof=1), abs=1e-9)
-
-
-def test_top_risk_keeps_ties(spark):
-    df = spark.createDataFrame([(0.9, 1), (0.8, 0), (0.8, 1), (0.8, 0), (0.1, 0)], "pd double, target long").withColumn("m", F.lit("x"))
-    r = M.top_risk(M.score_table(df, ["m"]), ["m"], [0.4]).first()
-    assert (r.actual_rows, r.cutoff, r.positive_count) == (4, 0.8, 2)
+    v = np.concatenate([np.random.default_rng(4).normal(0.3, 2, 57), np.zeros(9)])
+    r = X.distribution_summary(spark.createDataFrame([("g", float(x)) for x in v], "g string, v double"), ["g"], "v").first()
+    assert r.n_cases == 66
+    assert [r.share_below_zero, r.share_exactly_zero, r.share_above_zero] == pytest.approx([(v < 0).mean(), 9 / 66, (v > 0).mean()], abs=1e-9)
+    assert r.standard_deviation == pytest.approx(v.std(ddof=1), abs=1e-9)
+
+
+@pytest.mark.parametrize("share", [0.05, 0.3, 0.62])
+def test_top_risk_keeps_ties(spark, share):
+    rng = np.random.default_rng(7)
+    p, y = rng.integers(1, 9, 90) / 10, rng.integers(0, 2, 90)
+    df = spark.createDataFrame([(float(a), int(b), "x") for a, b in zip(p, y)], "pd double, target long, m string")
+    r = M.top_risk(M.score_table(df, ["m"]), ["m"], [share]).first()
+    cut = np.sort(p)[::-1][int(np.ceil(share * 90 - 1e-9)) - 1]
+    assert (r.actual_rows, r.cutoff, r.positive_count) == ((p >= cut).sum(), cut, y[p >= cut].sum())
 
 
 def auc_ap(y, p):
