@@ -14,6 +14,8 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, count
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -95,21 +97,28 @@ class ChunkTokenizer:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Raw little-endian ids of each whole text."""
         cut = [common.chunks(t or "") for t in texts]
-        for cache in (self._inner, self._first):
-            if len(cache) >= self.limit:
-                cache.clear()
+        if len(self._inner) >= self.limit:  # what these texts use stays
+            self._inner = {w: self._inner[w] for w in set().union(*cut) if w in self._inner}
+        if len(self._first) >= self.limit:
+            self._first.clear()
         inner, first = self._inner, self._first
-        missing = [w for w in set().union(*[c[1:] for c in cut]) if w not in inner]
-        plain = [w for w in missing if " " not in w and not w[-1].isspace()]
+        heads = [c.pop(0) for c in cut]
+        known = [list(map(inner.get, c)) for c in cut]
+        new: set[str] = set()
+        for c, k in zip(cut, known):
+            new.update(compress(c, map(not_, k)))
+        plain = [w for w in new if " " not in w and not w[-1].isspace()]
         if plain:
             self._learn(plain)
-        odd = {w: self._ids(" " + w).tobytes() for w in missing if w not in inner} if len(plain) < len(missing) else {}
+        odd = {w: self._ids(" " + w).tobytes() for w in new if w not in inner} if len(plain) < len(new) else {}
         out = []
-        for c in cut:
-            head = first.get(c[0])
+        for h, c, k in zip(heads, cut, known):
+            head = first.get(h)
             if head is None:
-                head = first[c[0]] = self._ids(c[0]).tobytes()
-            out.append(b"".join([head, *[inner[w] for w in c[1:]]] if not odd else [head, *[inner[w] if w in inner else odd[w] for w in c[1:]]]))
+                head = first[h] = self._ids(h).tobytes()
+            for i in list(compress(count(), map(not_, k))):
+                k[i] = inner.get(c[i]) or odd[c[i]]
+            out.append(b"".join([head, *k]))
         return out
 
 
