@@ -4,8 +4,9 @@ Equal vectors of a label are one node.  Nodes are dealt to overlapping cluster s
 node to candidates by robust pruning, and a node's lists from all its shards are united.  In each shard every node then
 searches greedily from the shard's medoid and from itself and widens from all nodes in range until no new one is in range.
 A share of the searches is audited against all rows of the shard; a shard whose audit misses a link is searched by blocked
-exact products.  Every link is verified in double precision.  A link is counted in the first of the shards that its two ends
-share, so counts need no list of pairs; a shard gives a spanning forest of its links for the components.
+exact products.  A shard gives a spanning forest of its links, never all pairs.  Links join whole components, so the last step
+verifies: blocks of a component's vectors meet, exact products in double precision count each node's links, and a link
+that a search has passed over inside a component is counted as well.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from .components import components, unite
 
 THRESHOLD = 0.98
 #: Nodes of a shard at most; clusters that a larger shard is split into; shards a node goes to in a split; splits.
-SHARD, FAN, OVERLAP, LEVELS = 1536, 32, 3, 4
+SHARD, FAN, OVERLAP, LEVELS = 512, 32, 3, 4
 #: Nearest and random candidates, kept links, slack of pruning, beam, share of audited searches (1 / AUDIT).
-NEAREST, RANDOM, DEGREE, ALPHA, BEAM, AUDIT = 48, 16, 24, 1.2, 24, 20
+NEAREST, RANDOM, DEGREE, ALPHA, BEAM, AUDIT = 24, 8, 12, 1.2, 8, 20
 
 
 def valid(vector: Column) -> Column:
@@ -76,34 +77,37 @@ def _assign(cells: DataFrame, crowded: DataFrame) -> DataFrame:
                 best = np.argsort(-sims, axis=1, kind="stable")[:, :overlap]
                 for k, near in zip(rows, best.tolist()):
                     names[k] = [(c * 1000003 + x + 1) % (1 << 62) for x in near]
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("weight"), vectors, pa.array(names, pa.list_(pa.int64()))], ["node", "weight", "vector", "to"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), vectors, pa.array(names, pa.list_(pa.int64()))], ["node", "vector", "to"])
 
     kind = cells.schema["vector"].dataType.simpleString()
-    moved = met.select("node", "weight", "vector", "cell", "centroids").mapInArrow(run, f"node bigint, weight bigint, vector {kind}, to array<bigint>")
-    return moved.select("node", "weight", "vector", F.explode("to").alias("cell")).distinct()
+    moved = met.select("node", "vector", "cell", "centroids").mapInArrow(run, f"node bigint, vector {kind}, to array<bigint>")
+    return moved.select("node", "vector", F.explode(F.array_distinct("to")).alias("cell"))
 
 
 def shards(nodes: DataFrame) -> DataFrame:
-    """(node, weight, vector, cell, block, blocks, own): rows of tasks of bounded size.
+    """(node, vector, cell, block, blocks): rows of tasks of bounded size.
 
     A cell that stays crowded, because its vectors are alike, is cut into blocks, and a task holds a pair of blocks.
     """
-    cells = nodes.select("node", "weight", "vector", F.pmod(F.xxhash64("label", F.size("vector")), F.lit(1 << 62)).alias("cell"))
+    cells = nodes.select("node", "vector", F.pmod(F.xxhash64("label", F.size("vector")), F.lit(1 << 62)).alias("cell"))
     for _ in range(LEVELS):
         sizes = common.stored(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD), "crowded-cells")
         if sizes.isEmpty():
             break
-        cells = common.stored(cells.join(sizes.select("cell"), "cell", "left_anti").select("node", "weight", "vector", "cell").unionByName(_assign(cells, sizes)), "cells")
-    counts = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARD)).cast("int").alias("blocks"))
-    counts = counts.withColumn("blocks", F.when(F.col("blocks") > 1, 2 * F.col("blocks")).otherwise(F.col("blocks")))
-    homes = cells.groupBy("node").agg(F.sort_array(F.collect_set("cell")).alias("homes"))
-    return cells.join(counts, "cell").join(homes, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        cells = common.stored(cells.join(sizes.select("cell"), "cell", "left_anti").select("node", "vector", "cell").unionByName(_assign(cells, sizes)), "cells")
+    return in_blocks(cells, "cell")
+
+
+def in_blocks(rows: DataFrame, group: str) -> DataFrame:
+    """Add a row's block and the number of blocks of its group; two blocks together are a shard at most."""
+    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    blocks = F.when(F.col("n") <= SHARD, 1).otherwise(F.ceil(2 * F.col("n") / SHARD)).cast("int")
+    return rows.join(counts.select(group, blocks.alias("blocks")), group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
 def tasks(rows: DataFrame) -> DataFrame:
-    """One copy of a row for each pair of blocks it takes part in; the single pair (0, 0) in an uncut cell."""
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    both = rows.withColumn("other", other)
+    """One copy of a row for each pair of blocks it takes part in; the single pair (0, 0) in an uncut group."""
+    both = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return both.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
 
 
@@ -213,16 +217,16 @@ def _adjacency(table: pa.Table) -> pa.Table:
 
 def _find(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        node, weight = table.column("node").to_numpy(), table.column("weight").to_numpy()
+        node = table.column("node").to_numpy()
         x, n = unit(_matrix(table.column("vector"))), table.num_rows
         order = np.argsort(node)
-        lists_ = table.column("links").combine_chunks()
-        flat, size = lists_.flatten().to_numpy(), np.diff(lists_.offsets.to_numpy())
-        place = np.searchsorted(node[order], flat)
-        here = (place < n) & (node[order][np.minimum(place, n - 1)] == flat)
-        owner, to = np.repeat(np.arange(n), size)[here], order[np.minimum(place, n - 1)][here]
+        united = table.column("links").combine_chunks()
+        flat, size = united.flatten().to_numpy(), np.diff(united.offsets.to_numpy())
+        place = np.minimum(np.searchsorted(node[order], flat), n - 1)
+        here = node[order][place] == flat
+        owner, to = np.repeat(np.arange(n), size)[here], order[place][here]
         rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-        links = np.full((n, max(1, int(rank.max(initial=0)) + 1)), -1, np.int64)
+        links = np.full((n, int(rank.max(initial=0)) + 1), -1, np.int64)
         links[owner, rank] = to
         q, v = search(x, links, threshold)
         audit = np.flatnonzero(node % AUDIT == 0)
@@ -230,25 +234,42 @@ def _find(threshold: float):
         missed = len(np.setdiff1d(aq * n + av, q * n + v)) > 0
         if missed:
             q, v = exact(x, threshold, np.arange(n))
-        # a link counts in the first cell that its ends share, in the task of their two blocks
-        cell, i, j = (table.column(c)[0].as_py() for c in ("cell", "i", "j"))
-        block = table.column("block").to_numpy()
-        mine = (np.minimum(block[q], block[v]) == i) & (np.maximum(block[q], block[v]) == j)
-        homes = table.column("homes").combine_chunks()
-        at, cells = homes.offsets.to_numpy(), homes.flatten().to_numpy()
-        if (np.diff(at) > 1).any():
-            ids = [cells[a:b] for a, b in zip(at[:-1], at[1:])]
-            first = np.array([c[0] == cell for c in ids])
-            for k in np.flatnonzero(mine & ~(first[q] | first[v])).tolist():
-                mine[k] = np.intersect1d(ids[q[k]], ids[v[k]], assume_unique=True)[0] == cell
-        counts = np.bincount(q[mine], weight[v[mine]].astype(np.float64), n).astype(np.int64)
         root = np.arange(n)
         unite(root, q, v)
-        return pa.table({"node": pa.array(node), "linked": pa.array(counts), "to": pa.array(node[root]), "audited": pa.array(np.isin(np.arange(n), audit).astype(np.int64)), "missed": pa.array(np.full(n, int(missed), np.int64))})
+        return pa.table({"node": pa.array(node), "to": pa.array(node[root]), "missed": pa.array(np.full(n, missed))})
 
     return run
 
 
+def links_inside(members: DataFrame, threshold: float) -> DataFrame:
+    """(node, linked): weight of the nodes that each node links with, by exact products inside its component.
+
+    ``members`` holds node, weight, vector, root.  A large component is cut into blocks and a task holds a pair of blocks.
+    """
+    placed = tasks(in_blocks(members, "root"))
+    keyed = placed.withColumn("task", F.xxhash64("root", "i", "j")).repartition("task")
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).sort_by([("root", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("root", "i", "j")])
+        cuts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0), [True]]))
+        block, weight = table.column("block").to_numpy(), table.column("weight").to_numpy().astype(np.float64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            part = table.slice(a, b - a)
+            x, w = unit(_matrix(part.column("vector"))), weight[a:b]
+            near = x @ x.T >= threshold
+            np.fill_diagonal(near, False)
+            if key[1, a] != key[2, a]:  # two blocks: only links across
+                near &= block[a:b, None] != block[None, a:b]
+            yield pa.RecordBatch.from_arrays([part.column("node").combine_chunks(), pa.array((near @ w).astype(np.int64))], ["node", "linked"])
+
+    counted = keyed.select("node", "weight", "vector", "root", "i", "j", "block").mapInArrow(run, "node bigint, linked bigint")
+    return counted.groupBy("node").agg(F.sum("linked").alias("linked"))
+
+
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """Per row: key, n_links, component_id, kept.
 
@@ -257,18 +278,19 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     are rows of their own that link with each other.  A null key is kept, names no component and is not kept as a
     representative.
     """
-    rows = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), F.col(label).alias("label"))
+    rows = vectors.select(F.col(key).alias("key"), F.col(vector).alias("vector"), F.col(label).alias("label"))
     rows = rows.withColumn("ok", F.col("label").isNotNull() & valid(F.col("vector")))
     classes = rows.where("ok").groupBy("label", "vector").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("weight"))
     nodes = common.stored(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    placed = common.stored(tasks(shards(nodes)), "shards")
+    placed = common.stored(tasks(shards(nodes)).drop("block"), "shards")
     adjacency = placed.groupBy("cell", "i", "j").applyInArrow(_adjacency, "node bigint, links array<bigint>")
     union = adjacency.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))
-    found = placed.join(union, "node").groupBy("cell", "i", "j").applyInArrow(_find(threshold), "node bigint, linked bigint, to bigint, audited bigint, missed bigint")
-    found = common.stored(found, "links")
-    roots = components(found.where("node != to").select(F.col("node").alias("a"), F.col("to").alias("b")))
-    linked = found.groupBy("node").agg(F.sum("linked").alias("linked"))
-    each = nodes.join(linked, "node").join(roots, "node", "left").select("label", "vector", "head", (F.col("linked") + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    found = placed.join(union, "node").groupBy("cell", "i", "j").applyInArrow(_find(threshold), "node bigint, to bigint, missed boolean")
+    found = common.stored(found.where("node != to"), "links")
+    roots = common.stored(components(found.select(F.col("node").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "member"), "components")
+    members = nodes.join(roots, nodes.node == roots.member).select("node", "weight", "vector", "root")
+    linked = links_inside(members, threshold).join(roots.withColumnRenamed("member", "node"), "node")
+    each = nodes.join(linked, "node", "left").select("label", "vector", "head", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
     named = each.join(each.groupBy("root").agg(F.min("head").alias("component_id")), "root").select("label", "vector", "n_links", "component_id")
     good = rows.where("ok").join(named, ["label", "vector"]).select("key", "n_links", "component_id")
     alone = rows.where("not ok").select("key", F.lit(0).cast("bigint").alias("n_links"), F.col("key").alias("component_id"))
