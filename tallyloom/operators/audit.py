@@ -459,12 +459,21 @@ def weekly_summary(df: DataFrame, week: str, day: str, label: str) -> DataFrame:
     }).orderBy(F.col("week_num").asc_nulls_last())
 
 
+#: Numbers of a gap that one row is unfolded to.
+GAP_BLOCK = 100_000
+
+
 def missing_integers(df: DataFrame, field: str) -> DataFrame:
-    """Whole numbers that are absent between consecutive observed values."""
+    """Whole numbers that are absent between consecutive observed values.
+
+    Neighbours meet by their global row number; a wide gap is cut into blocks first, so no row holds a whole gap.
+    """
     seen = df.where(F.col(field).isNotNull()).select(F.col(field).cast("bigint").alias("v")).distinct()
-    span = seen.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    return span.select(F.explode(F.sequence("lo", "hi")).alias("v")).join(seen, "v", "left_anti").select(
-        F.lit(field).alias("field"), F.col("v").alias("missing_value"))
+    placed = running(seen, [], ["v"]).select("v", "rn")
+    gaps = placed.join(placed.select((F.col("rn") - 1).alias("rn"), F.col("v").alias("next")), "rn").where("next - v > 1")
+    blocks = gaps.select("next", F.explode(F.sequence(F.col("v") + 1, F.col("next") - 1, F.lit(GAP_BLOCK).cast("bigint"))).alias("lo"))
+    missing = blocks.select(F.explode(F.sequence("lo", F.least(F.col("lo") + GAP_BLOCK, F.col("next")) - 1)).alias("v"))
+    return missing.select(F.lit(field).alias("field"), F.col("v").alias("missing_value"))
 
 
 def week_ranges(df: DataFrame, week: str, day: str) -> DataFrame:

@@ -215,11 +215,11 @@ def draws(positions: DataFrame, label: str, first: int, last: int) -> DataFrame:
     """Drawn class positions of the replicates ``first`` .. ``last`` - 1, one row per draw.
 
     Every row makes one draw per replicate within its class, so class sizes are kept; the
-    draw is an md5 number and does not depend on the layout of the data.
+    draw is a 60-bit md5 number and does not depend on the layout of the data.
     """
     reps = positions.select(label, "position", "class_size", F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("replicate_id"))
     text = F.concat_ws("|", F.col("replicate_id").cast("string"), F.col(label).cast("string"), F.col("position").cast("string"))
-    pick = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % F.col("class_size")
+    pick = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint") % F.col("class_size")
     return reps.select("replicate_id", label, pick.alias("position"))
 
 
@@ -228,7 +228,7 @@ def draw_counts(positions: DataFrame, label: str, first: int, last: int) -> Data
     return draws(positions, label, first, last).groupBy("replicate_id", label, "position").agg(F.count(F.lit(1)).alias("draws"))
 
 
-def paired_bootstrap(rows: DataFrame, key: str, label: str, variants: dict[str, tuple[str, str]], replicates: int, block: int = 100) -> DataFrame:
+def paired_bootstrap(rows: DataFrame, key: str, label: str, variants: dict[str, tuple[str, str]], replicates: int, block: int = 500) -> DataFrame:
     """Replicate means of log loss and Brier score for every (model, method) column of ``rows``.
 
     ``variants`` maps a probability column to its (model_id, method).  All variants share

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import states as S
 from .longform import count_where
@@ -166,13 +166,13 @@ def shard_overlap(df: DataFrame, key: str, shard: str, payload: list[str]) -> Da
 
 
 def _shard_pairs(stats: DataFrame, shard: str, cols: list[str]) -> DataFrame:
-    """Ordered pairs of the shard statistics: one row per file on each side."""
-    one = stats.agg(F.sort_array(F.collect_list(F.struct(F.col(shard).alias("s"), *cols))).alias("all"))
-    pairs = one.select(F.explode(_pairs("all")).alias("p"))
-    return pairs.select(
-        F.col("p.a.s").alias("left_file"), F.col("p.b.s").alias("right_file"),
-        *[F.col(f"p.a.{c}").alias(f"left_{c}") for c in cols], *[F.col(f"p.b.{c}").alias(f"right_{c}") for c in cols],
-    )
+    """Ordered pairs of the shard statistics: one row per file on each side, met by the partner's number."""
+    order = Window.partitionBy(F.lit(0))  # one row per file
+    numbered = stats.select(F.col(shard).alias("s"), *cols, F.row_number().over(order.orderBy(shard)).alias("i"), F.count(F.lit(1)).over(order).alias("files"))
+    left = numbered.where("i < files").select(
+        F.col("s").alias("left_file"), *[F.col(c).alias(f"left_{c}") for c in cols], F.explode(F.sequence(F.col("i") + 1, F.col("files").cast("int"))).alias("i"))
+    right = numbered.select(F.col("s").alias("right_file"), *[F.col(c).alias(f"right_{c}") for c in cols], "i")
+    return left.join(right, "i").drop("i")
 
 
 def shard_composite_overlap(df: DataFrame, key: str, index: str, shard: str, payload: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import groups as G, probability as P
 from ..operators import calibration as C, checks as K, metrics as M, split as SP
@@ -10,9 +10,10 @@ from ..operators.scoring import unpivot_models
 from ..session import freeze
 from .group_d2 import split_of
 from .registry import query
-from .sqlviews import BOOT_MODELS, isotonic_sql, metric_sql, newton_sql
+from .sqlviews import isotonic_sql, metric_sql, newton_sql
 
-REPLICATES = 20
+#: Fixed value: bootstrap replicates.
+REPLICATES = 2000
 
 
 def cal_scores(t):
@@ -29,36 +30,44 @@ def cal_folds(t):
     return unpivot_models(wide, G.MODELS, ["fold_id"]).drop("base_order")
 
 
-def method_columns(score: str) -> dict:
-    p = F.col(score)
-    return {"identity": p, "logistic": P.sigmoid(F.lit(0.1) + F.lit(0.95) * P.logit(p)), "isotonic": F.round(p, 3)}
+METHODS = ("identity", "logistic", "isotonic")
 
 
-def methods_long(t):
-    rows = cal_folds(t).where(F.col("model_id").isin(*BOOT_MODELS))
-    return rows.select("case_id", "target", "model_id", "fold_id", F.inline(F.array(*[
-        F.struct(F.lit(m).alias("method"), e.alias("pd")) for m, e in method_columns("pd").items()])))
+def calibrated(t):
+    """Calibration rows with the raw probability and both out-of-fold maps, all models."""
+    folds = freeze(cal_folds(t))
+    keys = ["case_id", "model_id"]
+    logistic = C.cross_fit_logistic(folds, 5).select(*keys, F.col("oof").alias("logistic"))
+    isotonic = C.cross_fit_isotonic(folds, list(G.MODELS), 5).select(*keys, F.col("oof").alias("isotonic"))
+    return freeze(folds.withColumnRenamed("pd", "identity").join(logistic, keys).join(isotonic, keys))
 
 
-def bootstrap(t):
-    s = cal_scores(t)
-    variants, cols = {}, []
-    for m in BOOT_MODELS:
-        for name, e in method_columns(m).items():
-            variants[f"{m}_{name}"] = (m, name)
-            cols.append(e.alias(f"{m}_{name}"))
-    return freeze(C.paired_bootstrap(s.select("case_id", "target", *cols), "case_id", "target", variants, REPLICATES))
+def methods_long(rows):
+    return rows.select("case_id", "target", "model_id", "fold_id", F.inline(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("pd")) for m in METHODS])))
 
 
-def guarded(t, boot):
-    metrics = M.binary_metrics(methods_long(t), ["model_id", "method"], digits=15)
-    slopes = t.spark.createDataFrame([(m, "logistic", 0.95) for m in BOOT_MODELS], "model_id string, method string, slope double")
-    return freeze(C.guardrails(metrics, slopes, C.paired_errors(C.differences_to_identity(boot), "brier_vs_identity")))
+def bootstrap(rows):
+    """Replicate losses of every model and method: one column each, so all share the draws."""
+    wide = rows.groupBy("case_id", "target").pivot("model_id", list(G.MODELS)).agg(*[F.max(m).alias(m) for m in METHODS])
+    variants = {f"{m}_{name}": (m, name) for m in G.MODELS for name in METHODS}
+    return freeze(C.paired_bootstrap(wide, "case_id", "target", variants, REPLICATES))
+
+
+def fitted_slopes(rows):
+    """Slope of each model's logistic map, fitted on all calibration rows."""
+    fits = C.fit_logistic(M.score_counts(rows.withColumnRenamed("identity", "pd"), ["model_id"]), ["model_id"])
+    return fits.select("model_id", F.lit("logistic").alias("method"), F.col("beta").alias("slope"))
+
+
+def guarded(rows, boot):
+    metrics = M.binary_metrics(methods_long(rows), ["model_id", "method"], digits=15)
+    return freeze(C.guardrails(metrics, fitted_slopes(rows), C.paired_errors(C.differences_to_identity(boot), "brier_vs_identity")))
 
 
 def selection(t):
-    boot = bootstrap(t)
-    g = guarded(t, boot)
+    rows = calibrated(t)
+    boot = bootstrap(rows)
+    g = guarded(rows, boot)
     ref = freeze(C.reference_methods(g))
     return C.select_method(g, ref, C.paired_errors(C.annotate_reference(boot, ref), "log_loss_difference"))
 
@@ -146,21 +155,12 @@ def _(t):
     return C.cross_fit_logistic(cal_folds(t), 5).select("model_id", "fold_id", "case_id", F.round("oof", 7).alias("oof"))
 
 
-_ISO_CF = isotonic_sql("""SELECT concat(c.model_id, '|', h.f) AS grp, c.pd AS x, count(*)::DOUBLE AS n, sum(target)::DOUBLE AS pos FROM cal_fold c
-    JOIN range(0, 5) h(f) ON h.f <> c.fold_id WHERE c.model_id IN ('trees_t', 'trees_ad') GROUP BY 1, 2""")
-
-
 @query(
     "k05_cross_fit_isotonic",
-    f"""WITH {_ISO_CF}, q AS (SELECT *, concat(model_id, '|', fold_id) AS grp FROM cal_fold WHERE model_id IN ('trees_t', 'trees_ad')),
-        lo AS (SELECT q.*, i.x AS x0, i.y AS y0 FROM q ASOF LEFT JOIN iso i ON i.grp = q.grp AND q.pd >= i.x),
-        hi AS (SELECT lo.*, i.x AS x1, i.y AS y1 FROM lo ASOF LEFT JOIN iso i ON i.grp = lo.grp AND lo.pd <= i.x)
-        SELECT model_id, fold_id, case_id, round(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x1 = x0 THEN y0
-               ELSE y0 + (y1 - y0) * (pd - x0) / (x1 - x0) END, 7) AS oof FROM hi""",
+    "SELECT model_id, fold_id, case_id, round(pd, 7) AS oof FROM methods WHERE method = 'isotonic'",
 )
 def _(t):
-    rows = cal_folds(t).where(F.col("model_id").isin(*BOOT_MODELS))
-    return C.cross_fit_isotonic(rows, list(BOOT_MODELS), 5).select("model_id", "fold_id", "case_id", F.round("oof", 7).alias("oof"))
+    return C.cross_fit_isotonic(cal_folds(t), list(G.MODELS), 5).select("model_id", "fold_id", "case_id", F.round("oof", 7).alias("oof"))
 
 
 @query("k05_oof_coverage", "SELECT model_id, count(*) AS keys, count(*) AS predictions, 0::BIGINT AS repeated_keys, 0::BIGINT AS invalid_predictions FROM cal_long GROUP BY 1")
@@ -170,7 +170,7 @@ def _(t):
 
 @query("k06_fold_metrics", metric_sql("methods", "model_id, method, fold_id"))
 def _(t):
-    return C.fold_metrics(methods_long(t))
+    return C.fold_metrics(methods_long(calibrated(t)))
 
 
 @query(
@@ -181,7 +181,7 @@ def _(t):
                CASE WHEN count(*) FILTER (WHERE better) <= 1 THEN 'STABILITY_WARNING' ELSE '' END AS warning FROM j GROUP BY 1, 2""",
 )
 def _(t):
-    return C.stability(C.fold_metrics(methods_long(t)))
+    return C.stability(C.fold_metrics(methods_long(calibrated(t))))
 
 
 _R = lambda *cols: ", ".join(f"round({c}, 10) AS {c}" for c in cols)
@@ -193,30 +193,31 @@ def rounded(df, *cols):
 
 @query("k07_paired_bootstrap", f"SELECT replicate_id, model_id, method, {_R('log_loss', 'brier_score')} FROM boot")
 def _(t):
-    return rounded(bootstrap(t), "log_loss", "brier_score").withColumn("replicate_id", F.col("replicate_id").cast("bigint"))
+    return rounded(bootstrap(calibrated(t)), "log_loss", "brier_score").withColumn("replicate_id", F.col("replicate_id").cast("bigint"))
 
 
 @query(
     "k07_draw_counts",
     """WITH p AS (SELECT target, row_number() OVER (PARTITION BY target ORDER BY case_id) - 1 AS position, count(*) OVER (PARTITION BY target) AS m FROM cal)
-       SELECT CAST(r AS BIGINT) AS replicate_id, target, CAST('0x' || substr(md5(concat_ws('|', r, target, position)), 1, 8) AS BIGINT) % m AS position, count(*) AS draws
-       FROM p CROSS JOIN range(0, 5) t(r) GROUP BY 1, 2, 3""",
+       SELECT CAST(r AS BIGINT) AS replicate_id, target, CAST('0x' || substr(md5(concat_ws('|', r, target, position)), 1, 15) AS BIGINT) % m AS position, count(*) AS draws
+       FROM p CROSS JOIN range(0, 2000) t(r) GROUP BY 1, 2, 3""",
 )
 def _(t):
     pos = C.class_positions(cal_scores(t).select("case_id", "target"), "case_id", "target")
-    return C.draw_counts(pos, "target", 0, 5).withColumn("replicate_id", F.col("replicate_id").cast("bigint"))
+    return C.draw_counts(pos, "target", 0, REPLICATES).withColumn("replicate_id", F.col("replicate_id").cast("bigint"))
 
 
 @query("k08_differences_to_identity", f"SELECT replicate_id, model_id, method, {_R('log_loss_vs_identity', 'brier_vs_identity')} FROM boot_diff")
 def _(t):
-    d = C.differences_to_identity(bootstrap(t))
+    d = C.differences_to_identity(bootstrap(calibrated(t)))
     return rounded(d, "log_loss_vs_identity", "brier_vs_identity").withColumn("replicate_id", F.col("replicate_id").cast("bigint"))
 
 
 @query("c09_reference_rows", f"SELECT replicate_id, model_id, method, reference_method, {_R('log_loss', 'reference_log_loss', 'log_loss_difference')} FROM boot_ref")
 def _(t):
-    boot = bootstrap(t)
-    a = C.annotate_reference(boot, C.reference_methods(guarded(t, boot))).withColumn("replicate_id", F.col("replicate_id").cast("bigint"))
+    rows = calibrated(t)
+    boot = bootstrap(rows)
+    a = C.annotate_reference(boot, C.reference_methods(guarded(rows, boot))).withColumn("replicate_id", F.col("replicate_id").cast("bigint"))
     return rounded(a, "log_loss", "reference_log_loss", "log_loss_difference").drop("brier_score")
 
 
@@ -227,14 +228,15 @@ def _(t):
        FROM boot_diff GROUP BY 1, 2""",
 )
 def _(t):
-    e = C.paired_errors(C.differences_to_identity(bootstrap(t)), "log_loss_vs_identity")
+    e = C.paired_errors(C.differences_to_identity(bootstrap(calibrated(t))), "log_loss_vs_identity")
     return rounded(e, "paired_se", "mean_difference", "interval_low", "interval_high")
 
 
 @query("k10_guardrails", f"""SELECT model_id, method, {_R('oof_log_loss', 'brier_change', 'brier_se', 'auc_change', 'ap_change')}, probability_valid,
         coalesce(passes_brier, false) AS passes_brier, passes_ranking FROM guard""")
 def _(t):
-    return rounded(guarded(t, bootstrap(t)), "oof_log_loss", "brier_change", "brier_se", "auc_change", "ap_change")
+    rows = calibrated(t)
+    return rounded(guarded(rows, bootstrap(rows)), "oof_log_loss", "brier_change", "brier_se", "auc_change", "ap_change")
 
 
 @query("k11_constrained_selection", f"""SELECT model_id, method, reference_method, {_R('oof_log_loss', 'delta_log_loss', 'paired_se')}, hard_admissible, eligible,
@@ -246,8 +248,19 @@ def _(t):
 @query("k12_selection_verification", "SELECT count(*) AS saved_rows, 0::BIGINT AS differing_rows FROM selection")
 def _(t):
     cols = ["model_id", "method", "reference_method", "hard_admissible", "eligible", "selected", "selection_reason"]
-    saved = freeze(selection(t).select(cols))
-    gap = K.difference(saved, selection(t).select(cols)).agg(F.count(F.lit(1)).alias("differing_rows"), F.lit(1).alias("k"))
+    found = freeze(selection(t))
+    saved = found.select(cols)
+    # the second path: ranks by window functions over the saved figures, not the selector
+    hard = F.col("hard_admissible")
+    w = Window.partitionBy("model_id")
+    low = F.min(F.when(hard, F.col("oof_log_loss"))).over(w)
+    simple = F.array_position(F.array(*[F.lit(m) for m in METHODS]), F.col("method"))
+    best = F.min(F.when(hard & (F.col("oof_log_loss") <= F.col("low") + 1e-12), simple)).over(w)
+    again = found.withColumn("low", low).withColumn("best", best).withColumn("simple", simple)
+    again = again.withColumn("reference_method", F.element_at(F.array(*[F.lit(m) for m in METHODS]), F.col("best").cast("int")))
+    near = F.coalesce(hard & (F.col("oof_log_loss") - F.max(F.when(F.col("simple") == F.col("best"), F.col("oof_log_loss"))).over(w) <= F.col("paired_se") + 1e-12), F.lit(False))
+    again = again.withColumn("eligible", near).withColumn("selected", near & (F.col("simple") == F.min(F.when(near, F.col("simple"))).over(w)))
+    gap = K.difference(saved, again.select(cols)).agg(F.count(F.lit(1)).alias("differing_rows"), F.lit(1).alias("k"))
     return saved.agg(F.count(F.lit(1)).alias("saved_rows"), F.lit(1).alias("k")).join(gap, "k").drop("k")
 
 

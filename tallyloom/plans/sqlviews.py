@@ -296,16 +296,12 @@ SELECT c.*, f.fold_id FROM {cal_long} c JOIN (
     SELECT case_id, (row_number() OVER (PARTITION BY target ORDER BY md5(concat('folds|', case_id)), case_id) - 1) % 5 AS fold_id FROM {cal}) f
 ON f.case_id = c.case_id
 """
-METHOD_SQL = {"identity": "pd", "logistic": "1 / (1 + exp(-(0.1::DOUBLE + 0.95::DOUBLE * ln(pd / (1 - pd)))))", "isotonic": "round(pd, 3)"}
-BOOT_MODELS = ("trees_t", "trees_ad")
-SQL_VIEWS["methods"] = " UNION ALL ".join(
-    f"SELECT case_id, target, model_id, '{m}' AS method, fold_id, {e} AS pd FROM {{cal_fold}} WHERE model_id IN {BOOT_MODELS}" for m, e in METHOD_SQL.items())
 SQL_VIEWS["boot"] = """
-SELECT d.r AS replicate_id, m.model_id, m.method, sum(c * -(m.target * ln(pd) + (1 - m.target) * ln(1 - pd))) / (SELECT count(*) FROM {cal}) AS log_loss,
+SELECT d.r AS replicate_id, m.model_id, m.method, sum(c * -(m.target * ln(greatest(least(pd, 1 - 2.220446049250313e-16), 2.220446049250313e-16)) + (1 - m.target) * ln(1 - greatest(least(pd, 1 - 2.220446049250313e-16), 2.220446049250313e-16)))) / (SELECT count(*) FROM {cal}) AS log_loss,
        sum(c * (pd - m.target) * (pd - m.target)) / (SELECT count(*) FROM {cal}) AS brier_score
-FROM (SELECT r, target, CAST('0x' || substr(md5(concat_ws('|', r, target, position)), 1, 8) AS BIGINT) % class_size AS position, count(*) AS c
+FROM (SELECT r, target, CAST('0x' || substr(md5(concat_ws('|', r, target, position)), 1, 15) AS BIGINT) % class_size AS position, count(*) AS c
       FROM (SELECT target, row_number() OVER (PARTITION BY target ORDER BY case_id) - 1 AS position, count(*) OVER (PARTITION BY target) AS class_size FROM {cal}) p
-      CROSS JOIN range(0, 20) t(r) GROUP BY ALL) d
+      CROSS JOIN range(0, 2000) t(r) GROUP BY ALL) d
 JOIN (SELECT case_id, target, row_number() OVER (PARTITION BY target ORDER BY case_id) - 1 AS position FROM {cal}) q ON q.target = d.target AND q.position = d.position
 JOIN {methods} m ON m.case_id = q.case_id GROUP BY ALL
 """
@@ -319,10 +315,11 @@ SELECT m.model_id, m.method, m.log_loss AS oof_log_loss, m.brier_score - i.brier
        m.average_precision - i.average_precision AS ap_change, m.min_pd >= 0 AND m.max_pd <= 1 AS probability_valid,
        m.method = 'identity' OR m.brier_score - i.brier_score <= s.se AS passes_brier,
        CASE m.method WHEN 'identity' THEN true
-            WHEN 'logistic' THEN abs(m.roc_auc - i.roc_auc) <= 1e-10 AND abs(m.average_precision - i.average_precision) <= 1e-10
+            WHEN 'logistic' THEN abs(m.roc_auc - i.roc_auc) <= 1e-10 AND abs(m.average_precision - i.average_precision) <= 1e-10 AND coalesce(f.slope > 0, false)
             ELSE round(m.roc_auc - i.roc_auc, 12) >= -0.0005::DOUBLE AND round(m.average_precision - i.average_precision, 12) >= -0.0005::DOUBLE END AS passes_ranking
 FROM {metric_method} m JOIN {metric_method} i ON i.model_id = m.model_id AND i.method = 'identity'
 LEFT JOIN (SELECT model_id, method, stddev_samp(brier_vs_identity) AS se FROM {boot_diff} GROUP BY 1, 2) s ON s.model_id = m.model_id AND s.method = m.method
+LEFT JOIN {slopes} f ON f.model_id = m.model_id
 """
 SQL_VIEWS["best"] = """
 SELECT model_id, min_by(method, list_position(['identity', 'logistic', 'isotonic'], method)) AS reference_method
@@ -393,3 +390,22 @@ FROM (SELECT *, greatest(p0 - 120, 0) AS s, least(p0 + length(name) + 120, n) AS
       FROM (SELECT *, length(text) AS n, instr(text, m) - 1 + CASE WHEN m[1] = name[1] AND starts_with(m, name) THEN 0 ELSE 1 END AS p0
             FROM (SELECT *, regexp_extract(text, concat('(?:^|[^A-Za-z0-9_])', name, '(?:[^A-Za-z0-9_]|$)')) AS m FROM {mention_rows}) a) b) c
 """
+
+
+_OTHER_FOLDS = """SELECT c.model_id, h.f AS held, c.pd, count(*)::DOUBLE AS n, sum(target)::DOUBLE AS pos FROM {cal_fold} c JOIN range(0, 5) h(f) ON h.f <> c.fold_id GROUP BY 1, 2, 3"""
+SQL_VIEWS["methods"] = f"""
+SELECT case_id, target, model_id, 'identity' AS method, fold_id, pd FROM {{cal_fold}}
+UNION ALL SELECT * FROM (WITH {newton_sql(_OTHER_FOLDS, 'model_id, held')}
+    SELECT c.case_id, c.target, c.model_id, 'logistic', c.fold_id, 1 / (1 + exp(-(a + b * (ln(pd) - ln(1 - pd))))) FROM {{cal_fold}} c JOIN p9 ON p9.model_id = c.model_id AND p9.held = c.fold_id) lo
+UNION ALL SELECT * FROM (WITH {isotonic_sql("SELECT concat(model_id, '|', held) AS grp, pd AS x, n, pos FROM (" + _OTHER_FOLDS + ") o")},
+    q AS (SELECT *, concat(model_id, '|', fold_id) AS grp FROM {{cal_fold}}),
+    lo AS (SELECT q.*, i.x AS x0, i.y AS y0 FROM q ASOF LEFT JOIN iso i ON i.grp = q.grp AND q.pd >= i.x),
+    hi AS (SELECT lo.*, i.x AS x1, i.y AS y1 FROM lo ASOF LEFT JOIN iso i ON i.grp = lo.grp AND lo.pd <= i.x)
+    SELECT case_id, target, model_id, 'isotonic', fold_id, CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x1 = x0 THEN y0 ELSE y0 + (y1 - y0) * (pd - x0) / (x1 - x0) END FROM hi) iso_rows
+"""
+SQL_VIEWS["slopes"] = f"""
+SELECT * FROM (WITH {newton_sql("SELECT model_id, pd, count(*)::DOUBLE AS n, sum(target)::DOUBLE AS pos FROM {cal_fold} GROUP BY 1, 2", 'model_id')} SELECT model_id, b AS slope FROM p9) s
+"""
+# views are defined in the order of their use: the two above before what reads them
+for _late in ("boot", "boot_diff", "metric_method", "guard", "best", "boot_ref", "selection"):
+    SQL_VIEWS[_late] = SQL_VIEWS.pop(_late)

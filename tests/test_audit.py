@@ -214,3 +214,17 @@ def test_check_roll_up(spark, rows):
                                 ("j", "info", "FAIL"), ("j", "a", "PASS")], "g string, check_id string, status string")
     got = rows(K.roll_up(df, ["g"], ["info"]), "g")
     assert {k: v["overall_status"] for k, v in got.items()} == {"g": "PASS", "h": "NOT_CHECKABLE", "i": "FAIL", "j": "PASS"}
+
+
+def test_sparse_integers(spark, monkeypatch):
+    monkeypatch.setattr(A, "GAP_BLOCK", 1000)
+    seen = [-(2**40), -(2**40) + 2500, -(2**40) + 2501, -(2**40) + 2503]
+    got = [r.missing_value for r in A.missing_integers(spark.createDataFrame([(v,) for v in [*seen, seen[0], None]], "w long"), "w").collect()]
+    assert sorted(got) == sorted(set(range(seen[0], seen[-1])) - set(seen))
+
+
+def test_many_shards(spark):
+    data = [(k, k, f"f{s:03d}") for s in range(60) for k in (s, s + 1)]
+    got = {(r.left_file, r.right_file): (r.overlapping_keys, r.check_status) for r in J.shard_overlap(spark.createDataFrame(data, "k long, v long, f string"), "k", "f", ["v"]).collect()}
+    assert len(got) == 60 * 59 // 2
+    assert all(v == ((1, "CHECKED") if int(b[1:]) - int(a[1:]) == 1 else (0, "PASS_NO_OVERLAP")) for (a, b), v in got.items())
