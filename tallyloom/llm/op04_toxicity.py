@@ -18,7 +18,7 @@ from . import common, samples
 
 FOLDS, HELD_OUT, CUTOFF = 3, 1, 0.7
 #: Bounds of the labelled sample that the model is fitted on, a class.
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 6 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 4 << 20
 NGRAMS, BUCKET_BITS, DIM, WINDOW = (3, 4, 5, 6), 17, 12, 2
 EPOCHS, RATE, DECAY, SHARPNESS, SEED = 40, 0.3, 1e-5, 1.0, 7
 
@@ -28,21 +28,19 @@ def words_of(text: str) -> list[str]:
 
 
 def word_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash buckets of all n-grams of each word between its two borders, and how many each word has."""
+    """Hash buckets of all n-grams of each word between its two borders, and the words they belong to."""
     marked = ["<" + (w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") or w) + ">" for w in words]
     length = np.fromiter(map(len, marked), np.int64, len(marked))
     codes = samples.code_points("".join(marked))
-    owner = np.repeat(np.arange(len(words)), length)
-    room = np.repeat(np.cumsum(length), length) - np.arange(len(codes))  # code points up to the word's end
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), length)
+    room = np.repeat(np.cumsum(length).astype(np.int32), length) - np.arange(len(codes), dtype=np.int32)  # code points up to the word's end
     ids, of = [], []
     for n in NGRAMS:
         h = samples.gram_hashes(codes, n, BUCKET_BITS)
         ok = room[:len(h)] >= n
         ids.append(h[ok])
         of.append(owner[:len(h)][ok])
-    ids, of = np.concatenate(ids), np.concatenate(of)
-    order = np.argsort(of, kind="stable")
-    return ids[order], np.bincount(of, minlength=len(words))
+    return np.concatenate(ids), np.concatenate(of)
 
 
 def window_means(s: np.ndarray, window: int) -> np.ndarray:
@@ -67,8 +65,8 @@ class Model:
     offset: float
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        ids, n = word_buckets(words)
-        return np.bincount(np.repeat(np.arange(len(words)), n), self.pull[ids], len(words)) / np.maximum(n, 1)
+        ids, of = word_buckets(words)
+        return np.bincount(of, self.pull[ids], len(words)) / np.maximum(np.bincount(of, minlength=len(words)), 1)
 
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
@@ -82,18 +80,18 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Model:
         return Model(flat, np.log(share / (1 - share)) if share else -50.0)
     y, bags = y[some], [b for b in bags if b]
     names: dict[str, int] = {}
-    tokens = np.array([names.setdefault(w, len(names)) for b in bags for w in b])
+    tokens = np.fromiter((names.setdefault(w, len(names)) for b in bags for w in b), np.int32)
     size = np.array([len(b) for b in bags])
+    del bags
     starts = np.concatenate([[0], np.cumsum(size)])
     # every run of WINDOW words inside one text; one shorter window for a shorter text
     count = np.maximum(size - WINDOW + 1, 1)
-    doc = np.repeat(np.arange(len(bags)), count)
-    lo = starts[:-1][doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    doc = np.repeat(np.arange(len(size), dtype=np.int32), count)
+    lo = (starts[:-1][doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
     width = np.minimum(size, WINDOW)[doc]
     first = np.cumsum(count) - count
-    ids, n = word_buckets(list(names))
-    word = np.repeat(np.arange(len(names)), n)
-    inv = 1.0 / np.maximum(n, 1)
+    ids, word = word_buckets(list(names))
+    inv = 1.0 / np.maximum(np.bincount(word, minlength=len(names)), 1)
     rng = np.random.default_rng(seed)
     vec, out, off = rng.normal(0, 0.3, (1 << BUCKET_BITS, DIM)).astype(np.float32), rng.normal(0, 0.3, DIM), -1.0
     state = [[np.zeros_like(vec), np.zeros_like(vec)], [np.zeros(DIM), np.zeros(DIM)], [np.zeros(1), np.zeros(1)]]
