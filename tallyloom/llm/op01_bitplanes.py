@@ -30,8 +30,8 @@ from . import common
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-#: Ids of a block.
-BLOCK = 1 << 16
+#: Ids of a block; chunks of texts whose ids a process remembers.
+BLOCK, CACHE_ENTRIES = 1 << 16, 500_000
 
 _CHUNK_SCHEMA = (
     "shard int, chunk int, first bigint, n_ids int, width int, planes string, sizes array<int>, payload binary, crc32 bigint, "
@@ -40,7 +40,7 @@ _CHUNK_SCHEMA = (
 
 # --- planes -------------------------------------------------------------------------------------------------------
 
-def to_planes(ids: np.ndarray, width: int, planes: str = "byte", level: int = 3) -> tuple[bytes, list[int]]:
+def to_planes(ids: np.ndarray, width: int, planes: str = "byte", level: int = 1) -> tuple[bytes, list[int]]:
     """Transpose a block of ids into bit or byte planes and compress each; the payload and the planes' sizes."""
     raw = np.ascontiguousarray(ids, f"<u{width}").view(np.uint8).reshape(-1, width)
     if planes == "byte":
@@ -72,7 +72,7 @@ def from_planes(payload: bytes, sizes: list[int], n: int, width: int, planes: st
 class ChunkTokenizer:
     """The tokenizers library over safe chunks of a text, each distinct chunk encoded once while it is cached."""
 
-    def __init__(self, path: str, limit: int = common.CACHE_ENTRIES):
+    def __init__(self, path: str, limit: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
@@ -83,6 +83,7 @@ class ChunkTokenizer:
         for token, k in self.model.get_vocab().items():
             self.opens[k] = token.startswith("Ġ")
         self.limit, self._inner, self._first = limit, {}, {}
+        self.signs = {c: self._ids(c).tobytes() for c in ".,"}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, self.kind)
@@ -108,9 +109,14 @@ class ChunkTokenizer:
         for c, k in zip(cut, known):
             new.update(compress(c, map(not_, k)))
         plain = [w for w in new if " " not in w and not w[-1].isspace()]
+        # a letter or digit before a last full stop or comma ends a match of the pattern, so the sign is a match of its own
+        ended = [w for w in plain if w[-1] in self.signs and w[-2:-1].isalnum()]
+        plain = list({*plain}.difference(ended).union([w[:-1] for w in ended if w[:-1] not in inner]))
         if plain:
             self._learn(plain)
-        odd = {w: self._ids(" " + w).tobytes() for w in new if w not in inner} if len(plain) < len(new) else {}
+        for w in ended:
+            inner[w] = inner[w[:-1]] + self.signs[w[-1]]
+        odd = {w: self._ids(" " + w).tobytes() for w in new if w not in inner}
         out = []
         for h, c, k in zip(heads, cut, known):
             head = first.get(h)
