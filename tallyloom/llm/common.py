@@ -15,8 +15,8 @@ from ..session import scratch_path  # noqa: F401
 
 #: Bytes of text that one inner step of an operator holds at once; a longer single text is held alone.
 STEP_BYTES = 4 << 20
-#: Entries of a per-process cache before it is emptied.
-CACHE_ENTRIES = 400_000
+#: Entries of a per-process cache before it is emptied; workers live on, so what is cached stays in their memory.
+CACHE_ENTRIES = 200_000
 
 _UNSAFE = re.compile(r" (?:(?=\s)|(?<=\s ))")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")

@@ -52,13 +52,14 @@ def test_language_edges(spark, docs):
     assert lang.languages(nothing.limit(0)).count() == 0
 
 
-def test_toxicity_held_out(docs, labels):
-    got = tox.toxicity(docs, labels).join(labels, "doc_id").collect()
+def test_toxicity_held_out(spark, docs):
+    more = [spark.read.parquet(f"{DATA.replace('0.01', '0.1')}/{t}.parquet") for t in ("documents", "labels")]  # some hundred toxic rows
+    got = tox.toxicity(*more).join(more[1], "doc_id").collect()
     held = [r for r in got if r.held_out]
     assert {r.doc_id for r in held} == {r.doc_id for r in got if zlib.crc32(str(r.doc_id).encode()) % 3 == 1}
     hit = np.array([r.predicted for r in held])
     y = np.array([r.toxic for r in held])
-    assert (hit == y).mean() > 0.93
+    assert (hit == y).mean() > 0.96
     score = np.array([r.score for r in held])
     assert np.mean([a > b for a in score[y == 1] for b in score[y == 0]]) > 0.9
 
