@@ -116,6 +116,7 @@ def plain_removal(rows, width):
 @pytest.mark.parametrize("hot", [1, 1024])
 def test_radix_removal(spark, monkeypatch, width, hot):
     monkeypatch.setattr(radix, "BATCH_BYTES", 3000)
+    monkeypatch.setattr(radix, "STEP_WINDOWS", 50 if hot == 1 else 1 << 20)
     rows = some_texts(4, 120) + [(900, "z" * 900), (901, "ab" * 300)]
     random.Random(1).shuffle(rows)
     docs = spark.createDataFrame([(k, t, "x", 3) for k, t in rows], "doc_id long, text string, kept string, batch int").repartition(6)
