@@ -1,12 +1,14 @@
 """Embedding near duplicates over a robust-pruned flat graph.
 
-Equal vectors of a label are one node.  Nodes are dealt to overlapping cluster shards of bounded size; each shard links every
-node to candidates by robust pruning, and a node's lists from all its shards are united.  In each shard every node then
-searches greedily from the shard's medoid and from itself and widens from all nodes in range until no new one is in range.
-A share of the searches is audited against all rows of the shard; a shard whose audit misses a link is searched by blocked
-exact products.  A shard gives a spanning forest of its links, never all pairs.  Links join whole components, so the last step
-verifies: blocks of a component's vectors meet, exact products in double precision count each node's links, and a link
-that a search has passed over inside a component is counted as well.
+Equal vectors of a label are one node.  Nodes are dealt to overlapping cluster shards; a node goes to every shard whose
+border is within the length of a link, so the two ends of a link always share a shard.  A cell that no such split makes
+cheaper, because its vectors are alike or point everywhere, is cut into blocks, and every pair of blocks meets in exact
+products.  Each small shard links every node to candidates by robust pruning, and a node's lists from all its shards are
+united.  In each shard every node then searches greedily from the shard's medoid and from itself and widens from all nodes
+in range until no new one is in range.  Every search is audited against all rows of the shard; a shard whose audit misses
+a link takes the exact products.  A shard gives a spanning forest of its links, never all pairs.  Links join whole
+components, so the last step verifies: blocks of a component's vectors meet, and exact products in double precision count
+each node's links.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from . import common
 from .components import components, unite
 
 THRESHOLD = 0.98
-#: Nodes of a shard at most; clusters that a larger shard is split into; shards a node goes to in a split; splits.
-SHARD, FAN, OVERLAP, LEVELS = 512, 32, 3, 4
-#: Nearest and random candidates, kept links, slack of pruning, beam, share of audited searches (1 / AUDIT).
-NEAREST, RANDOM, DEGREE, ALPHA, BEAM, AUDIT = 24, 8, 12, 1.2, 8, 20
+#: Nodes of a shard at most; clusters that a larger shard is split into; splits; nodes of a pair of blocks at most.
+SHARD, FAN, LEVELS, PAIR = 512, 32, 4, 4096
+#: Nearest and random candidates, kept links, slack of pruning, beam.
+NEAREST, RANDOM, DEGREE, ALPHA, BEAM = 24, 8, 12, 1.2, 8
 
 
 def valid(vector: Column) -> Column:
@@ -52,8 +54,20 @@ def apart(centroids: np.ndarray, most: float = 0.9) -> np.ndarray:
     return centroids[kept]
 
 
-def _assign(cells: DataFrame, crowded: DataFrame) -> DataFrame:
-    """Rows of crowded cells go to the cells of their nearest centroids, drawn from the cell by a hash of the node."""
+def near_cells(x: np.ndarray, centre: np.ndarray, threshold: float) -> np.ndarray:
+    """Which centres each unit vector goes to: its nearest one and all whose border with that one a link can cross.
+
+    If u and v link and c is nearest to u and d to v, then v.d - v.c <= (v - u).(d - c) <= |v - u| |d - c|: v goes to c too.
+    """
+    reach = np.sqrt(max(0.0, 2 - 2 * threshold))
+    sims = x @ centre.T
+    home = sims.argmax(1)
+    between = np.sqrt(np.maximum(0, 2 - 2 * (centre @ centre.T)))
+    return sims.max(1, keepdims=True) - sims <= reach * between[home] + 1e-9
+
+
+def _assign(cells: DataFrame, crowded: DataFrame, threshold: float) -> DataFrame:
+    """Rows of crowded cells with the cells that a split sends them to; centroids are drawn from the cell by a hash of the node."""
     drawn = cells.join(crowded, "cell").where(F.pmod(F.xxhash64("cell", "node"), F.col("n")) < FAN)
     centroids = drawn.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("node", "vector"))).alias("centroids"))  # about FAN rows a cell
     met = cells.join(crowded.select("cell"), "cell", "left_semi").join(centroids, "cell", "left")
@@ -72,36 +86,42 @@ def _assign(cells: DataFrame, crowded: DataFrame) -> DataFrame:
                         names[k] = [c]
                     continue
                 centre = apart(unit(np.array([x["vector"] for x in own], np.float64)))
-                sims = unit(_matrix(vectors.take(pa.array(rows)))) @ centre.T
-                overlap = max(1, min(OVERLAP, len(centre) // 4))  # a split always makes cells smaller
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :overlap]
-                for k, near in zip(rows, best.tolist()):
-                    names[k] = [(c * 1000003 + x + 1) % (1 << 62) for x in near]
-            yield pa.RecordBatch.from_arrays([b.column("node"), vectors, pa.array(names, pa.list_(pa.int64()))], ["node", "vector", "to"])
+                goes = near_cells(unit(_matrix(vectors.take(pa.array(rows)))), centre, threshold)
+                for k, near in zip(rows, goes):
+                    names[k] = [(c * 1000003 + x + 1) % (1 << 62) for x in np.flatnonzero(near).tolist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), vectors, b.column("cell"), pa.array(names, pa.list_(pa.int64()))], ["node", "vector", "cell", "to"])
 
     kind = cells.schema["vector"].dataType.simpleString()
-    moved = met.select("node", "vector", "cell", "centroids").mapInArrow(run, f"node bigint, vector {kind}, to array<bigint>")
-    return moved.select("node", "vector", F.explode(F.array_distinct("to")).alias("cell"))
+    return met.select("node", "vector", "cell", "centroids").mapInArrow(run, f"node bigint, vector {kind}, cell bigint, to array<bigint>")
 
 
-def shards(nodes: DataFrame) -> DataFrame:
-    """(node, vector, cell, block, blocks): rows of tasks of bounded size.
+def shards(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, vector, cell, block, blocks): rows of tasks of bounded size; the two ends of a link share a task.
 
-    A cell that stays crowded, because its vectors are alike, is cut into blocks, and a task holds a pair of blocks.
+    A crowded cell is split if that at least halves its pairs, copies counted.  Else it is cut into blocks, and a task holds
+    a pair of blocks.
     """
-    cells = nodes.select("node", "vector", F.pmod(F.xxhash64("label", F.size("vector")), F.lit(1 << 62)).alias("cell"))
+    cells, settled = nodes.select("node", "vector", F.pmod(F.xxhash64("label", F.size("vector")), F.lit(1 << 62)).alias("cell")), []
     for _ in range(LEVELS):
         sizes = common.stored(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD), "crowded-cells")
         if sizes.isEmpty():
             break
-        cells = common.stored(cells.join(sizes.select("cell"), "cell", "left_anti").select("node", "vector", "cell").unionByName(_assign(cells, sizes)), "cells")
-    return in_blocks(cells, "cell")
-
-
-def in_blocks(rows: DataFrame, group: str) -> DataFrame:
-    """Add a row's block and the number of blocks of its group; two blocks together are a shard at most."""
+        moved = common.stored(_assign(cells, sizes, threshold), "split-cells")
+        parts = moved.select("cell", F.explode("to").alias("part")).groupBy("cell", "part").agg(F.count(F.lit(1)).cast("double").alias("m"))
+        work = parts.groupBy("cell").agg(F.sum(F.col("m") * F.col("m")).alias("work")).join(sizes, "cell")
+        pays = common.stored(work.where(F.col("work") * 2 <= F.col("n").cast("double") * F.col("n")).select("cell"), "paying-cells")
+        settled += [cells.join(sizes, "cell", "left_anti").select("node", "vector", "cell"), moved.join(pays, "cell", "left_anti").select("node", "vector", "cell")]
+        cells = moved.join(pays, "cell", "left_semi").select("node", "vector", F.explode("to").alias("cell"))
+    for more in settled:
+        cells = cells.unionByName(more)
+    return in_blocks(cells, "cell", PAIR)
+
+
+def in_blocks(rows: DataFrame, group: str, most: int | None = None) -> DataFrame:
+    """Add a row's block and the number of blocks of its group; two blocks together are ``most`` rows (a shard) at most."""
     counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.when(F.col("n") <= SHARD, 1).otherwise(F.ceil(2 * F.col("n") / SHARD)).cast("int")
+    most = most or SHARD
+    blocks = F.when(F.col("n") <= most, 1).otherwise(F.ceil(2 * F.col("n") / most)).cast("int")
     return rows.join(counts.select(group, blocks.alias("blocks")), group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
 
@@ -197,6 +217,15 @@ def search(x: np.ndarray, links: np.ndarray, threshold: float) -> tuple[np.ndarr
     return q[ok], v[ok]
 
 
+def forest(x: np.ndarray, threshold: float) -> np.ndarray:
+    """The smallest index that each vector's links lead to, by blocked exact products."""
+    root = np.arange(len(x))
+    for at in range(0, len(x), 256):
+        q, v = np.nonzero(x[at:at + 256] @ x[at:].T >= threshold)
+        unite(root, q + at, v + at)
+    return root
+
+
 def exact(x: np.ndarray, threshold: float, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for at in range(0, len(rows), 256):
@@ -210,6 +239,8 @@ def exact(x: np.ndarray, threshold: float, rows: np.ndarray) -> tuple[np.ndarray
 
 def _adjacency(table: pa.Table) -> pa.Table:
     node = table.column("node").to_numpy()
+    if len(node) > SHARD:  # a cell that could not be split: _find takes its exact products
+        return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.list_(pa.int64()))})
     links = build(unit(_matrix(table.column("vector"))), int(node[0]) & 0xFFFFFFFF)
     ok = links >= 0
     return pa.table({"node": pa.array(node), "links": common.lists(node[links[ok]], ok.sum(1), pa.int64())})
@@ -219,8 +250,10 @@ def _find(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         node = table.column("node").to_numpy()
         x, n = unit(_matrix(table.column("vector"))), table.num_rows
+        if n > SHARD:
+            return pa.table({"node": pa.array(node), "to": pa.array(node[forest(x, threshold)]), "missed": pa.array(np.zeros(n, bool))})
         order = np.argsort(node)
-        united = table.column("links").combine_chunks()
+        united = table.column("links").combine_chunks().fill_null([])
         flat, size = united.flatten().to_numpy(), np.diff(united.offsets.to_numpy())
         place = np.minimum(np.searchsorted(node[order], flat), n - 1)
         here = node[order][place] == flat
@@ -229,11 +262,10 @@ def _find(threshold: float):
         links = np.full((n, int(rank.max(initial=0)) + 1), -1, np.int64)
         links[owner, rank] = to
         q, v = search(x, links, threshold)
-        audit = np.flatnonzero(node % AUDIT == 0)
-        aq, av = exact(x, threshold, audit)
+        aq, av = exact(x, threshold, np.arange(n))
         missed = len(np.setdiff1d(aq * n + av, q * n + v)) > 0
         if missed:
-            q, v = exact(x, threshold, np.arange(n))
+            q, v = aq, av
         root = np.arange(n)
         unite(root, q, v)
         return pa.table({"node": pa.array(node), "to": pa.array(node[root]), "missed": pa.array(np.full(n, missed))})
@@ -282,10 +314,10 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     rows = rows.withColumn("ok", F.col("label").isNotNull() & valid(F.col("vector")))
     classes = rows.where("ok").groupBy("label", "vector").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("weight"))
     nodes = common.stored(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    placed = common.stored(tasks(shards(nodes)).drop("block"), "shards")
+    placed = common.stored(tasks(shards(nodes, threshold)).drop("block"), "shards")
     adjacency = placed.groupBy("cell", "i", "j").applyInArrow(_adjacency, "node bigint, links array<bigint>")
     union = adjacency.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))
-    found = placed.join(union, "node").groupBy("cell", "i", "j").applyInArrow(_find(threshold), "node bigint, to bigint, missed boolean")
+    found = placed.join(union, "node", "left").groupBy("cell", "i", "j").applyInArrow(_find(threshold), "node bigint, to bigint, missed boolean")
     found = common.stored(found.where("node != to"), "links")
     roots = common.stored(components(found.select(F.col("node").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "member"), "components")
     members = nodes.join(roots, nodes.node == roots.member).select("node", "weight", "vector", "root")

@@ -224,6 +224,59 @@ def test_graph_finds_links(spark, monkeypatch, shard):
         assert got == want
 
 
+def crowd(seed, near=1500, pairs=150, dim=64):
+    """One large group of near copies, which most centroids are drawn from, and pairs at the edge of the threshold."""
+    rng = np.random.default_rng(seed)
+    own = lambda v: v / np.sqrt(v @ v)
+    centre, out = own(rng.normal(size=dim)), []
+    for _ in range(near):
+        out.append(centre + rng.normal(size=dim) * 0.004)
+    for _ in range(pairs):
+        a, b = own(rng.normal(size=dim)), own(rng.normal(size=dim))
+        b = own(b - (a @ b) * a)
+        out += [a, 0.981 * a + np.sqrt(1 - 0.981 ** 2) * b]
+    return [(k, [float(x) for x in v], 1) for k, v in enumerate(out)]
+
+
+def numpy_links(rows, threshold=0.98):
+    x, sets = graph.unit(np.array([v for _, v, _ in rows])), Sets()
+    near = x @ x.T >= threshold
+    np.fill_diagonal(near, False)
+    for a, b in zip(*np.nonzero(near)):
+        if a < b:
+            sets.join(int(a), int(b))
+    return {k: (int(near[k].sum()), sets.root(k)) for k in range(len(rows))}
+
+
+@pytest.mark.parametrize("case", ["crowd", "clusters", "mixed"])
+def test_no_link_is_lost_between_shards(spark, monkeypatch, case):
+    if case == "crowd":  # two blocks of it are more than a shard
+        monkeypatch.setattr(graph, "PAIR", 1200, raising=False)
+        rows = crowd(2)
+    else:
+        monkeypatch.setattr(graph, "SHARD", 100)
+        monkeypatch.setattr(graph, "PAIR", 300, raising=False)
+    if case == "clusters":  # splits pay here
+        rng = np.random.default_rng(4)
+        centres = rng.normal(size=(12, 64))
+        rows = [(k, [float(x) for x in centres[k % 12] + rng.normal(size=64) * 0.12], 1) for k in range(900)]
+    elif case == "mixed":
+        rows = [(k, v, 1) for k, v, _ in vectors(7, 600)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in graph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == numpy_links(rows)
+
+
+@pytest.mark.parametrize("dim", [2, 16, 64])
+def test_linked_vectors_share_a_cell(dim):
+    rng = np.random.default_rng(dim)
+    x = graph.unit(rng.normal(size=(2000, dim)))
+    side = rng.normal(size=x.shape)
+    side = graph.unit(side - (side * x).sum(1, keepdims=True) * x)
+    y = 0.98 * x + np.sqrt(1 - 0.98 ** 2) * side
+    centre = graph.apart(graph.unit(rng.normal(size=(32, dim))))
+    assert (graph.near_cells(x, centre, 0.98 - 1e-12) & graph.near_cells(y, centre, 0.98 - 1e-12)).any(1).all()
+
+
 def test_search_recall():
     x = graph.unit(np.array([v for _, v, _ in vectors(5, 700)]))
     q, v = graph.search(x, graph.build(x, 1), 0.98)
