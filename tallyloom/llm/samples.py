@@ -8,25 +8,32 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import common
 
+#: A text of more than a class's bytes / SMALL waits until all shorter ones of its class are taken.
+SMALL = 64
+
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, class_bytes: int, key: str = "doc_id", text: str = "text") -> pd.DataFrame:
-    """Columns text and label of at most ``per_class`` learnable rows a class and ``class_bytes`` bytes of whole texts.
+    """Columns text and label of at most ``per_class`` learnable keys a class and ``class_bytes`` bytes of whole texts.
 
-    Rows are taken in the order of a hash of the key, which tells nothing of their content; rows of the held-out fold, null
-    labels and labels other than 0 and 1 are never taken.  A key with both labels counts as 1.  These two bounds are all
-    that limits the work of fitting; scoring covers every row.
+    Keys are taken in the order of a hash, which tells nothing of their content; those with more text than ``class_bytes`` /
+    ``SMALL`` come after all others, the shortest first, so a long text takes no other's place, and a class that has a text
+    has one in the sample, however long.  Rows of the held-out fold, null labels and labels other than 0 and 1 are never
+    taken.  A key with both labels counts as 1.  These bounds are all that limits the work of fitting; scoring covers every row.
     """
     marks = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (common.fold(F.col(key), folds) != held_out))
     marks = marks.groupBy(F.col(key).alias("key")).agg(F.max(F.col(label)).cast("int").alias("label"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key")
-    chosen = [marks.where(F.col("label") == v).orderBy(F.xxhash64("key"), "key").limit(per_class) for v in (0, 1)]
-    ids = chosen[0].union(chosen[1])  # at most 2 * per_class rows: a proven bound
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "key")
-    rows = common.stored(rows.withColumn("bytes", F.octet_length("text").cast("bigint")), "labelled")
+    texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    sizes = texts.groupBy("key").agg(F.sum(F.octet_length("text").cast("bigint")).alias("bytes"))
+    late = F.when(F.col("bytes") > class_bytes // SMALL, F.col("bytes")).otherwise(F.lit(0))
+    sized = common.stored(marks.join(sizes, "key").withColumn("late", late), "labelled-sizes")
+    turn = ["late", F.xxhash64("key"), "key"]
+    chosen = [sized.where(F.col("label") == v).orderBy(*turn).limit(per_class) for v in (0, 1)]
     # only keys and sizes meet in the running sum: per_class rows a class
-    upto = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    fits = rows.select("key", "label", "bytes").withColumn("upto", upto).where((F.col("upto") <= class_bytes)).select("key").distinct()
-    return rows.join(F.broadcast(fits), "key").orderBy("label", F.xxhash64("key"), "key", "text").select("text", "label").toPandas()
+    order = Window.partitionBy("label").orderBy(*turn).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ids = chosen[0].union(chosen[1]).withColumn("upto", F.sum("bytes").over(order))
+    fits = ids.where((F.col("upto") <= class_bytes) | (F.col("upto") == F.col("bytes"))).select("key", "label")
+    rows = common.stored(texts.join(F.broadcast(fits), "key"), "labelled")  # at most 2 * per_class keys: a proven bound
+    return rows.orderBy("label", F.xxhash64("key"), "key", "text").select("text", "label").toPandas()
 
 
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD], np.uint64)

@@ -5,7 +5,9 @@ import zlib
 import numpy as np
 import pytest
 
-from tallyloom.llm import op02_language_mixture as lang, op03_style_tree as style, op04_toxicity as tox, op08_quality_neighbours as qual
+from pyspark.sql import functions as F
+
+from tallyloom.llm import common, op02_language_mixture as lang, op03_style_tree as style, op04_toxicity as tox, op08_quality_neighbours as qual, samples
 from tallyloom.llm.common import importable
 
 DATA = "/root/testdata/sf0.01"
@@ -89,6 +91,21 @@ def test_toxicity_edges(spark, docs, labels):
     assert tox.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_long_labelled_texts_take_no_other_place(spark):
+    """The first text of a class in the order of the sample is above the bound; a class of long texts only keeps the shortest."""
+    importable(spark)
+    keys = [r.k for r in spark.range(60).where(common.fold(F.col("id"), 3) != 1).orderBy(F.xxhash64("id")).select(F.col("id").alias("k")).collect()]
+    labels = spark.createDataFrame([(k, n % 2) for n, k in enumerate(keys)], "doc_id long, toxic int")
+    texts = {k: f"grumblor {k}" if n % 2 else f"fine words {k}" for n, k in enumerate(keys)}
+    texts[keys[1]] = "grumblor " * 1000
+    got = samples.labelled(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), labels, "toxic", 3, 1, 3, 2000)
+    assert sorted(got["text"]) == sorted(texts[keys[n]] for n in (0, 2, 4, 3, 5, 7))
+    for n in range(1, len(keys), 2):
+        texts[keys[n]] = "grumblor " * (1000 - n)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert samples.labelled(docs, labels, "toxic", 3, 1, 40, 2000).query("label == 1")["text"].tolist() == [min((texts[k] for k in keys[1::2]), key=len)]
+
+
 def test_quality_held_out(docs, labels):
     got = qual.quality(docs, labels).join(labels, "doc_id").collect()
     held = [r for r in got if r.held_out]
