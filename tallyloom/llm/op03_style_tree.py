@@ -3,9 +3,9 @@
 Pages of one host are merged node by node: a node of the merged tree is a path of tags with their classes.  Over the host's
 different pages each node has a distribution of presentations (its children) and of contents (the text of its branch).
 Both entropies, over the logarithm of the number of pages, give its importance: a branch that looks and reads the same on
-page after page has little.  Low branches go from each page, together with branches whose tag, class or role says menu,
-header, footer, sidebar, notice, advert, form or reader comments; what is marked as the article stays, however often a
-host repeats it.
+page after page has little.  A low branch goes from the pages on which it reads as on many others, unless it is nearly all
+that the page says, together with branches whose tag, class or role says menu, header, footer, sidebar, notice, advert, form
+or reader comments; what is marked as the article stays, however often a host repeats it.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from . import common
 
 #: Weight of the content's entropy; importance below which a branch goes; pages that must share a branch for that.
 CONTENT_WEIGHT, LEAST, MIN_PAGES = 0.8, 0.25, 8
+#: A low branch goes where it reads as on one page in so many; the largest stays if it is so many times longer than the rest.
+SHARED, LONGER = 64, 4
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -34,6 +36,9 @@ _MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside "
     "header masthead footer foot copyright legal cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login "
     "comment comments commentlist disqus reply replies respond share sharing social related recommended widget toolbar pagination pager skip search form".split())
+#: With a mark before them these make a known class inside an article.
+_PARTS = frozenset("list box slot unit buttons links bar posts".split())
+_HEADS = frozenset("section h1 h2 h3 h4 h5 h6".split())
 _CLOSES_P = _BLOCK - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "figcaption", "legend", "summary"}
 _SAME_LEVEL = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table article section div main body html td th".split())
@@ -41,8 +46,25 @@ _WORD = re.compile(r"[a-z]+")
 _MASK = (1 << 64) - 1
 
 
+def _words(value: str) -> list[str]:
+    return _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+
+
 def _names(attrs: dict) -> list[str]:
-    return _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class') or ''} {attrs.get('id') or ''}").lower())
+    return _words(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")
+
+
+def _named(tag: str, attrs: dict, names: list[str], main: bool) -> bool:
+    """Class or id names what is not main text: any word of them, but inside an article whole classes only.
+
+    The id of a heading or section is made from its title, so it names nothing.
+    """
+    if tag in ("html", "body", "main"):
+        return False
+    if not main:
+        return any(n in _MARKS for n in (_words(attrs.get("class") or "") if tag in _HEADS else names))
+    known = map(_words, (attrs.get("class") or "").split())
+    return any(w and w[0] in _MARKS and all(x in _MARKS or x in _PARTS for x in w[1:]) for w in known)
 
 
 class Page(HTMLParser):
@@ -74,7 +96,7 @@ class Page(HTMLParser):
         node, main = len(self.path), self.main[self.top]
         mark = " ".join([tag, *sorted(set(names))])
         own_main = tag in ("article", "main") or (attrs.get("role") or "").lower() == "main" or attrs.get("itemprop") == "articleBody"
-        named = any(n in _MARKS for n in names) and tag not in ("html", "body", "main")
+        named = _named(tag, attrs, names, main or own_main)
         noise = tag in _DROP or named or (attrs.get("role") or "").lower() in _ROLES or (tag == "header" and not main) or "hidden" in attrs
         self.path.append(xxhash.xxh64_intdigest(mark, self.path[self.top]))
         self.parent.append(self.top)
@@ -126,22 +148,34 @@ class Page(HTMLParser):
         return out
 
     def text(self, low: frozenset[int] = frozenset()) -> str:
-        """Blocks of the main text, white space inside a block as one space, joined by an empty line."""
+        """Blocks of the main text, white space inside a block as one space, joined by an empty line.
+
+        ``low`` holds path ^ read of the branches that many pages of the host share.
+        """
         articles = any(m and not n for m, n in zip(self.main, self.noise))
+        shared = {path for path, (_, read) in self.styles().items() if path ^ read in low} if low else set()
         gone = [False] * len(self.path)
         holds = [False] * len(self.path)  # an article stands inside
+        under = [0] * len(self.path)  # path of the outermost low branch
         for node in range(len(self.path) - 1, 0, -1):
             if self.main[node] or holds[node]:
                 holds[self.parent[node]] = True
         for node in range(1, len(self.path)):
-            gone[node] = gone[self.parent[node]] or self.noise[node] or (self.path[node] in low and not self.main[node] and not holds[node])
+            gone[node] = gone[self.parent[node]] or self.noise[node]
+            under[node] = under[self.parent[node]] or (self.path[node] if self.path[node] in shared and not self.main[node] and not holds[node] else 0)
+        size = {0: 0}
+        for node, piece in self.pieces if shared else ():
+            if not gone[node] and (self.main[node] or not articles):
+                size[under[node]] = size.get(under[node], 0) + len(piece.strip())
+        largest = max(size, key=lambda k: size[k] if k else -1)
+        stays = (0, largest) if size[largest] > LONGER * size[0] else (0,)
         blocks, held = [], []
         for node, piece in self.pieces:
             if piece == "":
                 if held:
                     blocks.append("".join(held))
                     held = []
-            elif not gone[node] and (self.main[node] or not articles):
+            elif not gone[node] and under[node] in stays and (self.main[node] or not articles):
                 held.append(piece)
         blocks.append("".join(held))
         return "\n\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)
@@ -197,11 +231,14 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     """Per page: key, url, text (empty if there is none), n_chars.
 
     Null or empty html gives an empty text; a page without a host is cleaned by its own tags alone; repeated pages count
-    once in the tree and each gets its text.  Only branches that ``MIN_PAGES`` different pages share can be low, so a host's
-    list of low branches is a small part of its nodes.
+    once in the tree and each gets its text.  Only branches that ``MIN_PAGES`` different pages share can be low, each in at
+    most ``SHARED`` readings, so a host's list of low branches is a small part of its nodes.
     """
     nodes = common.stored(style_nodes(pages, url, html), "style-nodes")
-    low = importance(nodes).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST)).groupBy("host").agg(F.collect_list("path").alias("low"))
+    little = importance(nodes).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LEAST)).select("host", "path", "pages")
+    reads = nodes.distinct().groupBy("host", "path", "read").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_PAGES)
+    alike = reads.join(little, ["host", "path"]).where(F.col("n") * SHARED >= F.col("pages"))
+    low = alike.groupBy("host").agg(F.sort_array(F.collect_list(F.col("path").bitwiseXOR(F.col("read")))).alias("low"))
     kind = pages.select(key).dtypes[0][1]
     rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), host(F.col(url)).alias("host"), F.col(html).cast("string").alias("html"))
 

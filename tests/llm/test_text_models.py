@@ -158,6 +158,25 @@ def test_repeated_branches_go(spark):
     assert style.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_texts_of_a_low_branch_stay(spark):
+    """Copies of one text on 90 of 100 pages make its branch low: the other ten texts stay, and so do the copies."""
+    importable(spark)
+    story, menu = "the same long story " * 20, "<div class=x>Home and more</div>"
+    rows = [(k, f"http://h.com/{k}", f"<body>{menu}<div class=content><p>{story if k < 90 else f'Another story of page {k}'}</p></div><div class=ad>Buy {k}</div><div class=y>Seen {k}</div></body>") for k in range(100)]
+    got = {r.page_id: r.text for r in style.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"{story.strip() if k < 90 else f'Another story of page {k}'}\n\nSeen {k}" for k in range(100)}
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<article><h2 id='social-history'>Social history</h2><section id=header-notes class=part>one</section><p class='share-price'>two</p></article>", "Social history\n\none\n\ntwo"),
+    ("<div><h2 id='social-history'>Social history</h2><section id=search-methods><p>one</section></div>", "Social history\n\none"),
+    ("<article><p>one</p><div class='x share'>no</div><div class='ad-slot'>no</div><div class=commentList>no</div><section class=comments>no</section></article>", "one"),
+    ("<div class='widget-x'>no</div><div id='cookie-box'>no</div><h2 class=banner>no</h2><p>one", "one"),
+])
+def test_names_of_headings_and_sections(html, text):
+    assert style.Page(html).text() == text
+
+
 def test_importance(spark):
     rows = [("h", 1, page, 5, 7) for page in range(10)] + [("h", 2, page, page, page) for page in range(10)] + [("h", 1, 0, 5, 7)]
     got = {r.path: (r.pages, round(r.importance, 9)) for r in style.importance(spark.createDataFrame(rows, "host string, path long, page long, look long, read long")).collect()}
