@@ -75,7 +75,8 @@ class ChunkTokenizer:
     def __init__(self, path: str, limit: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        # the library finds these in a text before all else; they hold no space, so the cuts stay safe
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         size = self.model.get_vocab_size()
         self.width = 2 if size <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
@@ -109,6 +110,8 @@ class ChunkTokenizer:
         for c, k in zip(cut, known):
             new.update(compress(c, map(not_, k)))
         plain = [w for w in new if " " not in w and not w[-1].isspace()]
+        for t in self.added:
+            plain = [w for w in plain if t not in w]
         # a letter or digit before a last full stop or comma ends a match of the pattern, so the sign is a match of its own
         ended = [w for w in plain if w[-1] in self.signs and w[-2:-1].isalnum()]
         plain = list({*plain}.difference(ended).union([w[:-1] for w in ended if w[:-1] not in inner]))

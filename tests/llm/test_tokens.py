@@ -48,6 +48,14 @@ def test_chunks_equal_whole_texts(texts):
     assert [np.frombuffer(g, tok.kind).tolist() for g in tok.encode(texts)] == [HF.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y, <|endoftext|>5. z  <|endoftext|>\n<|endoftext|> ", "one two<|endoftext|>. two <|endoftext|><|endoftext|>", "<|endoftext |> <|endoftext|"])
+def test_special_tokens_as_the_library_finds_them(text):
+    plain = Tokenizer.from_file(public_tokenizers.path(planes.TOKENIZER))
+    tok = planes.ChunkTokenizer(public_tokenizers.path(planes.TOKENIZER))
+    for texts in ([text], [text, "one two", text + " " + text]):
+        assert [np.frombuffer(g, tok.kind).tolist() for g in tok.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("kind", ["bit", "byte"])
 @pytest.mark.parametrize("width", [2, 4])
 def test_planes_round_trip(kind, width):
