@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: F401
 
-from . import op01_bitplanes, op02_language_mixture, op03_style_tree, op04_toxicity, op05_positional_index, op06_pruned_graph, op07_radix_dedup, op08_quality_neighbours, op09_simhash_trie, op10_bpe_tree
+from . import op01_bitplanes, op02_language_mixture, op03_style_tree, op04_toxicity, op05_positional_index, op06_pruned_graph, op07_radix_dedup, op08_quality_neighbours, op09_simhash_trie, op10_bpe_tree, op11_token_transducer
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def op9_simhash_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_bpe_tree_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_bpe_tree.digests(op10_bpe_tree.encode_decode(table(spark, sf_dir, "documents")))
+
+
+@register
+def op11_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_token_transducer.token_counts(table(spark, sf_dir, "documents"))
