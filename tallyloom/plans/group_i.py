@@ -8,7 +8,7 @@ from ..operators import prep as X, split as P
 from ..operators.longform import count_where
 from ..session import freeze, scratch_path
 from .group_d2 import split_of
-from .registry import query
+from .registry import kept, query
 from .sqlviews import CLIP, LOGS, MONEY, NUM
 
 SPEC = X.PrepSpec(
@@ -20,13 +20,13 @@ TRAIN = "outer_split = 'train'"
 
 
 def split_rows(t):
-    """Features with their split, written once because fitting and auditing read them several times."""
-    return freeze(t.features.join(split_of(t).drop("target"), "case_id"))
+    """Features with their split, written once a session because fitting and auditing read them several times."""
+    return kept(t, "split_rows", lambda: freeze(t.features.join(split_of(t).drop("target"), "case_id")))
 
 
 def fitted(t):
     rows = split_rows(t)
-    return rows, X.fit(rows, SPEC, F.expr(TRAIN))
+    return rows, kept(t, "preprocessor", lambda: X.fit(rows, SPEC, F.expr(TRAIN)))
 
 
 _RANKED = """r AS (SELECT case_id, target, row_number() OVER (PARTITION BY target ORDER BY md5(concat('{seed}|', case_id)), case_id) AS rn,

@@ -42,6 +42,17 @@ class Tables:
         raise AttributeError(name)
 
 
+_KEPT: dict[tuple[str, str, str], object] = {}
+
+
+def kept(t: Tables, name: str, build: Callable[[], object]):
+    """What ``build`` made of these tables, stored once a session: a frozen table, fitted parameters or a path."""
+    key = (t.spark.sparkContext.applicationId, t.dir, name)
+    if key not in _KEPT:
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
 def _view_closure(text: str) -> list[str]:
     need: set[str] = set()
     stack = [v for v in ALL_VIEWS if re.search(rf"\b{v}\b", text)]
