@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import common
@@ -12,8 +15,8 @@ from . import common
 SMALL = 64
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, class_bytes: int, key: str = "doc_id", text: str = "text") -> pd.DataFrame:
-    """Columns text and label of at most ``per_class`` learnable keys a class and ``class_bytes`` bytes of whole texts.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, class_bytes: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A stored table of key, text and label of at most ``per_class`` learnable keys a class and ``class_bytes`` bytes of whole texts.
 
     Keys are taken in the order of a hash, which tells nothing of their content; those with more text than ``class_bytes`` /
     ``SMALL`` come after all others, the shortest first, so a long text takes no other's place, and a class that has a text
@@ -32,8 +35,26 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_ou
     order = Window.partitionBy("label").orderBy(*turn).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ids = chosen[0].union(chosen[1]).withColumn("upto", F.sum("bytes").over(order))
     fits = ids.where((F.col("upto") <= class_bytes) | (F.col("upto") == F.col("bytes"))).select("key", "label")
-    rows = common.stored(texts.join(F.broadcast(fits), "key"), "labelled")  # at most 2 * per_class keys: a proven bound
-    return rows.orderBy("label", F.xxhash64("key"), "key", "text").select("text", "label").toPandas()
+    return common.stored(texts.join(F.broadcast(fits), "key"), "labelled")  # at most 2 * per_class keys: a proven bound
+
+
+def labelled(*args, **kwargs) -> pd.DataFrame:
+    """Columns text and label of ``labelled_rows`` in a fixed order, on the driver."""
+    return labelled_rows(*args, **kwargs).orderBy("label", F.xxhash64("key"), "key", "text").select("text", "label").toPandas()
+
+
+def fitted(rows: DataFrame, fit: Callable[[list[str], np.ndarray], bytes]) -> bytes:
+    """What ``fit`` makes of a bounded sample's texts and labels, in the same order, in one task: the driver gets the model only."""
+    ordered = rows.select(F.lit(0).alias("one"), "label", F.xxhash64("key").alias("turn"), "key", "text").repartition(1).sortWithinPartitions("label", "turn", "key", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks = [], []
+        for b in batches:
+            texts += b.column("text").to_pylist()
+            marks += b.column("label").to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([fit(texts, np.array(marks, np.int64))], pa.binary())], ["model"])
+
+    return bytes(ordered.mapInArrow(run, "model binary").first()["model"])
 
 
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD], np.uint64)

@@ -81,13 +81,55 @@ def test_misspellings_share_vectors():
     assert scores["grumblorzz"] > scores[words[0]] + 3 and scores["grumblor"] > scores[words[0]] + 3
 
 
+def plain_score(model, text):
+    """One text, word by word and window by window."""
+    logits = []
+    for w in text.lower().split():
+        core = "<" + (w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") or w) + ">"
+        grams = [core[i:i + n] for n in tox.NGRAMS for i in range(len(core) - n + 1)]
+        pulls = [model.pull[int(samples.gram_hashes(samples.code_points(g), len(g), tox.BUCKET_BITS)[0])] for g in grams]
+        logits.append(sum(pulls) / max(len(pulls), 1))
+    windows = [sum(logits[i:i + tox.WINDOW]) / tox.WINDOW for i in range(len(logits) - tox.WINDOW + 1)] or ([sum(logits) / len(logits)] if logits else [])
+    if not windows:
+        return 1 / (1 + np.exp(-min(0.0, model.offset)))
+    e = [np.exp(tox.SHARPNESS * z) for z in windows]
+    return 1 / (1 + np.exp(-(sum(a * z for a, z in zip(e, windows)) / sum(e) + model.offset)))
+
+
+def test_toxicity_scores_equal_brute_force(spark, docs):
+    rng = np.random.default_rng(2)
+    model = tox.Model(rng.normal(0, 2, 1 << tox.BUCKET_BITS), -0.5)
+    rows = [(k, t) for k, t in enumerate(["", None, "a", "!!!", "Idiot.", "two words", "ÄÖ éé (漢字) x-y"] + [r.text[:900] for r in docs.limit(20).collect()])]
+    got = {r.doc_id: r.score for r in tox.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for k, t in rows:
+        assert abs(got[k] - plain_score(model, t or "")) < 1e-6, t
+
+
+def test_toxicity_does_not_grow_with_length(spark):
+    importable(spark)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = tox.train(docs, labels)
+    rows = tox.score(docs.join(labels.where("toxic = 0"), "doc_id"), model, keep=("text",)).where("score < 0.5").orderBy("doc_id").select("text").collect()
+    clean = [r.text for r in rows if r.text]
+    joined = " ".join(clean)
+    long = (joined + " ") * (1 + (10 << 20) // len(joined))
+    found = {r.doc_id: r.score for r in tox.score(spark.createDataFrame([
+        (1, long[:1 << 20]), (2, long[:10 << 20]), (3, long[:1 << 20] + " you idiot " + joined[:5000]), (4, clean[0]), (5, " ".join([clean[0]] * 1000)),
+        (6, " ".join(clean[:100])), (7, "idiot")], "doc_id long, text string"), model).collect()}
+    assert all(found[k] < tox.CUTOFF for k in (1, 2, 4, 5, 6)) and found[3] >= tox.CUTOFF
+    assert abs(found[4] - found[5]) < 0.02
+
+
 def test_toxicity_edges(spark, docs, labels):
     model = tox.train(docs, labels)
-    odd = spark.createDataFrame([(1, None, "a"), (None, "", "b"), (2, "idiot " + "fine " * 50_000, "c")], "doc_id long, text string, score string")
-    got = [(r.doc_id, r.score) for r in tox.score(odd.select("doc_id", "text"), model).collect()]
-    assert len(got) == 3 and all(0 <= s <= 1 for _, s in got) and dict(got)[1] <= 0.5
-    none = labels.limit(0)
-    assert {r.score for r in tox.toxicity(odd.select("doc_id", "text"), none).collect()} <= {r.score for r in tox.toxicity(odd.select("doc_id", "text"), none).collect()}
+    odd = spark.createDataFrame([(1, None, "a"), (None, "", "b"), (2, "idiot " + "fine " * 50_000, "c"), (2, "idiot " + "fine " * 50_000, "d")], "doc_id long, text string, score string")
+    got = tox.score(odd, model, keep=("text",)).collect()
+    assert len(got) == 4 and all(0 <= r.score <= 1 for r in got) and next(r.score for r in got if r.doc_id == 1) <= 0.5
+    assert len({r.score for r in got if r.doc_id == 2}) == 1
+    whole = tox.toxicity(odd.withColumn("label", F.lit(1)).withColumn("predicted", F.lit("x")), labels.limit(0)).collect()
+    assert len(whole) == 4 and {r.predicted for r in whole} == {0} and max(r.score for r in whole) < 1e-9
+    only = tox.toxicity(docs, labels.where("toxic = 1"))  # one class: nothing can be told apart
+    assert {r.predicted for r in only.collect()} == {0}
     assert tox.toxicity(docs.limit(0), labels).count() == 0
 
 
