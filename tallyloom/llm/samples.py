@@ -54,7 +54,8 @@ def fitted(rows: DataFrame, fit: Callable[[list[str], np.ndarray], bytes]) -> by
             marks += b.column("label").to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array([fit(texts, np.array(marks, np.int64))], pa.binary())], ["model"])
 
-    return bytes(ordered.mapInArrow(run, "model binary").first()["model"])
+    found = ordered.mapInArrow(run, "model binary").first()
+    return bytes(found["model"]) if found else fit([], np.zeros(0, np.int64))  # an empty sample may have no task
 
 
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD], np.uint64)
