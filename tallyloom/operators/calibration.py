@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import probability as P
-from ..session import at_once, freeze
+from ..session import freeze
+from . import isotonic, resample
 from .longform import count_where
 from .metrics import binary_metrics, score_counts
 from .ranking import running
@@ -135,20 +135,10 @@ def calibration_in_the_large(counts: DataFrame, by: list[str]) -> DataFrame:
 # ---------------------------------------------------------------- isotonic fits
 
 
-def fit_isotonic(counts: DataFrame):
-    """Monotone step fit on one group's counts (weights keep it equal to the row fit)."""
-    rows = counts.select("pd", (F.col("pos") / F.col("n")).alias("rate"), F.col("n").cast("double").alias("n"))
-    return IsotonicRegression(featuresCol="pd", labelCol="rate", weightCol="n", predictionCol="iso", isotonic=True).fit(rows)
-
-
-def isotonic_valid(model) -> bool:
-    x, y = list(model.boundaries), list(model.predictions)
-    return bool(x) and all(a < b for a, b in zip(x, x[1:])) and all(a <= b for a, b in zip(y, y[1:])) and 0 <= y[0] and y[-1] <= 1
-
-
-def apply_isotonic(df: DataFrame, model, score: str = "pd") -> DataFrame:
-    """Interpolate between block ends; scores outside the fitted range take the end values."""
-    return model.setFeaturesCol(score).setPredictionCol("iso").transform(df)
+def isotonic_map(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Fit each group's monotone map on its own rows (pd, target) and add it as ``iso``."""
+    ranged, blocks = isotonic.fit(score_counts(rows, by), by)
+    return rows.join(isotonic.predict(ranged, blocks, by), [*by, "pd"])
 
 
 # ---------------------------------------------------------------- cross-fitting
@@ -163,23 +153,20 @@ def cross_fit_logistic(rows: DataFrame, k: int) -> DataFrame:
     return rows.join(F.broadcast(fits), ["model_id", "fold_id"]).withColumn("oof", logistic_map()).select(*rows.columns, "oof")
 
 
-def cross_fit_isotonic(rows: DataFrame, models: list[str], k: int) -> DataFrame:
-    """Out-of-fold isotonic maps, one fit per (model, fold) on the other folds' counts."""
-    rows = freeze(rows)
-    counts = freeze(score_counts(rows, ["model_id", "fold_id"]))
-
-    def fit(task: tuple[str, int]):
-        m, f = task
-        others = counts.where((F.col("model_id") == m) & (F.col("fold_id") != f))
-        return fit_isotonic(others.groupBy("pd").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")))
+def cross_fit_isotonic(rows: DataFrame, k: int) -> DataFrame:
+    """Out-of-fold isotonic maps: every (model, fold) is fitted on the other folds' counts, all in the same passes.
 
-    tasks = [(m, f) for m in models for f in range(k)]
-    out = None
-    for (m, f), model in zip(tasks, at_once(rows.sparkSession, fit, tasks)):
-        part = apply_isotonic(rows.where((F.col("model_id") == m) & (F.col("fold_id") == f)), model)
-        part = part.select(*rows.columns, F.col("iso").alias("oof"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    A score of the held-out fold that no other fold has is a point without rows, which is only predicted.
+    """
+    counts = score_counts(rows, ["model_id", "fold_id"])
+    folds = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")))
+    other = F.col("held_out") != F.col("fold_id")
+    points = counts.withColumn("held_out", folds).groupBy("model_id", "held_out", "pd").agg(
+        F.sum(F.when(other, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(other, F.col("pos")).otherwise(0)).alias("pos"))
+    by = ["model_id", "held_out"]
+    ranged, blocks = isotonic.fit(points, by)
+    maps = isotonic.predict(ranged, blocks, by).select("model_id", F.col("held_out").alias("fold_id"), "pd", F.col("iso").alias("oof"))
+    return rows.join(maps, ["model_id", "fold_id", "pd"]).select(*rows.columns, "oof")
 
 
 def oof_coverage(oof: DataFrame, key: str, by: list[str]) -> DataFrame:
@@ -211,45 +198,34 @@ def class_positions(rows: DataFrame, key: str, label: str) -> DataFrame:
     return r.withColumn("position", F.col("rn") - 1).withColumnRenamed("n_rows", "class_size").drop("rn")
 
 
-def draws(positions: DataFrame, label: str, first: int, last: int) -> DataFrame:
-    """Drawn class positions of the replicates ``first`` .. ``last`` - 1, one row per draw.
+def class_sizes(positions: DataFrame, label: str) -> dict[int, int]:
+    """Rows per class: two rows."""
+    return {int(r[label]): int(r["n"]) for r in positions.groupBy(label).agg(F.max("class_size").alias("n")).collect()}
 
-    Every row makes one draw per replicate within its class, so class sizes are kept; the
-    draw is a 60-bit md5 number and does not depend on the layout of the data.
-    """
-    reps = positions.select(label, "position", "class_size", F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("replicate_id"))
-    text = F.concat_ws("|", F.col("replicate_id").cast("string"), F.col(label).cast("string"), F.col("position").cast("string"))
-    pick = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint") % F.col("class_size")
-    return reps.select("replicate_id", label, pick.alias("position"))
 
+def draw_counts(positions: DataFrame, label: str, replicates: int) -> DataFrame:
+    """How often each class position is drawn per replicate; class sizes are kept."""
+    found = resample.resample(positions, label, class_sizes(positions, label), replicates, [], counts=True)
+    return found.withColumnRenamed("label", label)
 
-def draw_counts(positions: DataFrame, label: str, first: int, last: int) -> DataFrame:
-    """How often each class position is drawn per replicate."""
-    return draws(positions, label, first, last).groupBy("replicate_id", label, "position").agg(F.count(F.lit(1)).alias("draws"))
 
-
-def paired_bootstrap(rows: DataFrame, key: str, label: str, variants: dict[str, tuple[str, str]], replicates: int, block: int = 500) -> DataFrame:
+def paired_bootstrap(rows: DataFrame, key: str, label: str, variants: dict[str, tuple[str, str]], replicates: int) -> DataFrame:
     """Replicate means of log loss and Brier score for every (model, method) column of ``rows``.
 
-    ``variants`` maps a probability column to its (model_id, method).  All variants share
-    the draws.  A draw only moves to the row it hits, where its losses are added up per
-    replicate before anything else is shuffled; replicates run in blocks.
+    ``variants`` maps a probability column to its (model_id, method).  All variants share the draws.  Losses stay in
+    blocks of rows, which draw inside themselves as often as the replicate's tree of counts says.
     """
     y = F.col(label).cast("double")
     cols = list(variants)
     loss = rows.select(key, label, *[P.log_loss(y, F.col(c)).alias(f"l_{c}") for c in cols], *[P.squared_error(y, F.col(c)).alias(f"b_{c}") for c in cols])
     placed = freeze(class_positions(loss, key, label))
-    total = placed.count()
-    out = None
-    for first in range(0, replicates, block):
-        drawn = draws(placed, label, first, min(replicates, first + block))
-        part = drawn.join(placed.drop("class_size", key), [label, "position"]).groupBy("replicate_id").agg(
-            *[(F.sum(f"{k}_{c}") / F.lit(total)).alias(f"{k}_{c}") for k in ("l", "b") for c in cols])
-        rowset = part.select("replicate_id", F.inline(F.array(*[
-            F.struct(F.lit(m).alias("model_id"), F.lit(meth).alias("method"), F.col(f"l_{c}").alias("log_loss"), F.col(f"b_{c}").alias("brier_score"))
-            for c, (m, meth) in variants.items()])))
-        out = rowset if out is None else out.unionByName(rowset)
-    return out
+    sizes = class_sizes(placed, label)
+    total = sum(sizes.values())
+    values = [f"{k}_{c}" for k in ("l", "b") for c in cols]
+    sums = resample.resample(placed, label, sizes, replicates, values).groupBy("replicate_id").agg(*[(F.sum(v) / F.lit(total)).alias(v) for v in values])
+    return sums.select("replicate_id", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("model_id"), F.lit(meth).alias("method"), F.col(f"l_{c}").alias("log_loss"), F.col(f"b_{c}").alias("brier_score"))
+        for c, (m, meth) in variants.items()])))
 
 
 def annotate_reference(boot: DataFrame, references: DataFrame) -> DataFrame:

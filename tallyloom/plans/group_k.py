@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import groups as G, probability as P
-from ..operators import calibration as C, checks as K, metrics as M, split as SP
+from ..operators import calibration as C, checks as K, isotonic as I, metrics as M, split as SP
 from ..operators.scoring import unpivot_models
 from ..session import freeze
 from .group_d2 import split_of
@@ -38,7 +38,7 @@ def calibrated(t):
     folds = freeze(cal_folds(t))
     keys = ["case_id", "model_id"]
     logistic = C.cross_fit_logistic(folds, 5).select(*keys, F.col("oof").alias("logistic"))
-    isotonic = C.cross_fit_isotonic(folds, list(G.MODELS), 5).select(*keys, F.col("oof").alias("isotonic"))
+    isotonic = C.cross_fit_isotonic(folds, 5).select(*keys, F.col("oof").alias("isotonic"))
     return freeze(folds.withColumnRenamed("pd", "identity").join(logistic, keys).join(isotonic, keys))
 
 
@@ -72,9 +72,9 @@ def selection(t):
     return C.select_method(g, ref, C.paired_errors(C.annotate_reference(boot, ref), "log_loss_difference"))
 
 
-@query("k01_protected_logit", "SELECT case_id, round(ln(logit_t) - ln(1 - logit_t), 9) AS z FROM scores")
+@query("k01_protected_logit", "SELECT model_id, case_id, round(ln(pd) - ln(1 - pd), 9) AS z FROM scores_long")
 def _(t):
-    return t.scores.select("case_id", F.round(P.logit(F.col("logit_t")), 9).alias("z"))
+    return unpivot_models(t.scores, G.MODELS).select("model_id", "case_id", F.round(P.logit(F.col("pd")), 9).alias("z"))
 
 
 @query(
@@ -90,9 +90,9 @@ def _(t):
     return C.endpoint_counts(rows, ["l_returnflag"]).join(extra, "l_returnflag")
 
 
-@query("k02_identity_map", "SELECT case_id, logit_t AS pd FROM scores")
+@query("k02_identity_map", "SELECT model_id, case_id, pd FROM scores_long")
 def _(t):
-    return t.scores.select("case_id", C.identity_map("logit_t").alias("pd"))
+    return unpivot_models(t.scores, G.MODELS).select("model_id", "case_id", C.identity_map("pd").alias("pd"))
 
 
 _COUNTS = "SELECT model_id, pd, count(*)::DOUBLE AS n, sum(target)::DOUBLE AS pos FROM cal_long GROUP BY 1, 2"
@@ -115,31 +115,29 @@ def _(t):
     return rows.join(F.broadcast(fits), "model_id").select("model_id", "case_id", F.round(C.logistic_map(), 7).alias("calibrated_pd"))
 
 
-@query(
-    "k04_isotonic_predictions",
-    "WITH " + isotonic_sql("SELECT 'a' AS grp, trees_t AS x, count(*)::DOUBLE AS n, sum(target)::DOUBLE AS pos FROM cal GROUP BY 2")
-    + " SELECT c.case_id, round(iso.y, 9) AS calibrated_pd FROM cal c JOIN iso ON iso.x = c.trees_t",
-)
+_ISO = "WITH " + isotonic_sql("SELECT model_id AS grp, pd AS x, n, pos FROM (" + _COUNTS + ") k")
+
+
+@query("k04_isotonic_predictions", _ISO + " SELECT c.model_id, c.case_id, round(iso.y, 9) AS calibrated_pd FROM cal_long c JOIN iso ON iso.grp = c.model_id AND iso.x = c.pd")
 def _(t):
-    rows = cal_scores(t).select("case_id", "target", F.col("trees_t").alias("pd"))
-    model = C.fit_isotonic(M.score_counts(rows, []))
-    return C.apply_isotonic(rows, model).select("case_id", F.round("iso", 9).alias("calibrated_pd"))
+    return C.isotonic_map(cal_long(t), ["model_id"]).select("model_id", "case_id", F.round("iso", 9).alias("calibrated_pd"))
 
 
 @query(
     "k04_isotonic_contract",
-    "WITH " + isotonic_sql("SELECT 'a' AS grp, trees_t AS x, count(*)::DOUBLE AS n, sum(target)::DOUBLE AS pos FROM cal GROUP BY 2")
-    + """ SELECT true AS valid, round(min(y), 9) AS below_range, round(max(y), 9) AS above_range, round(min(x), 9) AS x_min, round(max(x), 9) AS x_max FROM iso""",
+    _ISO + """ SELECT grp AS model_id, bool_and(y >= coalesce(before, 0) AND y BETWEEN 0 AND 1) AS valid, round(min(y), 9) AS below_range, round(max(y), 9) AS above_range,
+        round(min(x), 9) AS x_min, round(max(x), 9) AS x_max FROM (SELECT *, lag(y) OVER (PARTITION BY grp ORDER BY x) AS before FROM iso) o GROUP BY 1""",
 )
 def _(t):
-    rows = cal_scores(t).select("case_id", "target", F.col("trees_t").alias("pd"))
-    model = C.fit_isotonic(M.score_counts(rows, []))
-    ends = rows.agg(F.min("pd").alias("lo"), F.max("pd").alias("hi"))
-    probe = ends.select(F.inline(F.array(F.struct(F.lit("b").alias("k"), (F.col("lo") - 1).alias("pd")), F.struct(F.lit("a").alias("k"), (F.col("hi") + 1).alias("pd")))))
-    out = C.apply_isotonic(probe, model).agg(
-        F.max(F.when(F.col("k") == "b", F.col("iso"))).alias("b"), F.max(F.when(F.col("k") == "a", F.col("iso"))).alias("a"))
-    return out.select(F.lit(C.isotonic_valid(model)).alias("valid"), F.round("b", 9).alias("below_range"), F.round("a", 9).alias("above_range"),
-                      F.lit(round(float(model.boundaries[0]), 9)).alias("x_min"), F.lit(round(float(model.boundaries[-1]), 9)).alias("x_max"))
+    by = ["model_id"]
+    counts = M.score_counts(cal_long(t), by)
+    ends = counts.groupBy(*by).agg(F.min("pd").alias("lo"), F.max("pd").alias("hi"))
+    probes = ends.select(*by, F.explode(F.array(F.col("lo") - 1, F.col("hi") + 1)).alias("pd"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("pos"))
+    ranged, blocks = I.fit(counts.unionByName(probes), by)
+    found = I.predict(ranged, blocks, by).join(ends, by).groupBy(*by).agg(
+        F.max(F.when(F.col("pd") < F.col("lo"), F.col("iso"))).alias("below"), F.max(F.when(F.col("pd") > F.col("hi"), F.col("iso"))).alias("above"))
+    return I.valid(blocks, by).join(found, by).select(
+        "model_id", "valid", F.round("below", 9).alias("below_range"), F.round("above", 9).alias("above_range"), F.round("x_min", 9).alias("x_min"), F.round("x_max", 9).alias("x_max"))
 
 
 _OTHERS = """SELECT c.model_id, h.f AS held, c.pd, count(*)::DOUBLE AS n, sum(target)::DOUBLE AS pos FROM cal_fold c JOIN range(0, 5) h(f) ON h.f <> c.fold_id
@@ -160,7 +158,7 @@ def _(t):
     "SELECT model_id, fold_id, case_id, round(pd, 7) AS oof FROM methods WHERE method = 'isotonic'",
 )
 def _(t):
-    return C.cross_fit_isotonic(cal_folds(t), list(G.MODELS), 5).select("model_id", "fold_id", "case_id", F.round("oof", 7).alias("oof"))
+    return C.cross_fit_isotonic(cal_folds(t), 5).select("model_id", "fold_id", "case_id", F.round("oof", 7).alias("oof"))
 
 
 @query("k05_oof_coverage", "SELECT model_id, count(*) AS keys, count(*) AS predictions, 0::BIGINT AS repeated_keys, 0::BIGINT AS invalid_predictions FROM cal_long GROUP BY 1")
@@ -196,15 +194,10 @@ def _(t):
     return rounded(bootstrap(calibrated(t)), "log_loss", "brier_score").withColumn("replicate_id", F.col("replicate_id").cast("bigint"))
 
 
-@query(
-    "k07_draw_counts",
-    """WITH p AS (SELECT target, row_number() OVER (PARTITION BY target ORDER BY case_id) - 1 AS position, count(*) OVER (PARTITION BY target) AS m FROM cal)
-       SELECT CAST(r AS BIGINT) AS replicate_id, target, CAST('0x' || substr(md5(concat_ws('|', r, target, position)), 1, 15) AS BIGINT) % m AS position, count(*) AS draws
-       FROM p CROSS JOIN range(0, 2000) t(r) GROUP BY 1, 2, 3""",
-)
+@query("k07_draw_counts", "SELECT r AS replicate_id, label AS target, position, c AS draws FROM boot_draws")
 def _(t):
     pos = C.class_positions(cal_scores(t).select("case_id", "target"), "case_id", "target")
-    return C.draw_counts(pos, "target", 0, REPLICATES).withColumn("replicate_id", F.col("replicate_id").cast("bigint"))
+    return C.draw_counts(pos, "target", REPLICATES)
 
 
 @query("k08_differences_to_identity", f"SELECT replicate_id, model_id, method, {_R('log_loss_vs_identity', 'brier_vs_identity')} FROM boot_diff")

@@ -18,7 +18,7 @@ TABLES = (
 ).split()
 
 #: Views that a statement may read several times and that are dear to expand each time.
-SHARED_VIEWS = ("scores_long", "scenario_rows", "cal", "cal_fold", "methods", "boot", "boot_diff", "metric_method", "guard", "best", "boot_ref")
+SHARED_VIEWS = ("scores_long", "scenario_rows", "cal", "cal_fold", "methods", "boot_draws", "boot", "boot_diff", "metric_method", "guard", "best", "boot_ref")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

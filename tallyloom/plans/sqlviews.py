@@ -1,5 +1,7 @@
 """Views used only by the SQL statements the queries are checked against."""
 
+from ..operators.resample import draws_sql
+
 MODELS = ["logit_t", "logit_ad", "trees_t", "trees_ad", "mlp_t", "mlp_ad"]
 
 SQL_VIEWS: dict[str, str] = {}
@@ -296,13 +298,12 @@ SELECT c.*, f.fold_id FROM {cal_long} c JOIN (
     SELECT case_id, (row_number() OVER (PARTITION BY target ORDER BY md5(concat('folds|', case_id)), case_id) - 1) % 5 AS fold_id FROM {cal}) f
 ON f.case_id = c.case_id
 """
+SQL_VIEWS["boot_draws"] = draws_sql("SELECT * FROM {cal}", "target", "case_id", 2000)
 SQL_VIEWS["boot"] = """
 SELECT d.r AS replicate_id, m.model_id, m.method, sum(c * -(m.target * ln(greatest(least(pd, 1 - 2.220446049250313e-16), 2.220446049250313e-16)) + (1 - m.target) * ln(1 - greatest(least(pd, 1 - 2.220446049250313e-16), 2.220446049250313e-16)))) / (SELECT count(*) FROM {cal}) AS log_loss,
        sum(c * (pd - m.target) * (pd - m.target)) / (SELECT count(*) FROM {cal}) AS brier_score
-FROM (SELECT r, target, CAST('0x' || substr(md5(concat_ws('|', r, target, position)), 1, 15) AS BIGINT) % class_size AS position, count(*) AS c
-      FROM (SELECT target, row_number() OVER (PARTITION BY target ORDER BY case_id) - 1 AS position, count(*) OVER (PARTITION BY target) AS class_size FROM {cal}) p
-      CROSS JOIN range(0, 2000) t(r) GROUP BY ALL) d
-JOIN (SELECT case_id, target, row_number() OVER (PARTITION BY target ORDER BY case_id) - 1 AS position FROM {cal}) q ON q.target = d.target AND q.position = d.position
+FROM {boot_draws} d
+JOIN (SELECT case_id, target, row_number() OVER (PARTITION BY target ORDER BY case_id) - 1 AS position FROM {cal}) q ON q.target = d.label AND q.position = d.position
 JOIN {methods} m ON m.case_id = q.case_id GROUP BY ALL
 """
 SQL_VIEWS["boot_diff"] = """
@@ -407,5 +408,5 @@ SQL_VIEWS["slopes"] = f"""
 SELECT * FROM (WITH {newton_sql("SELECT model_id, pd, count(*)::DOUBLE AS n, sum(target)::DOUBLE AS pos FROM {cal_fold} GROUP BY 1, 2", 'model_id')} SELECT model_id, b AS slope FROM p9) s
 """
 # views are defined in the order of their use: the two above before what reads them
-for _late in ("boot", "boot_diff", "metric_method", "guard", "best", "boot_ref", "selection"):
+for _late in ("boot_draws", "boot", "boot_diff", "metric_method", "guard", "best", "boot_ref", "selection"):
     SQL_VIEWS[_late] = SQL_VIEWS.pop(_late)

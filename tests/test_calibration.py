@@ -1,8 +1,9 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import calibration as C, metrics as M
+from tallyloom.operators import calibration as C, isotonic as I, metrics as M, resample as R
 
 
 def table(spark, p, y, name="m"):
@@ -92,14 +93,63 @@ def pav(p, y):
     return dict(zip(x, fit))
 
 
-def test_isotonic_equals_pool_adjacent_violators(spark):
-    p, _, y = sample(9, 1500)
-    df = table(spark, p, y)
-    model = C.fit_isotonic(M.score_counts(df, []))
-    assert C.isotonic_valid(model)
-    want = pav(p, y)
-    got = {r.pd: r.iso for r in C.apply_isotonic(df.select("pd").distinct(), model).collect()}
-    assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+def line(fit, x):
+    """Value of a fit at a score: straight between training scores, the end values outside."""
+    known = sorted(fit)
+    return float(np.interp(x, known, [fit[k] for k in known]))
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """Small ranges stay apart."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("seed", [9, 10])
+def test_isotonic_equals_pool_adjacent_violators(spark, many_ranges, seed):
+    samples = {"a": sample(seed, 1500), "b": sample(seed + 20, 700), "c": (np.array([0.2, 0.4, 0.6]), None, np.array([1, 0, 0])), "d": (np.array([0.3]), None, np.array([1]))}
+    df = None
+    for name, (p, _, y) in samples.items():
+        part = table(spark, p, y, name)
+        df = part if df is None else df.unionByName(part)
+    counts = M.score_counts(df, ["model_id"])
+    probes = [(m, x, 0, 0) for m in samples for x in (-1.0, 0.0123, 0.3333, 0.50001, 2.0)]
+    points = counts.unionByName(spark.createDataFrame(probes, "model_id string, pd double, n long, pos long"))
+    ranged, blocks = I.fit(points.repartition(5), ["model_id"])
+    assert ranged.select("__range").distinct().count() > 1
+    got = {(r.model_id, r.pd): r.iso for r in I.predict(ranged, blocks, ["model_id"]).collect()}
+    assert len(got) == points.count()
+    for m, (p, _, y) in samples.items():
+        want = pav(p, y)
+        for (name, x), v in got.items():
+            if name == m:
+                assert v == pytest.approx(line(want, x), abs=1e-12), (m, x)
+    assert all(r.valid and r.x_min == samples[r.model_id][0].min() for r in I.valid(blocks, ["model_id"]).collect())
+
+
+def test_pooling_merges_like_a_monoid():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        n, cut = int(rng.integers(2, 30)), int(rng.integers(1, 29))
+        rows = rng.integers(1, 5, n)
+        pos = rng.binomial(rows, 0.5)
+        whole = [(r, h) for *_, r, h in I.pool(rows, pos)]
+        parts = [(r, h) for a, b in ((0, cut), (cut, n)) for *_, r, h in I.pool(rows[a:b], pos[a:b])]
+        assert [(r, h) for *_, r, h in I.pool(np.array([r for r, _ in parts]), np.array([h for _, h in parts]))] == whole
+
+
+def test_cross_fitted_isotonic_equals_plain(spark):
+    p, _, y = sample(14, 500)
+    rows = spark.createDataFrame([(i, m, i % 3, float(a if m == "m" else a / 2), int(b)) for i, (a, b) in enumerate(zip(p, y)) for m in "mk"], "case_id long, model_id string, fold_id long, pd double, target long")
+    got = {(r.model_id, r.case_id): r.oof for r in C.cross_fit_isotonic(rows, 3).collect()}
+    assert len(got) == 1000
+    fold = np.arange(500) % 3
+    for f in range(3):
+        for m, x in (("m", p), ("k", p / 2)):
+            fit = pav(x[fold != f], y[fold != f])
+            assert all(got[m, i] == pytest.approx(line(fit, x[i]), abs=1e-12) for i in np.flatnonzero(fold == f))
 
 
 def test_cross_fit_leaves_the_held_out_fold_out(spark):
@@ -115,16 +165,52 @@ def test_cross_fit_leaves_the_held_out_fold_out(spark):
     assert (cov.keys, cov.predictions, cov.repeated_keys, cov.invalid_predictions) == (600, 600, 0, 0)
 
 
-def test_bootstrap_keeps_class_sizes_and_pairs(spark):
+def test_bootstrap_keeps_class_sizes_and_pairs(spark, monkeypatch):
     p, _, y = sample(3, 120)
     rows = spark.createDataFrame([(i, int(b), float(a), float(a)) for i, (a, b) in enumerate(zip(p, y))], "case_id long, target long, p1 double, p2 double")
-    d = C.draw_counts(C.class_positions(rows.select("case_id", "target"), "case_id", "target"), "target", 0, 4).groupBy("replicate_id", "target").agg(F.sum("draws").alias("n"))
-    assert {(r.target, r.n) for r in d.collect()} == {(0, int((y == 0).sum())), (1, int((y == 1).sum()))}
+    placed = C.class_positions(rows.select("case_id", "target"), "case_id", "target")
+    d = C.draw_counts(placed, "target", 4).groupBy("replicate_id", "target").agg(F.sum("draws").alias("n"))
+    assert {(r.target, r.n) for r in d.collect()} == {(0, int((y == 0).sum())), (1, int((y == 1).sum()))} and d.count() == 8
     variants = {"p1": ("m", "identity"), "p2": ("m", "logistic")}
-    boot = C.paired_bootstrap(rows, "case_id", "target", variants, 6, block=4)
+    boot = C.paired_bootstrap(rows, "case_id", "target", variants, 6)
     assert boot.count() == 12
     assert boot.groupBy("replicate_id").agg((F.max("log_loss") - F.min("log_loss")).alias("x")).where("x <> 0").count() == 0
     assert boot.where("method = 'identity'").select("log_loss").distinct().count() > 1
+    counts = {(r.replicate_id, r.target, r.position): r.draws for r in C.draw_counts(placed, "target", 6).collect()}
+    by_class = {c: np.flatnonzero(y == c) for c in (0, 1)}
+    loss = -(y * np.log(p) + (1 - y) * np.log(1 - p))
+    for r in boot.where("method = 'identity'").collect():
+        want = sum(n * loss[by_class[c][k]] for (rep, c, k), n in counts.items() if rep == r.replicate_id) / 120
+        assert r.log_loss == pytest.approx(want)
+
+
+@pytest.mark.parametrize("rows", [7, 64, 512])
+def test_draws_equal_their_sql(spark, rows):
+    """Several blocks, a shorter last one, and classes of one row and of one block."""
+    labels = [0] * 300 + [1] * 63 + [2]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT unnest($x) AS y", {"x": labels})
+    want = {(r, c, k): n for r, c, k, n in con.sql(R.draws_sql("SELECT y FROM t", "y", "y", 25, rows)).fetchall()}
+    placed = spark.createDataFrame([(c, k) for c in set(labels) for k in range(labels.count(c))], "y long, position long")
+    sizes = {c: labels.count(c) for c in set(labels)}
+    got = {(r.replicate_id, r.label, r.position): r.draws for r in R.resample(placed, "y", sizes, 25, [], counts=True, rows=rows).collect()}
+    assert got == want
+    for r in range(25):
+        for c, m in sizes.items():
+            assert sum(n for (rep, label, _), n in got.items() if rep == r and label == c) == m
+
+
+def test_draws_are_multinomial():
+    """Counts of blocks and of rows have the moments of independent draws."""
+    n = R.block_counts(np.arange(4000), 1, 1000, 64)
+    size = np.array([64] * 15 + [40])
+    assert (n.sum(1) == 1000).all() and np.abs(n.mean(0) - size).max() < 1
+    assert np.abs(n.var(0) / (size * (1 - size / 1000)) - 1).max() < 0.12
+    assert abs(np.corrcoef(n[:, 0], n[:, 9])[0, 1] + size[0] / (1000 - size[0])) < 0.06
+    hits = R.inside(np.arange(3000), 0, 2, np.full(3000, 50), 50)
+    assert (hits.sum(1) == 50).all() and abs(hits.var() - 0.98) < 0.03
+    x = R.binomial(np.full(20_000, 41), 5, 17, R.mix(np.arange(20_000).astype(np.uint64)))
+    assert abs(x.mean() - 41 * 5 / 17) < 0.1 and abs(x.var() - 41 * 5 / 17 * 12 / 17) < 0.3 and x.max() <= 41
 
 
 def guard_rows(spark, rows):
