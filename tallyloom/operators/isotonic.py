@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .blocks import importable
+from ..session import importable
 from .ranking import RANGE, range_partition
 
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import RDD
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import importable
 from . import blocks as B
 
 
@@ -177,7 +178,7 @@ class Perceptron:
     weights: np.ndarray
 
     def score(self, df: DataFrame, keep: list[str]) -> DataFrame:
-        B.importable(df.sparkSession)
+        importable(df.sparkSession)
         net, weights, n = Network(len(self.columns), self.hidden), self.weights, len(self.columns)
         source = df.select(*keep, *[F.col(c).cast("double").alias(f"__{k}") for k, c in enumerate(self.columns)])
 

@@ -299,3 +299,11 @@ def grids_on(predictions: DataFrame, score: str) -> DataFrame:
                  F.lit(LOSS_RATIOS[k] != "detailed_only").alias("is_display_point"), F.col(f"r{k}").alias("case_count"))
         for i, k in enumerate(ratios, 1)])))
     return rates.unionByName(budgets).unionByName(losses)
+
+
+def reconcile_anchors(curve: DataFrame, saved: DataFrame) -> DataFrame:
+    """Saved anchor points against the curve, per model: an absent point or one that differs beyond rounding is a mismatch."""
+    a = saved.select("model_id", "approval_rate_percent", F.col("approved_count").alias("__count"), F.col("approved_mean_pd").alias("__mean"))
+    j = a.join(curve.select("model_id", "approval_rate_percent", "approved_count", "approved_mean_pd"), ["model_id", "approval_rate_percent"], "left")
+    same = F.coalesce((F.col("__count") == F.col("approved_count")) & (F.abs(F.col("__mean") - F.col("approved_mean_pd")) <= 1e-12), F.lit(False))
+    return j.groupBy("model_id").agg(F.count(F.lit(1)).alias("anchor_points"), count_where(~same).alias("mismatches"))

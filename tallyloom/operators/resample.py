@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .blocks import importable
+from ..session import importable
 
 #: Rows of a block; bits of the share that a binomial looks at.
 BLOCK_ROWS, BITS = 512, 64

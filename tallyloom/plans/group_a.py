@@ -10,7 +10,7 @@ from ..session import scratch_path
 from ..sources import catalog as C, io
 from .group_d2 import split_of
 from .group_i import SPEC, TRAIN, split_rows
-from .registry import query
+from .registry import TABLES, query
 from .sqlviews import NUM
 
 
@@ -157,18 +157,14 @@ def _(t):
     return t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("row_count"), F.lit(refused).alias("second_write_refused"))
 
 
-_COLUMNS = {
-    "customer": "c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment", "labels": "doc_id,quality,toxic",
-    "orders": "o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority", "events": "event_id,ts,user_id,event_type,value,props",
-}
-
-
 @query("a12_file_inventory", " UNION ALL ".join(
-    f"""SELECT '{f}.parquet' AS file_name, count(*) AS physical_rows, {len(c.split(','))}::BIGINT AS column_count, '{c}' AS column_names, false AS has_case_id,
-        false AS has_num_group1, true AS has_bytes FROM {f}""" for f, c in _COLUMNS.items()))
+    f"""SELECT '{f}.parquet' AS file_name, (SELECT count(*) FROM {f}) AS physical_rows, count(*) AS column_count, string_agg(column_name, ',' ORDER BY column_index) AS column_names,
+        count(*) FILTER (WHERE column_name = 'case_id') > 0 AS has_case_id, count(*) FILTER (WHERE column_name = 'num_group1') > 0 AS has_num_group1, true AS has_bytes,
+        true AS has_row_groups FROM duckdb_columns() WHERE table_name = '{f}'""" for f in TABLES))
 def _(t):
-    inv = C.file_inventory(t.spark, [t.path(f) for f in _COLUMNS])
-    return inv.select("file_name", "physical_rows", "column_count", "column_names", "has_case_id", "has_num_group1", (F.col("file_bytes") > 0).alias("has_bytes"))
+    inv = C.file_inventory(t.spark, [t.path(f) for f in TABLES])
+    return inv.select("file_name", "physical_rows", "column_count", "column_names", "has_case_id", "has_num_group1", (F.col("file_bytes") > 0).alias("has_bytes"),
+                      ((F.col("row_group_count") > 0) | (F.col("physical_rows") == 0)).alias("has_row_groups"))
 
 
 _NAMES = """n AS (SELECT DISTINCT CASE WHEN doc_id % 11 = 0 THEN 'train_base.parquet' WHEN doc_id % 7 = 0 THEN concat(source, '.parquet')

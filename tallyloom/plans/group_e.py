@@ -8,11 +8,13 @@ from ..functions import groups as G, probability as P, states as S
 from ..operators import audit as A, checks as K, joins as J, metrics as M, policy as L, ranking as R
 from ..operators.longform import ratio
 from ..operators.scoring import unpivot_models
-from .registry import query
+from ..session import freeze
+from .registry import kept, query
 
 
-def ranked_scores(t, models=G.MODELS, sums=None):
-    return R.running(unpivot_models(t.scores, models), ["model_id"], ["pd", "base_order"], sums)
+def ranked_scores(t):
+    """Total order of all models' scores with running sums: one range shuffle a session, read by every query on ranks."""
+    return kept(t, "ranks", lambda: freeze(L.ranked(unpivot_models(t.scores, G.MODELS))))
 
 
 @query("e01_stable_order", "SELECT model_id, case_id, rn FROM ranked")
@@ -20,22 +22,21 @@ def _(t):
     return ranked_scores(t).select("model_id", "case_id", "rn")
 
 
-@query("e02_risk_percentile", "SELECT model_id, case_id, round((rn - 1) / (n_rows - 1), 9) AS risk_percentile FROM ranked WHERE model_id LIKE 'trees%'")
+@query("e02_risk_percentile", "SELECT model_id, case_id, round((rn - 1) / (n_rows - 1), 9) AS risk_percentile FROM ranked")
 def _(t):
-    r = ranked_scores(t, ("trees_t", "trees_ad"))
+    r = ranked_scores(t)
     return r.select("model_id", "case_id", F.round(R.risk_percentile(F.col("rn"), F.col("n_rows")), 9).alias("risk_percentile"))
 
 
-@query("e03_equal_count_bins", "SELECT model_id, case_id, " + ", ".join(
-    f"least({k}, (rn - 1) * {k} // n_rows + 1) AS bin_{k}" for k in (5, 10, 20)) + " FROM ranked WHERE model_id LIKE 'trees%'")
+@query("e03_equal_count_bins", "SELECT model_id, case_id, " + ", ".join(f"least({k}, (rn - 1) * {k} // n_rows + 1) AS bin_{k}" for k in (5, 10, 20)) + " FROM ranked")
 def _(t):
-    r = ranked_scores(t, ("trees_t", "trees_ad"))
+    r = ranked_scores(t)
     return r.select("model_id", "case_id", *[R.equal_count_bin(F.col("rn"), F.col("n_rows"), k).alias(f"bin_{k}") for k in (5, 10, 20)])
 
 
-@query("e04_running_sums", "SELECT model_id, rn, pd, round(cum_pd, 6) AS cum_pd, cum_y, round(cum_pd / rn, 9) AS running_mean FROM ranked WHERE model_id LIKE 'mlp%'")
+@query("e04_running_sums", "SELECT model_id, rn, pd, round(cum_pd, 6) AS cum_pd, cum_y, round(cum_pd / rn, 9) AS running_mean FROM ranked")
 def _(t):
-    r = ranked_scores(t, ("mlp_t", "mlp_ad"), {"cum_pd": F.col("pd"), "cum_y": F.col("target")})
+    r = ranked_scores(t)
     return r.select("model_id", "rn", "pd", F.round("cum_pd", 6).alias("cum_pd"), "cum_y", F.round(F.col("cum_pd") / F.col("rn"), 9).alias("running_mean"))
 
 

@@ -9,7 +9,7 @@ from ..operators.joins import skew_join
 from ..operators.longform import count_where
 from ..operators.ranking import top_per_group
 from ..session import freeze, spread
-from .io import table_name
+from . import io
 
 # Technical roles of the structural columns and the file name grammar of the sources.
 TECHNICAL_ROLES = {
@@ -26,18 +26,13 @@ CONTEXTS = 3
 
 
 def file_inventory(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Rows, size and columns per table file.  Schemas come from footers, rows from a column-free scan."""
-    rows = None
-    for p in paths:
-        df = spark.read.parquet(p)
-        cols = df.columns
-        one = df.select(table_name(F.col("_metadata.file_path")).alias("file_name"), F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"))
-        per = one.groupBy("file_name", "p").agg(F.count(F.lit(1)).alias("n"), F.max("s").alias("s")).groupBy("file_name").agg(
-            F.sum("n").alias("physical_rows"), F.sum("s").alias("file_bytes"))
-        per = per.select("file_name", "physical_rows", "file_bytes", F.lit(len(cols)).cast("bigint").alias("column_count"),
-                         F.lit(",".join(cols)).alias("column_names"), *[F.lit(c in cols).alias(f"has_{c}") for c in ("case_id", "num_group1", "num_group2")])
-        rows = per if rows is None else rows.unionByName(per)
-    return rows
+    """Rows, size, row groups and columns per table file, from footers that executors read side by side."""
+    f = io.footers(spark, paths)
+    first = F.min_by(F.struct("columns"), "path")["columns"]  # a table's columns are those of its first part
+    per = f.groupBy("file_name").agg(F.sum("rows").alias("physical_rows"), F.sum("bytes").alias("file_bytes"), F.sum("row_groups").alias("row_group_count"), first.alias("columns"))
+    names = F.transform("columns", lambda c: c["name"])
+    return per.select("file_name", "physical_rows", "file_bytes", "row_group_count", F.size("columns").cast("bigint").alias("column_count"), F.array_join(names, ",").alias("column_names"),
+                      *[F.array_contains(names, c).alias(f"has_{c}") for c in ("case_id", "num_group1", "num_group2")])
 
 
 def parse_file_names(df: DataFrame, name: str) -> DataFrame:
@@ -56,12 +51,9 @@ def parse_file_names(df: DataFrame, name: str) -> DataFrame:
 
 
 def schema_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file_name, position, name, dtype) from footers only."""
-    rows = []
-    for p in paths:
-        name = p.rstrip("/").split("/")[-1]
-        rows += [(name, i, f.name, f.dataType.simpleString()) for i, f in enumerate(spark.read.parquet(p).schema)]
-    return spark.createDataFrame(rows, "file_name string, position int, name string, dtype string")
+    """(file_name, position, name, dtype) from footers only; a table of several parts has its first part's columns."""
+    first = io.footers(spark, paths).groupBy("file_name").agg(F.min_by(F.struct("columns"), "path")["columns"].alias("columns"))
+    return first.select("file_name", F.posexplode("columns").alias("position", "c")).select("file_name", "position", "c.name", "c.dtype")
 
 
 def schema_drift(schema: DataFrame, group: Column) -> DataFrame:

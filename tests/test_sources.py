@@ -1,3 +1,5 @@
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +70,31 @@ def test_checkpoints_use_the_shared_folder(spark):
     folder = shared_dir(spark)
     assert freeze(spark.range(5)).count() == 5
     assert spark.sparkContext.getCheckpointDir() and folder
+
+
+def test_footers_of_many_files_in_one_job(spark, tmp_path):
+    for k in range(40):
+        cols = ["id", "a"] if k % 2 else ["a", "id", "b"]
+        spark.range(k).selectExpr("id", "cast(id as double) a", "string(id) b").select(cols).coalesce(1).write.parquet(f"{tmp_path}/t_{k:02d}.parquet")
+    paths = [f"{tmp_path}/t_{k:02d}.parquet" for k in range(40)]
+    inv = {r.file_name: r for r in C.file_inventory(spark, paths).collect()}
+    assert len(inv) == 40 and all(inv[f"t_{k:02d}.parquet"].physical_rows == k for k in range(40))
+    assert inv["t_03.parquet"].column_names == "id,a" and inv["t_04.parquet"].column_names == "a,id,b" and inv["t_04.parquet"].file_bytes > 0
+    kinds = {(r.position, r.name): r.dtype for r in C.schema_rows(spark, paths).where("file_name = 't_04.parquet'").collect()}
+    assert kinds == {(0, "a"): "double", (1, "id"): "bigint", (2, "b"): "string"}
+    both = io.read_small_group(spark, paths, ["id", "b"])
+    assert both.count() == sum(range(40)) and both.where("b IS NULL").count() == sum(range(1, 40, 2))
+    with pytest.raises(ValueError):
+        io.footers(spark, [])
+
+
+def test_footer_types_are_those_of_the_reader(spark, tmp_path):
+    df = spark.sql("SELECT 1Y a, 2S b, 3 c, 4L d, 1.5F e, 2.5D f, 1.25BD g, true h, 'x' i, date'2020-01-01' j, timestamp'2020-01-01 00:00:00' k, array(1) l, named_struct('m', 1) n, X'01' o")
+    df.write.parquet(f"{tmp_path}/kinds.parquet")
+    got = {r.name: r.dtype for r in C.schema_rows(spark, [f"{tmp_path}/kinds.parquet"]).collect()}
+    assert got == {f.name: f.dataType.simpleString() for f in spark.read.parquet(f"{tmp_path}/kinds.parquet").schema}
+    table = pa.table({"a": pa.array([1], pa.int16()), "t": pa.array([0], pa.timestamp("us")), "z": pa.array([0], pa.timestamp("us", "UTC")), "s": ["x"]})
+    (tmp_path / "plain.parquet").mkdir()
+    pq.write_table(table, f"{tmp_path}/plain.parquet/part-0.parquet")
+    got = {r.name: r.dtype for r in C.schema_rows(spark, [f"{tmp_path}/plain.parquet"]).collect()}
+    assert got == {f.name: f.dataType.simpleString() for f in spark.read.parquet(f"{tmp_path}/plain.parquet").schema}
