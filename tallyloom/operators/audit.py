@@ -11,11 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import states as S
+from ..session import freeze
 from . import joins as J
 from .longform import NO_FINITE, Metric, count_where, ratio, to_long, with_rate
 from .ranking import SEVEN, bounded_quantiles, running, summary_of_counts
 
-AUDIT_FIELDS = 6
 BLOCK = 40  # columns per aggregate; hundreds in one aggregate exceed the code generation limit
 
 
@@ -187,42 +187,44 @@ def record_distribution(counts: DataFrame, n: str) -> DataFrame:
                     *[x for x in q.columns if x.startswith("entities_")])
 
 
-def matched_value_counts(spine: DataFrame, source: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(field, value, freq) of the finite values on rows whose key is in the population."""
-    long = source.where(F.col(key).isNotNull()).select(key, F.inline(F.array(*[
-        F.struct(F.lit(f).alias("field"), S.finite_value(F.col(f), S.is_text(source, f)).alias("value")) for f in fields
-    ]))).where(F.col("value").isNotNull())
-    per = long.groupBy(key, "field", "value").agg(F.count(F.lit(1)).alias("f"))
-    inside = J.skew_join(per, spine.select(key), key, "left_semi")
-    return inside.groupBy("field", "value").agg(F.sum("f").alias("freq"))
+def matched_frequencies(spine: DataFrame, source: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, field, state, value, freq) of the rows whose key is in the population: one scan, counted before it meets the population."""
+    rows = S.classify(source.where(F.col(key).isNotNull()), fields)
+    long = rows.select(key, F.inline(F.array(*[
+        F.struct(F.lit(f).alias("field"), F.col(f"{f}__state").alias("state"), F.col(f"{f}__value").alias("value")) for f in fields])))
+    per = long.groupBy(key, "field", "state", "value").agg(F.count(F.lit(1)).alias("freq"))
+    return freeze(J.skew_join(per, spine.select(key), key, "left_semi"))
 
 
 def audit_numeric(spine: DataFrame, source: DataFrame, key: str, fields: list[str], count_fields: list[str] = ()) -> DataFrame:
-    """Long audit of numeric fields: row states, value statistics, entity states, overlap diagnostics."""
-    if len(fields) > AUDIT_FIELDS:  # a dozen aggregates per field
-        return union_all([audit_numeric(spine, source, key, fields[i : i + AUDIT_FIELDS], count_fields) for i in range(0, len(fields), AUDIT_FIELDS)])
-    e = on_spine(spine, per_entity(source, key, fields), key)
+    """Long audit of numeric fields: row states, value statistics, entity states, overlap diagnostics.
+
+    All of it is read from one frequency table; entities without a source record are the population less those that have one.
+    """
+    found = matched_frequencies(spine, source, key, fields)
     parts = [*S.ROW_STATES, "finite", "nonzero"]
-    long = e.select("source_rows", F.inline(F.array(*[
-        F.struct(F.lit(f).alias("field"), *[F.col(f"{f}__{p}").alias(p) for p in parts],
-                 F.col(f"{f}__min").alias("lo"), F.col(f"{f}__max").alias("hi"))
-        for f in fields
-    ])))
     c = F.col
+    f, v = c("freq"), c("value")
+    total = lambda cond: F.sum(F.when(cond, f).otherwise(0))
+    per = found.groupBy(key, "field").agg(
+        F.sum(f).alias("source_rows"), *[total(c("state") == s).alias(s) for s in S.ROW_STATES], total(v.isNotNull()).alias("finite"),
+        total(v != 0).alias("nonzero"), F.min(v).alias("lo"), F.max(v).alias("hi"))
     state = S.entity_state(c("source_rows"), c("finite"), c("nonzero"))
-    wide = long.groupBy("field").agg(
-        F.count(F.lit(1)).alias("population"), F.sum("source_rows").alias("matched_rows"),
-        count_where(c("source_rows") > 0).alias("sources"),
+    present = [s for s in S.ENTITY_STATES if s != "NO_SOURCE_RECORD"]
+    seen = per.groupBy("field").agg(
+        F.sum("source_rows").alias("matched_rows"), F.count(F.lit(1)).alias("sources"),
         *[F.sum(p).alias(f"r_{p}") for p in parts],
-        *[count_where(state == s).alias(f"e_{s}") for s in S.ENTITY_STATES],
+        *[count_where(state == s).alias(f"e_{s}") for s in present],
         count_where((c("finite") > 0) & (c("missing") > 0)).alias("d_finite_and_missing"),
         count_where((c("zero") > 0) & (c("nonzero") > 0)).alias("d_zero_and_nonzero"),
         count_where(c("unparseable") + c("nonfinite") > 0).alias("d_any_invalid"),
         count_where(c("lo") < c("hi")).alias("d_finite_variation_across_rows"),
     )
-    counts = matched_value_counts(spine, source, key, fields)
+    everyone = spine.agg(F.count(F.lit(1)).alias("population")).withColumn("field", F.explode(F.array(*map(F.lit, fields))))
+    wide = everyone.join(seen, "field", "left").fillna(0, [x for x in seen.columns if x != "field"])
+    wide = wide.withColumn("e_NO_SOURCE_RECORD", c("population") - c("sources"))
+    counts = found.where(v.isNotNull()).groupBy("field", "value").agg(F.sum(f).alias("freq"))
     stats = summary_of_counts(counts, ["field"], "value", "freq")
-    v, f = c("value"), c("freq")
     whole = S.integer_like(v)
     checks = counts.groupBy("field").agg(*[
         F.coalesce(F.sum(F.when(cond, f)), F.lit(0)).alias(name)
