@@ -89,6 +89,8 @@ class Preprocessor:
     # output layout
 
     def level_columns(self, c: str) -> list[tuple[str, str]]:
+        if not self.vocabularies:
+            raise ValueError("too many category levels for one column each; encode them with levels.encoded")
         return [(level, level_name(c, level)) for level in self.vocabularies[c]]
 
     def output_columns(self) -> list[str]:
@@ -105,12 +107,19 @@ class Preprocessor:
         return (len([c for c in s.numeric if c in s.first]) + len([f for f in self.missing_flags if f["first"]])
                 + sum(len(v) for v in self.vocabularies.values()))
 
-    def transform(self, df: DataFrame, representation: str, keep: list[str]) -> DataFrame:
-        """``linear_nn``: cap, log, fill, scale.  ``gbdt``: cap only, missing values kept."""
+    def _numbers(self, representation: str) -> dict[str, Column]:
         stage = {"linear_nn": self.scaled, "gbdt": self.capped}[representation]
         out = {c: stage(c).cast("float") for c in self.spec.numeric}
         out |= {f: F.col(f).cast("byte") for f in self.spec.flags}
-        out |= {m["name"]: F.col(m["columns"][0]).isNull().cast("byte") for m in self.missing_flags}
+        return out | {m["name"]: F.col(m["columns"][0]).isNull().cast("byte") for m in self.missing_flags}
+
+    def numbers(self, df: DataFrame, representation: str, keep: list[str]) -> DataFrame:
+        """All outputs but the categories, which ``levels`` encodes for vocabularies of any size."""
+        return df.select(*keep, *[v.alias(n) for n, v in self._numbers(representation).items()])
+
+    def transform(self, df: DataFrame, representation: str, keep: list[str]) -> DataFrame:
+        """``linear_nn``: cap, log, fill, scale.  ``gbdt``: cap only, missing values kept."""
+        out = self._numbers(representation)
         for c in self.spec.categories:
             out |= {name: self.one_hot(c, level).cast("byte") for level, name in self.level_columns(c)}
         return df.select(*keep, *[out[n].alias(n) for n in self.output_columns()])
@@ -216,13 +225,16 @@ def fit(df: DataFrame, spec: PrepSpec, train: Column) -> Preprocessor:
 
 
 def vocabularies(rows: DataFrame, spec: PrepSpec) -> dict[str, list[str]]:
-    """Sorted training levels per category plus the two reserved levels."""
+    """Sorted training levels per category plus the two reserved levels; none at all beyond ``MAX_VOCABULARY`` levels.
+
+    They are only needed for one column per level; ``levels.level_index`` holds any number.
+    """
     long = rows.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in spec.categories])))
     levels = long.where(F.col("v").isNotNull()).distinct()
     found = levels.limit(MAX_VOCABULARY + 1).collect()  # each level becomes a column
     if len(found) > MAX_VOCABULARY:
-        raise ValueError("too many category levels for one-hot columns")
+        return {}
     out = {c: sorted(r["v"] for r in found if r["c"] == c) for c in spec.categories}
     for c, v in out.items():
         if MISSING in v or UNSEEN in v:

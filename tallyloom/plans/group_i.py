@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import prep as X, split as P
+from ..operators import levels as V, prep as X, split as P
 from ..operators.longform import count_where
 from ..session import freeze, scratch_path
 from .group_d2 import split_of
@@ -114,13 +114,13 @@ def _(t):
               UNION ALL SELECT '__MISSING__' UNION ALL SELECT '__UNSEEN__') l""" for c in ("t_priority", "t_kind")))
 def _(t):
     rows = split_rows(t)
-    p = X.Preprocessor(SPEC, vocabularies=X.vocabularies(rows.where(TRAIN), SPEC))
-    names = t.spark.createDataFrame([(c, level, n) for c in SPEC.categories for level, n in p.level_columns(c)],
-                                    "input_column string, level string, output_name string")
-    long = rows.select((F.expr(TRAIN)).alias("tr"), F.inline(F.array(*[
-        F.struct(F.lit(c).alias("input_column"), p.mapped(c).alias("level")) for c in SPEC.categories])))
-    n = long.groupBy("input_column", "level").agg(count_where(F.col("tr")).alias("train_active"), count_where(~F.col("tr")).alias("other_active"))
-    return names.join(n, ["input_column", "level"], "left").fillna(0)
+    cats = list(SPEC.categories)
+    index = V.level_index(rows.where(TRAIN), cats)
+    placed = V.with_positions(rows.select(F.expr(TRAIN).alias("tr"), *cats), index, V.widths(index), cats)
+    long = placed.select("tr", F.inline(F.array(*[F.struct(F.lit(c).alias("input_column"), F.col(f"slot_{c}").cast("bigint").alias("position")) for c in cats])))
+    n = long.groupBy("input_column", "position").agg(count_where(F.col("tr")).alias("train_active"), count_where(~F.col("tr")).alias("other_active"))
+    out = V.names_of(index).join(n, ["input_column", "position"], "left").fillna(0, ["train_active", "other_active"])
+    return out.select("input_column", "level", "output_name", "train_active", "other_active")
 
 
 _KEEP = ", ".join(f"CAST({f} AS INTEGER) AS {f}" for f in SPEC.flags) + ", " + ", ".join(f"CAST({c} IS NULL AS INTEGER) AS {n}" for n, c in _FLAGS.items())

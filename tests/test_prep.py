@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import prep as X, split as P
+from tallyloom.operators import levels as V, prep as X, split as P
 
 
 def labelled(spark, zeros, ones):
@@ -100,3 +100,49 @@ def test_all_missing_and_degenerate_columns(spark):
     assert p.caps["a"]["status"] == "TRAIN_ALL_MISSING" and p.all_missing == ["a"]
     assert p.caps["b"]["status"] == "CAP_SKIPPED_DEGENERATE_ZERO" and p.caps["b"]["cap"] is None
     assert "d" in p.constant and p.scales["d"] == 1.0
+
+
+# --- categories as sparse vectors ---------------------------------------------------------------------------------
+
+def test_sparse_vectors_equal_the_wide_columns(spark, frame, monkeypatch):
+    p = X.fit(frame, spec(), F.expr("s = 'train'"))
+    odd = frame.unionByName(frame.limit(2).withColumn("k", F.col("k") + 1000).withColumn("c", F.when(F.col("k") % 2 == 0, X.MISSING).otherwise(X.UNSEEN)))
+    index = V.level_index(frame.where("s = 'train'"), ["c"])
+    assert [(r.level, r.position) for r in index.orderBy("position").collect()] == [("x", 0), ("y", 1), (X.MISSING, 2), (X.UNSEEN, 3)]
+    names = {r.level: r.output_name for r in V.names_of(index).collect()}
+    assert names == {level: name for level, name in p.level_columns("c")}
+    wide = {r.k: [float(r[c]) for c in p.output_columns()] for r in p.transform(odd, "linear_nn", ["k"]).collect()}
+    base, whole = V.vector_inputs(p)
+    for limit in (100_000, 1):  # with the table broadcast, and by a shuffled join
+        monkeypatch.setattr(V, "BROADCAST_LEVELS", limit)
+        rows = V.encoded(odd, p, index, "linear_nn", ["k"])
+        got = {r.k: r.features.toArray().tolist() for r in V.assemble(rows, whole, ["k"]).collect()}
+        assert got.keys() == wide.keys() and all(np.allclose(got[k], wide[k]) for k in got)
+        first = {r.k: r.features.toArray().tolist() for r in V.assemble(rows, base, ["k"]).collect()}
+        assert all(np.allclose(first[k], wide[k][:p.base_width()]) for k in first)
+
+
+def test_a_million_levels(spark):
+    rows = spark.range(1_000_000).selectExpr("id AS k", "cast(id % 7 AS double) AS t_a", "cast(1 AS double) AS ad_m", "cast(1 AS double) AS ad_x", "concat('v', id) AS c", "id % 2 AS f")
+    p = X.fit(rows.where("k < 20000"), spec(), F.lit(True))
+    assert p.vocabularies == {}
+    with pytest.raises(ValueError, match="levels.encoded"):
+        p.output_columns()
+    index = V.level_index(rows, ["c"])
+    assert V.widths(index) == {"c": 1_000_002}
+    some = rows.where("k % 50000 = 0").unionByName(rows.limit(1).withColumn("c", F.lit("never")))
+    got = V.assemble(V.encoded(some, p, index, "linear_nn", ["k"]), V.vector_inputs(p)[1], ["k"]).collect()
+    order = sorted(f"v{k}" for k in range(1_000_000))
+    for r in got:
+        size, set_at = r.features.size, [int(i) for i in r.features.indices if 1 <= i < 1_000_003]
+        assert size == 1_000_002 + 4 and len(set_at) == 1
+    places = {r.k: [int(i) - 1 for i in r.features.indices if 1 <= i < 1_000_003][0] for r in got if r.k != 0}
+    assert all(order[at] == f"v{k}" for k, at in places.items())
+    assert 1_000_001 in [int(i) - 1 for r in got if r.k == 0 for i in r.features.indices]
+
+
+def test_reserved_levels_and_empty_categories(spark):
+    with pytest.raises(ValueError, match="reserved"):
+        V.level_index(spark.createDataFrame([(X.UNSEEN,)], "c string"), ["c"])
+    nothing = V.level_index(spark.createDataFrame([(None, "a")], "c string, d string"), ["c", "d"])
+    assert V.widths(nothing) == {"c": 2, "d": 3}
