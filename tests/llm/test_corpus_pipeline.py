@@ -1,11 +1,16 @@
 """The pipeline's stages on their own input, and the registered queries against their SQL."""
 
+import hashlib
+
 import duckdb
 import pytest
+from test_duplicates import plain_fingerprint, plain_words
+from test_text_models import plain_score
+from test_tokens import TIK
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tallyloom.llm import queries
+from tallyloom.llm import op04_toxicity, queries
 from tallyloom.llm.common import importable
 
 DATA = "/root/testdata/sf0.001"
@@ -55,3 +60,54 @@ def test_groups_keep_one(spark):
     rows = [(k, text, "en", "s", len(text)) for k in (8, 3, 5)] + [(9, "something else entirely, in other words", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect()) == [3, 9]
+
+
+def plain_pipeline(docs, items, model):
+    """All five stages in plain Python, each on what the one before kept; (doc_id, n_tokens, ids hash, bytes hash)."""
+    docs = [(k, t) for k, t in docs if plain_score(model, t or "") < op04_toxicity.CUTOFF]
+    prints = {k: plain_fingerprint(t) for k, t in docs}
+    near = {k: [j for j in prints if (prints[j] ^ prints[k]).bit_count() <= 3] for k in prints}
+    first: dict = {}
+    for k in sorted(near):
+        todo = [] if k in first else [k]
+        while todo:
+            j = todo.pop()
+            if j not in first:
+                first[j] = k
+                todo += near[j]
+    docs = [(k, t) for k, t in docs if first[k] == k]
+    seen, kept = set(), []
+    for k, t in sorted(docs):
+        raw = (t or "").encode()
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - 99):
+            if raw[i:i + 100] in seen:
+                gone[i:i + 100] = b"\1" * 100
+            seen.add(raw[i:i + 100])
+        kept.append((k, bytes(b for b, g in zip(raw, gone) if not g).decode("utf-8", "ignore")))
+    windows: dict = {}
+    for _, it in items:
+        ws = plain_words(it)
+        n = min(13, len(ws))
+        for s in range(len(ws) - n + 1 if n else 0):
+            windows.setdefault(n, set()).add(tuple(ws[s:s + n]))
+    out = []
+    for k, t in kept:
+        ws, hit = plain_words(t), set()
+        for n, some in windows.items():
+            for p in range(len(ws) - n + 1):
+                if tuple(ws[p:p + n]) in some:
+                    hit.update(range(p, p + n))
+        if not (hit and 20 * len(hit) >= len(ws)):
+            ids = TIK.encode_ordinary(t)
+            out.append((k, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(TIK.decode_bytes(ids)).hexdigest()))
+    return sorted(out)
+
+
+def test_pipeline_equals_plain_stages(spark):
+    importable(spark)
+    docs, labels, items = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    model = op04_toxicity.train(docs, labels)
+    want = plain_pipeline([tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in items.select("item_id", "text").collect()], model)
+    got = sorted(tuple(r) for r in corpus_pipeline.run(spark, DATA).collect())
+    assert got == want and 0 < len(got) < docs.count()
