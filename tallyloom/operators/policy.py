@@ -6,8 +6,9 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..session import freeze
 from .longform import count_where, ratio
-from .ranking import equal_count_bin, risk_percentile, running
+from .ranking import equal_count_bin, more_parts, risk_percentile, running
 from .scoring import expand_strata
 
 # Approval rates in percent (40 to 80 by 0.25) and displayed points.
@@ -51,7 +52,7 @@ def scenario_grid(spark: SparkSession, ratios: dict[int, str] | None = None) ->
 
 def ranked(long: DataFrame) -> DataFrame:
     """Stable total order per model (score, base order) with running score and outcome sums."""
-    return running(long, ["model_id"], ["pd", "base_order"], {"cum_pd": F.col("pd"), "cum_y": F.col("target")})
+    return running(long, ["model_id"], ["pd", "base_order"], {"cum_pd": F.col("pd"), "cum_y": F.col("target")}, rows=long.count())
 
 
 def approved_count(n: Column, rate_bp: Column) -> Column:
@@ -140,15 +141,19 @@ def common_budgets(curve: DataFrame, decimals: int = 12) -> DataFrame:
 # ---------------------------------------------------------------- model pairs
 
 
-def pair_ranks(predictions: DataFrame, pairs: dict[str, tuple[str, str]], keep: list[str]) -> DataFrame:
+def pair_ranks(predictions: DataFrame, pairs: dict[str, tuple[str, str]], keep: list[str], r: DataFrame | None = None) -> DataFrame:
     """One row per (family, case): scores and ranks of both models of the pair.
 
-    All models are ranked in one long table of keys and scores; the ranks come back to one
-    row per case by a keyed aggregate, and only then meet the labels.
+    All models are ranked in one long table of keys and scores, unless ``r`` holds the ranks
+    already; they come back to one row per case by a keyed aggregate, and only then meet the labels.
     """
     models = tuple(m for p in pairs.values() for m in p)
-    narrow = predictions.unpivot(["case_id", "base_order"], list(models), "model_id", "pd")
-    r = running(narrow, ["model_id"], ["pd", "base_order"])
+    rows = predictions.count() * len(models)
+    if r is None:
+        narrow = predictions.unpivot(["case_id", "base_order"], list(models), "model_id", "pd")
+        r = running(narrow, ["model_id"], ["pd", "base_order"], rows=rows)
+    if parts := more_parts(predictions.sparkSession, rows):
+        r = r.select("case_id", "model_id", "rn", "n_rows").repartition(parts, "case_id")  # a row per model and case: nothing to combine before the shuffle
     m = F.col("model_id")
     ranks = r.groupBy("case_id").agg(
         F.max("n_rows").alias("n"), *[F.max(F.when(m == name, F.col("rn"))).alias(f"rn_{name}") for name in models])
@@ -179,7 +184,7 @@ def migration(pairs: DataFrame, dimensions: dict[str, str], bins: tuple[int, ...
     fine = expand_strata(pairs.select("*", equal_count_bin(F.col("rn_t"), F.col("n"), top).alias("bt"),
                                       equal_count_bin(F.col("rn_ad"), F.col("n"), top).alias("ba")), dimensions)
     by = ["algorithm_family", "dim", "label"]
-    cells = fine.groupBy(*by, "bt", "ba").agg(F.count(F.lit(1)).alias("c"), F.sum("target").alias("y"))
+    cells = freeze(fine.groupBy(*by, "bt", "ba").agg(F.count(F.lit(1)).alias("c"), F.sum("target").alias("y")))  # read twice
     fold = cells.select(*by, "c", "y", F.inline(F.array(*[
         F.struct(F.lit(k).cast("bigint").alias("n_bins"), (F.floor((F.col("bt") - 1) * k / top) + 1).alias("t_bin"),
                  (F.floor((F.col("ba") - 1) * k / top) + 1).alias("ad_bin")) for k in bins])))
@@ -206,8 +211,8 @@ def approval_switches(pairs: DataFrame, dimensions: dict[str, str], anchors: tup
     first = lambda rn: sum((F.when(F.col(rn) > approved_count(n, F.lit(a)), 1).otherwise(0) for a in anchors), F.lit(0))
     by = ["algorithm_family", "dim", "label"]
     rows = expand_strata(pairs.select("*", first("rn_t").alias("it"), first("rn_ad").alias("ia")), dimensions)
-    cells = rows.groupBy(*by, "it", "ia").agg(
-        F.max("n").alias("n"), F.count(F.lit(1)).alias("c"), F.sum("target").alias("y"), F.sum("pd_t").alias("st"), F.sum("pd_ad").alias("sa"))
+    cells = freeze(rows.groupBy(*by, "it", "ia").agg(
+        F.max("n").alias("n"), F.count(F.lit(1)).alias("c"), F.sum("target").alias("y"), F.sum("pd_t").alias("st"), F.sum("pd_ad").alias("sa")))
     spread = cells.select("*", F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("rate_bp")) for i, a in enumerate(anchors)])))
     t, d = F.col("it") <= F.col("i"), F.col("ia") <= F.col("i")
     named = F.when(t & d, "both_approved").when(t, "T_only_approved").when(d, "T_plus_AD_only_approved").otherwise("both_rejected")

@@ -8,16 +8,27 @@ the offsets.  Row numbers and running sums inside a range are ordinary windows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..session import freeze
+from ..session import freeze, stored
 
 RANGE = "__range"
+#: Rows of a range, so that what a task sorts does not grow with the table.
+RANGE_ROWS = 500_000
+#: Offsets beyond this number of (group, range) rows are not broadcast.
+BROADCAST_OFFSETS = 100_000
 
 
-def range_partition(df: DataFrame, order: list[str]) -> DataFrame:
+def more_parts(spark: SparkSession, rows: int | None) -> int | None:
+    """Partitions of at most ``RANGE_ROWS`` rows, where the session's own number would hold more."""
+    parts = -(-(rows or 0) // RANGE_ROWS)
+    return parts if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def range_partition(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
     """Tag each row with the id of its slice of the total order."""
-    return freeze(df.repartitionByRange(*order).withColumn(RANGE, F.spark_partition_id()))
+    ranged = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    return stored(ranged.withColumn(RANGE, F.spark_partition_id()), "ranges")
 
 
 def _offsets(ranged: DataFrame, by: list[str], sums: dict[str, Column]) -> DataFrame:
@@ -36,16 +47,21 @@ def _offsets(ranged: DataFrame, by: list[str], sums: dict[str, Column]) -> DataF
 
 
 def running(
-    df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column] | None = None, totals: bool = False
+    df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column] | None = None, totals: bool = False, rows: int | None = None
 ) -> DataFrame:
     """Add ``rn``, ``n_rows`` and the running sums ``<name>`` of ``sums`` along ``order``.
 
     ``order`` must end in a key that makes it total.  With ``totals`` the group sum of
-    every running column is added as ``<name>_total``.
+    every running column is added as ``<name>_total``.  Where ``rows`` tells the number of
+    rows, a large table is cut into more and smaller ranges.
     """
     sums = sums or {}
-    ranged = range_partition(df, by + order)
+    parts = more_parts(df.sparkSession, rows)
+    ranged = range_partition(df, by + order, parts)
     offsets = _offsets(ranged, by, sums)
+    if parts:
+        ranged, offsets = ranged.repartition(parts, *by, RANGE), freeze(offsets)
+        offsets = F.broadcast(offsets) if offsets.count() <= BROADCAST_OFFSETS else offsets
     w = Window.partitionBy(*by, RANGE).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = ranged.withColumns(

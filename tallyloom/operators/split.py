@@ -20,7 +20,7 @@ def draw(seed: int | str, key: str) -> Column:
 
 def class_rank(df: DataFrame, key: str, label: str, seed: int | str) -> DataFrame:
     """``df`` with ``rn`` and ``n_rows`` of a random order within each class."""
-    return running(df.withColumn("__draw", draw(seed, key)), [label], ["__draw", key]).drop("__draw")
+    return running(df.withColumn("__draw", draw(seed, key)), [label], ["__draw", key], rows=df.count()).drop("__draw")
 
 
 def holdout_size(n: Column, fraction: float) -> Column:

@@ -36,6 +36,13 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back: smaller than a checkpoint, and later reads take single columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def at_once(spark: SparkSession, fn, items: list, width: int = 4) -> list:
     """Run independent fits side by side, as Spark's own cross-validator does."""
     with ThreadPool(max(1, min(width, len(items)))) as pool:

@@ -116,3 +116,19 @@ def test_gains_are_positive_when_better(spark):
 def test_even_sample(spark):
     got = sorted(r.position for r in R.even_sample(spark.range(1003).withColumnRenamed("id", "b"), "b", 101).collect())
     assert got == sorted(set(np.linspace(0, 1002, 101, dtype=int).tolist()))
+
+
+def test_ranges_follow_the_number_of_rows(spark, monkeypatch):
+    """A task sorts a bounded number of rows: more rows than the session's partitions may hold make more ranges."""
+    rows = [(k % 3, k * 7919 % 101, k, float(k % 5)) for k in range(900)]
+    df = spark.createDataFrame(rows, "g long, s long, k long, y double")
+    plain = {tuple(r) for r in R.running(df, ["g"], ["s", "k"], {"cy": F.col("y")}, totals=True, rows=900).collect()}
+    monkeypatch.setattr(R, "RANGE_ROWS", 50)
+    made = []
+    kept = R.range_partition
+    monkeypatch.setattr(R, "range_partition", lambda *a: made.append(kept(*a)) or made[-1])
+    got = {tuple(r) for r in R.running(df, ["g"], ["s", "k"], {"cy": F.col("y")}, totals=True, rows=900).collect()}
+    assert got == plain and len(got) == 900
+    sizes = [r["count"] for r in made[0].groupBy(R.RANGE).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 150
+    assert R.more_parts(spark, 200) is None and R.more_parts(spark, 201) == 5 and R.more_parts(spark, None) is None
