@@ -10,7 +10,7 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from .audit import blocks
 from .features import stack_columns
@@ -167,17 +167,7 @@ def fit(df: DataFrame, spec: PrepSpec, train: Column) -> Preprocessor:
     gives both the cap and, mapped through cap and log, the median.
     """
     p, rows = Preprocessor(spec), df.where(train)
-    stats = rows.agg(*[x for c in spec.numeric for x in (
-        count_where(F.col(c) < 0).alias(f"neg_{c}"), F.count(c).alias(f"n_{c}"), count_where(F.col(c) > 0).alias(f"pos_{c}"))],
-        *[F.bool_and(F.col(cols[0]).isNull() == F.col(o).isNull()).alias(f"same_{name}_{o}") for name, cols in spec.siblings for o in cols[1:]],
-        F.count(F.lit(1)).alias("n")).first()
-    bad = [c for c in spec.numeric if stats[f"neg_{c}"] and c not in spec.clip_negative]
-    if bad:
-        raise ValueError(f"negative training values in {bad}")
-    uneven = [name for name, cols in spec.siblings for o in cols[1:] if not stats[f"same_{name}_{o}"]]
-    if uneven:
-        raise ValueError(f"sibling columns differ in their missing rows: {uneven}")
-
+    stats = column_counts(rows, spec)
     clip = rows.select(*[p.clipped(c).alias(c) for c in spec.numeric])
     order = order_statistics(stack_columns(clip, [], list(spec.numeric), "c"), ["c"], "v", {"cap": CAP_QUANTILE, "mid": 0.5})
     order = {r["c"]: r for r in order.collect()}  # one row per column
@@ -212,16 +202,37 @@ def fit(df: DataFrame, spec: PrepSpec, train: Column) -> Preprocessor:
         else:
             p.scales[c] = moments[f"s_{c}"]
 
-    shared = {c: (name, cols) for name, cols in spec.siblings for c in cols}
+    p.missing_flags = missing_flags(stats, spec)
+    p.vocabularies = vocabularies(rows, spec)
+    return p
+
+
+def column_counts(rows: DataFrame, spec: PrepSpec) -> Row:
+    """Present, negative and positive values per column of the training rows; refuses what the contract of the columns forbids."""
+    stats = rows.agg(*[x for c in spec.numeric for x in (
+        count_where(F.col(c) < 0).alias(f"neg_{c}"), F.count(c).alias(f"n_{c}"), count_where(F.col(c) > 0).alias(f"pos_{c}"))],
+        *[F.bool_and(F.col(cols[0]).isNull() == F.col(o).isNull()).alias(f"same_{name}_{o}") for name, cols in spec.siblings for o in cols[1:]],
+        F.count(F.lit(1)).alias("n")).first()
+    bad = [c for c in spec.numeric if stats[f"neg_{c}"] and c not in spec.clip_negative]
+    if bad:
+        raise ValueError(f"negative training values in {bad}")
+    uneven = [name for name, cols in spec.siblings for o in cols[1:] if not stats[f"same_{name}_{o}"]]
+    if uneven:
+        raise ValueError(f"sibling columns differ in their missing rows: {uneven}")
+    return stats
+
+
+def missing_flags(stats: Row, spec: PrepSpec) -> list[dict]:
+    """One flag per column with missing training values; sibling columns share theirs."""
+    shared, out = {c: (name, cols) for name, cols in spec.siblings for c in cols}, []
     done: set[str] = set()
     for c in spec.numeric:
         if c in done or stats[f"n_{c}"] == stats["n"]:
             continue
         name, cols = shared.get(c, (c, (c,)))
-        p.missing_flags.append({"name": f"missing_{name}", "columns": list(cols), "first": c in spec.first})
+        out.append({"name": f"missing_{name}", "columns": list(cols), "first": c in spec.first})
         done |= set(cols)
-    p.vocabularies = vocabularies(rows, spec)
-    return p
+    return out
 
 
 def vocabularies(rows: DataFrame, spec: PrepSpec) -> dict[str, list[str]]:
@@ -354,7 +365,10 @@ def integrity(df: DataFrame, p: Preprocessor, role: str) -> DataFrame:
 
 
 def transform_trace(df: DataFrame, p: Preprocessor, key: str, order: str) -> DataFrame:
-    """First entity per reason and column, with every stage of its value."""
+    """First entity per reason and column, with every stage of its value.
+
+    One aggregate finds the smallest order of each, so only those rows are spelt out and compared.
+    """
     s, reasons = p.spec, []
     for c in s.numeric:
         v = F.col(c).cast("double")
@@ -368,7 +382,9 @@ def transform_trace(df: DataFrame, p: Preprocessor, key: str, order: str) -> Dat
                        p.capped(c).alias("after_cap"), p.logged(c).alias("after_log"), p.filled(c).alias("after_fill"), p.scaled(c).alias("scaled_value")]
     items = F.array_compact(F.array(*[
         F.when(cond, F.struct(F.lit(c).alias("input_column"), F.lit(why).alias("reason"), *stage(c))) for c, why, cond in reasons]))
-    hits = df.select(key, order, F.inline(items))
+    least = df.agg(*[F.min(F.when(cond, F.col(order))).alias(f"r{i}") for i, (_, _, cond) in enumerate(reasons)])
+    wanted = least.select(F.explode(F.array_compact(F.array(*least.columns))).alias(order)).distinct()  # at most one a reason
+    hits = df.join(F.broadcast(wanted), order, "left_semi").select(key, order, F.inline(items))
     cols = [c for c in hits.columns if c not in (order, "input_column", "reason")]
     first = hits.groupBy("input_column", "reason").agg(F.min_by(F.struct(*cols), order).alias("x"))
     return first.select("input_column", "reason", *[F.col(f"x.{c}") if c == key else F.round(f"x.{c}", 6).alias(c) for c in cols])

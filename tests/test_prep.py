@@ -146,3 +146,29 @@ def test_reserved_levels_and_empty_categories(spark):
         V.level_index(spark.createDataFrame([(X.UNSEEN,)], "c string"), ["c"])
     nothing = V.level_index(spark.createDataFrame([(None, "a")], "c string, d string"), ["c", "d"])
     assert V.widths(nothing) == {"c": 2, "d": 3}
+
+
+def test_trace_finds_first_rows_before_it_spells_them_out(spark, monkeypatch):
+    """The first row of a reason is found by one aggregate; only such rows are exploded."""
+    spec = X.PrepSpec(numeric=("v",), monetary=("v",), log_only=(), clip_negative=("v",), categories=(), flags=(), first=("v",))
+    rows = [(k, 100 - k, None if k % 5 == 0 else float(k % 7 - 1)) for k in range(100)]
+    df = spark.createDataFrame(rows, "k long, o long, v double")
+    p = X.Preprocessor(spec, caps={"v": {"cap": 4.0}}, medians={"v": 1.0}, means={"v": 0.0}, scales={"v": 1.0})
+    seen = []
+    join = type(df).join
+    monkeypatch.setattr(type(df), "join", lambda *a: seen.append(join(*a)) or seen[-1])
+    got = {(r.input_column, r.reason): (r.k, r.original_value) for r in X.transform_trace(df, p, "k", "o").collect()}
+    last = lambda ok: max((k, v) for k, _, v in rows if ok(v))  # the smallest order is the largest key
+    want = {("v", "negative_clipped"): last(lambda v: v is not None and v < 0), ("v", "upper_clipped"): last(lambda v: v is not None and v > 4),
+            ("v", "observed_zero_kept"): last(lambda v: v == 0), ("v", "missing_filled_for_linear"): (95, None)}
+    assert got == want
+    assert len(seen) == 1 and seen[0].count() <= 4
+
+
+def test_missing_flags_need_no_fit(spark):
+    spec = X.PrepSpec(numeric=("a", "b", "c", "d"), monetary=(), log_only=(), clip_negative=(), categories=(), flags=(), first=("a",), siblings=(("bc", ("b", "c")),))
+    df = spark.createDataFrame([(1.0, None, None, 1.0), (None, 2.0, 2.0, 1.0)], "a double, b double, c double, d double")
+    flags = X.missing_flags(X.column_counts(df, spec), spec)
+    assert [(m["name"], m["columns"], m["first"]) for m in flags] == [("missing_a", ["a"], True), ("missing_bc", ["b", "c"], False)]
+    with pytest.raises(ValueError, match="differ in their missing rows"):
+        X.column_counts(df.withColumn("c", F.lit(1.0)), spec)
