@@ -148,6 +148,33 @@ def test_trees_take_missing_values_and_are_saved(spark, data):
     assert e.margin(x).tolist() == again.margin(x).tolist() == [-0.5, -0.5, 2.5, -0.5]
 
 
+def test_blocks_carry_margins_that_are_up_to_date(spark, data, monkeypatch):
+    """No tree is applied again and again: with nothing remembered, a pass finds margins at most ``refresh`` rounds old."""
+    monkeypatch.setattr(X, "REMEMBERED", -1)
+    rng = np.random.default_rng(2)
+    rows = spark.sparkContext.parallelize([(0, np.arange(50), (rng.random(50) < 0.5).astype(float), rng.integers(0, 4, (2, 50)).astype(np.uint8).tobytes())], 1)
+    lay = X.Layout(["a", "b"], [np.array([0.0, 1.0])] * 2)
+    fit = X.Fit(0, "T", X.SETTINGS[0], np.ones(2, bool), 0.1, X.Budget())
+    fit.trees = [(np.array([0, -1, -1]), np.array([1, 0, 0]), np.zeros(3, bool), np.array([1, 0, 0]), np.array([2, 0, 0]), np.array([0.0, 0.5, -0.25]))] * 3
+    blocks = rows.map(lambda r: X._Block(r, lay)).persist()
+    block, = X._refreshed(blocks, "run", lay, [fit], None).collect()
+    done, margin = block.margins[0]
+    assert done == 3 and np.allclose(margin, 0.1 + 3 * np.where(block.bins[0] <= 1, 0.5, -0.25))
+    monkeypatch.setattr(X, "route", None)
+    assert X._margin(block, "other", lay, 0, fit.trees, (0, np.zeros(50))) is margin
+
+
+def test_dense_and_sparse_counts_agree(data, monkeypatch):
+    df = data[0].withColumn("d", F.when(F.col("case_id") % 3 != 0, (F.col("case_id") % 19 == 0).cast("double")))
+    cols, budget = ["a", "b", "c", "d"], X.Budget(rounds=6, patience=6, every=3, refresh=2, step=0.3)
+    lay, found = X.layout(df, cols, 20), []
+    for share in (0.0, X.SPARSE, 2.0):
+        monkeypatch.setattr(X, "SPARSE", share)
+        (fit, e), = X.boost(df.where("case_id < 400"), df.where("case_id >= 400"), {"T": cols}, (X.Setting("small", 6, 20),), budget, lay=lay)
+        found.append((fit.scores, [t[0].tolist() for t in e.trees], [t[1].tolist() for t in e.trees]))
+    assert len(found[0][0]) == 6 and found[0] == found[1] == found[2]
+
+
 def test_boosting_goes_on_from_earlier_trees(data):
     df, x, _ = data
     train, tuning, cols = df.where("case_id < 400"), df.where("case_id >= 400"), ["a", "b", "c"]
