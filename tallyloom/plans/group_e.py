@@ -8,13 +8,13 @@ from ..functions import groups as G, probability as P, states as S
 from ..operators import audit as A, checks as K, joins as J, metrics as M, policy as L, ranking as R
 from ..operators.longform import ratio
 from ..operators.scoring import unpivot_models
-from ..session import freeze
+from ..session import stored
 from .registry import kept, query
 
 
 def ranked_scores(t):
     """Total order of all models' scores with running sums: one range shuffle a session, read by every query on ranks."""
-    return kept(t, "ranks", lambda: freeze(L.ranked(unpivot_models(t.scores, G.MODELS))))
+    return kept(t, "ranks", lambda: stored(L.ranked(unpivot_models(t.scores, G.MODELS)), "ranks"))
 
 
 @query("e01_stable_order", "SELECT model_id, case_id, rn FROM ranked")

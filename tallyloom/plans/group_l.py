@@ -31,9 +31,9 @@ def strata_metrics(t):
     return M.binary_metrics(strata_long(t), ["dim", "label", "model_id"])
 
 
-def pair_rows(t):
+def pair_rows(t, ranks=None):
     wide = add_subgroups(t.scores).select("case_id", "base_order", "target", *G.MODELS, *LABELS)
-    return L.pair_ranks(wide, G.FAMILIES, LABELS)
+    return L.pair_ranks(wide, G.FAMILIES, LABELS, ranks)
 
 
 def rank_table(t):
