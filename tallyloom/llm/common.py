@@ -66,8 +66,12 @@ def chunks(text: str) -> list[str]:
 
     The pretokenizer pattern always begins a match at such a space, so chunks can be tokenized one by one.
     """
-    safe = not (text[:1].isspace() or text[-1:].isspace()) and _UNSAFE.search(text) is None
-    return text.split(" ") if safe else _SAFE_CUT.split(text)
+    return text.split(" ") if splits_at_spaces(text) else _SAFE_CUT.split(text)
+
+
+def splits_at_spaces(text: str) -> bool:
+    """Every space stands between two characters that are not white space."""
+    return not (text[:1].isspace() or text[-1:].isspace()) and _UNSAFE.search(text) is None
 
 
 def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType | None = None) -> pa.ListArray:

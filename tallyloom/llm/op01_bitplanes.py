@@ -12,13 +12,13 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import compress, count
-from operator import not_
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import zstandard
 from pyspark import TaskContext
@@ -30,8 +30,10 @@ from . import common
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-#: Ids of a block; chunks of texts whose ids a process remembers.
+#: Ids of a block; parts of texts whose ids a process remembers.
 BLOCK, CACHE_ENTRIES = 1 << 16, 500_000
+#: Signs of the last match of a line, if a letter or digit stands before them.
+_SIGNS = ".,!?;:#$%*"
 
 _CHUNK_SCHEMA = (
     "shard int, chunk int, first bigint, n_ids int, width int, planes string, sizes array<int>, payload binary, crc32 bigint, "
@@ -69,8 +71,18 @@ def from_planes(payload: bytes, sizes: list[int], n: int, width: int, planes: st
 
 # --- tokenizer ----------------------------------------------------------------------------------------------------
 
+def _solid(char: str) -> bool:
+    """Not white space to any library: a letter, a digit or a printable ASCII sign."""
+    return char.isalnum() or "!" <= char <= "~"
+
+
 class ChunkTokenizer:
-    """The tokenizers library over safe chunks of a text, each distinct chunk encoded once while it is cached."""
+    """The tokenizers library over safe chunks of texts: the distinct chunks of a step are looked up once, and each distinct part
+    of a chunk is encoded once while it is cached.
+
+    Parts are what the pretokenizer pattern always tells apart: the lines of a chunk that a single newline divides, and the
+    signs that end a line after a letter or digit.  Parts are kept in two generations, so those in use stay.
+    """
 
     def __init__(self, path: str, limit: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
@@ -80,54 +92,109 @@ class ChunkTokenizer:
         size = self.model.get_vocab_size()
         self.width = 2 if size <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.opens = np.zeros(size, bool)  # tokens that begin with a space; a chunk has no other space
+        self.opens = np.zeros(size, bool)  # tokens that begin with a space; a part has no other space
         for token, k in self.model.get_vocab().items():
             self.opens[k] = token.startswith("Ġ")
-        self.limit, self._inner, self._first = limit, {}, {}
-        self.signs = {c: self._ids(c).tobytes() for c in ".,"}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, self.kind)
+        self.limit, self._young, self._old = limit, {}, {}
+        self.newline, = self._ids(["\n"])
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, parts: list[str], spaced: bool) -> None:
+        """Encode parts, those of one kind by one call: behind a space each, or as lines of one text; odd ones each alone."""
+        young = self._young
+        plain = [p for p in parts if p.isalnum() or self._plain(p)]
+        if len(self.newline) != 1 and not spaced:
+            plain = []
+        if plain:
+            ids, = self._ids([" " + " ".join(plain) if spaced else "\n" + "\n".join(plain)])
+            cuts = np.flatnonzero(self.opens[ids] if spaced else ids == self.newline[0])
+            raw, ends = ids.tobytes(), [*(cuts[1:] * self.width).tolist(), ids.nbytes]
+            starts = ((cuts if spaced else cuts + 1) * self.width).tolist()
+            young.update({(" " + p if spaced else p): raw[a:b] for p, a, b in zip(plain, starts, ends, strict=True)})
+        if len(plain) < len(parts):
+            odd = [" " + p if spaced else p for p in {*parts}.difference(plain)]
+            young.update((p, ids.tobytes()) for p, ids in zip(odd, self._ids(odd)))
+
+    def _plain(self, part: str) -> bool:
+        return bool(part) and not (part[0].isspace() or part[-1].isspace() or " " in part or "\n" in part or any(t in part for t in self.added))
+
+    def _parts(self, chunk: str) -> list[str]:
+        """A chunk that is no word, its opening space included, cut where the pattern always begins a match."""
+        lines, out = [chunk], []
+        if "\n" in chunk:
+            bare = chunk.removeprefix(" ")
+            lines = bare.split("\n")
+            if " " in bare or not all(_solid(x[:1]) and _solid(x[-1:]) for x in lines):
+                return [chunk]
+            lines[0] = chunk[:len(chunk) - len(bare)] + lines[0]
+        for line in lines:
+            stem = line.rstrip(_SIGNS)
+            # a letter or digit before the last signs ends a match, so the signs are a match of their own
+            if len(stem) < len(line) and stem[-1:].isalnum() and not any(t in line for t in self.added):
+                out += stem, line[len(stem):], "\n"
+            else:
+                out += line, "\n"
+        return out[:-1]
+
+    def _missing(self, names: Iterable[str]) -> list[str]:
+        young, old = self._young, self._old
+        out = []
+        for p in names:
+            if p not in young:
+                found = old.get(p)
+                if found is None:
+                    out.append(p)
+                else:
+                    young[p] = found
+        return out
 
-    def _learn(self, missing: list[str]) -> None:
-        ids = self._ids(" " + " ".join(missing))
-        cuts = np.flatnonzero(self.opens[ids])
-        raw, ends = ids.tobytes(), [*(cuts[1:] * self.width).tolist(), ids.nbytes]
-        for word, a, b in zip(missing, (cuts * self.width).tolist(), ends, strict=True):
-            self._inner[word] = raw[a:b]
+    def _known(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of distinct chunks; what was not seen for long is forgotten."""
+        if len(self._young) >= self.limit // 2:
+            self._young, self._old = {}, self._young
+        cut, parts = [], []
+        for c in self._missing(chunks):
+            if c[1:].isalnum():
+                parts.append(c)
+            else:
+                cut.append((c, self._parts(c)))
+        parts += self._missing(set(chain.from_iterable(ps for _, ps in cut)))
+        for spaced in (True, False):
+            if mine := list({p[spaced:] for p in parts if p.startswith(" ") == spaced}):
+                self._learn(mine, spaced)
+        young = self._young
+        for c, ps in cut:
+            if len(ps) > 1:
+                young[c] = b"".join(map(young.__getitem__, ps))
+        return young
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Raw little-endian ids of each whole text."""
-        cut = [common.chunks(t or "") for t in texts]
-        if len(self._inner) >= self.limit:  # what these texts use stays
-            self._inner = {w: self._inner[w] for w in set().union(*cut) if w in self._inner}
-        if len(self._first) >= self.limit:
-            self._first.clear()
-        inner, first = self._inner, self._first
-        heads = [c.pop(0) for c in cut]
-        known = [list(map(inner.get, c)) for c in cut]
-        new: set[str] = set()
-        for c, k in zip(cut, known):
-            new.update(compress(c, map(not_, k)))
-        plain = [w for w in new if " " not in w and not w[-1].isspace()]
-        for t in self.added:
-            plain = [w for w in plain if t not in w]
-        # a letter or digit before a last full stop or comma ends a match of the pattern, so the sign is a match of its own
-        ended = [w for w in plain if w[-1] in self.signs and w[-2:-1].isalnum()]
-        plain = list({*plain}.difference(ended).union([w[:-1] for w in ended if w[:-1] not in inner]))
-        if plain:
-            self._learn(plain)
-        for w in ended:
-            inner[w] = inner[w[:-1]] + self.signs[w[-1]]
-        odd = {w: self._ids(" " + w).tobytes() for w in new if w not in inner}
-        out = []
-        for h, c, k in zip(heads, cut, known):
-            head = first.get(h)
-            if head is None:
-                head = first[h] = self._ids(h).tobytes()
-            for i in list(compress(count(), map(not_, k))):
-                k[i] = inner.get(c[i]) or odd[c[i]]
-            out.append(b"".join([head, *k]))
+        texts = [t or "" for t in texts]
+        easy = [common.splits_at_spaces(t) for t in texts]
+        order = [k for k, e in enumerate(easy) if e] + [k for k, e in enumerate(easy) if not e]
+        split = pc.split_pattern(pa.array([t for t, e in zip(texts, easy) if e], pa.large_string()), " ")
+        rest = [common.chunks(t) for t, e in zip(texts, easy) if not e]
+        flat = pa.concat_arrays([split.flatten(), pa.array([c for cs in rest for c in cs], pa.large_string())])
+        ends = np.cumsum([*pc.list_value_length(split).to_pylist(), *map(len, rest)], dtype=np.int64)
+        begins = np.concatenate([[0], ends])[:-1].astype(np.int64)
+        heads = flat.take(pa.array(begins)).to_pylist()  # a text's first chunk has no space before it
+        coded = flat.dictionary_encode()
+        names = pc.utf8_replace_slice(coded.dictionary, 0, 0, " ").to_numpy(zero_copy_only=False).tolist()
+        pick = coded.indices.to_numpy().astype(np.int64)
+        pick[begins] = np.arange(len(names), len(names) + len(heads))
+        names += heads
+        raw = list(map(self._known(names).__getitem__, names))
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // self.width
+        table, starts = np.frombuffer(b"".join(raw), self.kind), np.cumsum(size) - size
+        counts = size[pick]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        ids = table[np.repeat(starts[pick] - upto[:-1], counts) + np.arange(upto[-1])]
+        out: list[bytes] = [b""] * len(texts)
+        for k, a, b in zip(order, upto[begins].tolist(), upto[ends].tolist()):
+            out[k] = ids[a:b].tobytes()
         return out
 
 

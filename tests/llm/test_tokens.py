@@ -56,6 +56,27 @@ def test_special_tokens_as_the_library_finds_them(text):
         assert [np.frombuffer(g, tok.kind).tolist() for g in tok.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_known_parts_are_not_encoded_again(monkeypatch):
+    """Lines and closing signs of a chunk are parts, so new combinations of known ones cost no call of the library."""
+    plain = Tokenizer.from_file(public_tokenizers.path(planes.TOKENIZER))
+    tok = planes.ChunkTokenizer(public_tokenizers.path(planes.TOKENIZER))
+    tok.encode(["one two\nthree.", "a three!?\nfour"])
+    monkeypatch.setattr(tok, "model", None)
+    texts = ["one two.\nthree two\nfour!?", "one three\nfour."]
+    assert [np.frombuffer(g, tok.kind).tolist() for g in tok.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("limit", [2, 40, 500_000])
+def test_forgotten_parts_are_encoded_again(limit):
+    plain = Tokenizer.from_file(public_tokenizers.path(planes.TOKENIZER))
+    tok = planes.ChunkTokenizer(public_tokenizers.path(planes.TOKENIZER), limit)
+    rng = random.Random(3)
+    signs = [" ", " ", "\n", "\t", "\x85", "'s", "a", "B", "é", ".", ",", "#$", "1", "²", "日", "😀", "ab", "<|endoftext|>"]
+    for _ in range(30):
+        texts = ["".join(rng.choices(signs, k=rng.randrange(15))) for _ in range(20)] + ["", None]
+        assert [np.frombuffer(g, tok.kind).tolist() for g in tok.encode(texts)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("kind", ["bit", "byte"])
 @pytest.mark.parametrize("width", [2, 4])
 def test_planes_round_trip(kind, width):
