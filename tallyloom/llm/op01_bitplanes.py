@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -89,6 +89,8 @@ class ChunkTokenizer:
         self.model = Tokenizer.from_file(path)
         # the library finds these in a text before all else; they hold no space, so the cuts stay safe
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        # they may lie within words and closing signs
+        self.wordy = any(all(c.isalnum() or c in _SIGNS for c in t) for t in self.added)
         size = self.model.get_vocab_size()
         self.width = 2 if size <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
@@ -101,20 +103,21 @@ class ChunkTokenizer:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: list[str], spaced: bool) -> None:
-        """Encode parts, those of one kind by one call: behind a space each, or as lines of one text; odd ones each alone."""
+    def _learn(self, parts: list[str], spaced: bool, words: bool) -> None:
+        """Encode parts, those of one kind by one call: as they are with a space before each, or as lines of one text; odd ones
+        each alone."""
         young = self._young
-        plain = [p for p in parts if p.isalnum() or self._plain(p)]
+        plain = parts if words and not self.wordy else [p for p in parts if self._plain(p[spaced:])]
         if len(self.newline) != 1 and not spaced:
             plain = []
         if plain:
-            ids, = self._ids([" " + " ".join(plain) if spaced else "\n" + "\n".join(plain)])
+            ids, = self._ids(["".join(plain) if spaced else "\n" + "\n".join(plain)])
             cuts = np.flatnonzero(self.opens[ids] if spaced else ids == self.newline[0])
             raw, ends = ids.tobytes(), [*(cuts[1:] * self.width).tolist(), ids.nbytes]
             starts = ((cuts if spaced else cuts + 1) * self.width).tolist()
-            young.update({(" " + p if spaced else p): raw[a:b] for p, a, b in zip(plain, starts, ends, strict=True)})
+            young.update((p, raw[a:b]) for p, a, b in zip(plain, starts, ends, strict=True))
         if len(plain) < len(parts):
-            odd = [" " + p if spaced else p for p in {*parts}.difference(plain)]
+            odd = list({*parts}.difference(plain))
             young.update((p, ids.tobytes()) for p, ids in zip(odd, self._ids(odd)))
 
     def _plain(self, part: str) -> bool:
@@ -138,37 +141,50 @@ class ChunkTokenizer:
                 out += line, "\n"
         return out[:-1]
 
-    def _missing(self, names: Iterable[str]) -> list[str]:
+    def _found(self, names: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """What is known of the names, and the places of the others."""
         young, old = self._young, self._old
-        out = []
-        for p in names:
-            if p not in young:
-                found = old.get(p)
-                if found is None:
-                    out.append(p)
-                else:
-                    young[p] = found
-        return out
+        out = list(map(young.get, names))
+        new = []
+        for k in [k for k, v in enumerate(out) if v is None]:
+            v = old.get(names[k])
+            if v is None:
+                new.append(k)
+            else:
+                out[k] = young[names[k]] = v
+        return out, new
 
-    def _known(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of distinct chunks; what was not seen for long is forgotten."""
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks; what was not seen for long is forgotten."""
         if len(self._young) >= self.limit // 2:
             self._young, self._old = {}, self._young
-        cut, parts = [], []
-        for c in self._missing(chunks):
+        out, new = self._found(chunks)
+        words, cut, parts = [], [], []
+        for k in new:
+            c = chunks[k]
             if c[1:].isalnum():
-                parts.append(c)
+                words.append(c)
+                continue
+            stem = c.rstrip(_SIGNS)
+            if stem[1:].isalnum() and not self.wordy:
+                cut.append((k, stem, c[len(stem):]))
             else:
-                cut.append((c, self._parts(c)))
-        parts += self._missing(set(chain.from_iterable(ps for _, ps in cut)))
+                cut.append((k, *self._parts(c)))
+        names = list(set(chain.from_iterable(ps for _, *ps in cut)))
+        for p in map(names.__getitem__, self._found(names)[1]):
+            (words if p[1:].isalnum() else parts).append(p)
+        behind = {w for w in words if w[0] == " "}
+        self._learn(list(behind), True, True)
+        parts += set(words).difference(behind)
         for spaced in (True, False):
-            if mine := list({p[spaced:] for p in parts if p.startswith(" ") == spaced}):
-                self._learn(mine, spaced)
+            self._learn(list({p for p in parts if p.startswith(" ") == spaced}), spaced, False)
         young = self._young
-        for c, ps in cut:
+        for k, *ps in cut:
             if len(ps) > 1:
-                young[c] = b"".join(map(young.__getitem__, ps))
-        return young
+                young[chunks[k]] = b"".join(map(young.__getitem__, ps))
+        for k in new:
+            out[k] = young[chunks[k]]
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Raw little-endian ids of each whole text."""
@@ -186,7 +202,7 @@ class ChunkTokenizer:
         pick = coded.indices.to_numpy().astype(np.int64)
         pick[begins] = np.arange(len(names), len(names) + len(heads))
         names += heads
-        raw = list(map(self._known(names).__getitem__, names))
+        raw = self._known(names)
         size = np.fromiter(map(len, raw), np.int64, len(raw)) // self.width
         table, starts = np.frombuffer(b"".join(raw), self.kind), np.cumsum(size) - size
         counts = size[pick]
