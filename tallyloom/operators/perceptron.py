@@ -2,7 +2,8 @@
 
 A round is one pass over the stored blocks, an epoch.  Every task starts from the shared weights and optimiser state, takes its
 mini-batch steps over its own blocks, and returns weights and state; their mean by rows starts the next round.  A
-step uses ``batch`` rows over all tasks together.  The epoch with the best average precision on the tuning rows is
+step uses ``batch`` rows over all tasks together.  A round has a task per core and no more, so a larger table brings longer
+tasks, not smaller steps that cost more a row.  The epoch with the best average precision on the tuning rows is
 kept, and patience ends a fit; one whose loss or weights stop being finite has failed and cannot be chosen.
 """
 
@@ -64,7 +65,11 @@ class Network:
         """Mean log loss and its gradient; ``masks`` scale the hidden units."""
         layers, held = self.layers(flat), [x]
         for (w, o), m in zip(layers[:-1], masks):
-            held.append(np.maximum(held[-1] @ w + o, 0) * m)
+            h = held[-1] @ w
+            h += o
+            np.maximum(h, 0, out=h)
+            h *= m
+            held.append(h)
         w, o = layers[-1]
         z = (held[-1] @ w + o)[:, 0]
         loss = float(np.mean(np.logaddexp(0, z) - y * z))
@@ -73,7 +78,9 @@ class Network:
         for k in range(len(layers) - 1, -1, -1):
             out[:0] = [(held[k].T @ back).ravel(), back.sum(0)]
             if k:
-                back = (back @ layers[k][0].T) * (held[k] > 0) * masks[k - 1]
+                back = back @ layers[k][0].T
+                back *= held[k] > 0
+                back *= masks[k - 1]
         return loss, np.concatenate(out)
 
 
@@ -96,23 +103,37 @@ def steps(net: Network, state: State, x: np.ndarray, y: np.ndarray, budget: Budg
     """Mini-batch steps over the rows of a block in a random order: clipped gradient, Adam, decay apart from the gradient."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
+    x, y = x[order], y[order]
     keep = 1 - budget.dropout
+    hidden = net.sizes[1:-1]
+    w, first, second, room = state.weights, state.first, state.second, np.empty_like(state.weights)
     for at in range(0, len(y), batch):
-        pick = order[at:at + batch]
-        masks = [(rng.random((len(pick), n)) < keep) / keep for n in net.sizes[1:-1]]
-        loss, g = net.gradient(state.weights, x[pick], y[pick], masks)
+        rows = min(batch, len(y) - at)
+        masks = [(rng.random((rows, n)) < keep) * (1 / keep) for n in hidden]
+        loss, g = net.gradient(w, x[at:at + rows], y[at:at + rows], masks)
         norm = float(np.sqrt(g @ g))
         state.norm = max(state.norm, norm)
         if norm > budget.clip:
             g *= budget.clip / norm
             state.clipped += 1
         state.steps += 1
-        state.first += 0.1 * (g - state.first)
-        state.second += 0.001 * (g * g - state.second)
-        state.weights *= 1 - budget.rate * budget.decay
-        state.weights -= budget.rate * (state.first / (1 - 0.9 ** state.steps)) / (np.sqrt(state.second / (1 - 0.999 ** state.steps)) + 1e-8)
-        state.rows += len(pick)
-        state.loss += loss * len(pick)
+        # in place: first += 0.1 (g - first), second += 0.001 (g g - second)
+        np.subtract(g, first, out=room)
+        room *= 0.1
+        first += room
+        g *= g
+        g -= second
+        g *= 0.001
+        second += g
+        np.divide(second, 1 - 0.999 ** state.steps, out=room)
+        np.sqrt(room, out=room)
+        room += 1e-8
+        np.divide(first, room, out=room)
+        room *= budget.rate / (1 - 0.9 ** state.steps)
+        w *= 1 - budget.rate * budget.decay
+        w -= room
+        state.rows += rows
+        state.loss += loss * rows
         state.updates += 1
 
 
@@ -125,15 +146,30 @@ def _sum(a: dict[int, State], b: dict[int, State]) -> dict[int, State]:
     return out
 
 
+def _by_rows(packed: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(packed, np.float32).reshape(width, -1).T.astype(float, order="C")
+
+
+def _picked(x: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Columns of a row-major block; the first ones without a copy."""
+    return x[:, :len(cols)] if np.array_equal(cols, np.arange(len(cols))) else x[:, cols]
+
+
+def _per_core(rows: RDD) -> RDD:
+    """Blocks of several stored partitions to one task, where there are more of them than cores."""
+    cores = rows.context.defaultParallelism
+    return rows.coalesce(cores) if rows.getNumPartitions() > cores else rows
+
+
 def _round(rows: RDD, work: dict[int, tuple[Network, State, np.ndarray]], width: int, budget: Budget, batch: int, epoch: int) -> dict[int, State]:
     """One epoch of every fit: the sums of the tasks' states weighted by their rows."""
 
     def part(found):
         out = {k: State(s.weights.copy(), s.first.copy(), s.second.copy(), s.steps) for k, (_, s, _) in work.items()}
         for block, _, y, packed in found:
-            x = np.frombuffer(packed, np.float32).reshape(width, -1).astype(float)
+            x = _by_rows(packed, width)
             for k, (net, _, cols) in work.items():
-                steps(net, out[k], x[cols].T, y, budget, batch, [budget.seed, epoch, block])
+                steps(net, out[k], _picked(x, cols), y, budget, batch, [budget.seed, epoch, block])
         for s in out.values():
             s.weights, s.first, s.second, s.steps = (v * s.rows for v in (s.weights, s.first, s.second, s.steps))
         return out if all(s.rows for s in out.values()) else None
@@ -145,9 +181,9 @@ def _looked(rows: RDD, work: dict[int, tuple[Network, State, np.ndarray]], width
     def part(found):
         out: dict = {}
         for _, _, y, packed in found:
-            x = np.frombuffer(packed, np.float32).reshape(width, -1).astype(float)
+            x = _by_rows(packed, width)
             for k, (net, s, cols) in work.items():
-                out = B.add_counts(out, {k: B.counted(net.logits(s.weights, x[cols].T), y)})
+                out = B.add_counts(out, {k: B.counted(net.logits(s.weights, _picked(x, cols)), y)})
         return out
 
     return B.total(rows, part, B.add_counts) or {}
@@ -210,7 +246,8 @@ def fit(train: DataFrame, tuning: DataFrame, feature_sets: dict[str, list[str]],
     n, pos = B.total(rows, lambda found: sum((np.array([len(y), y.sum()]) for _, _, y, _ in found), np.zeros(2)), np.add)
     if not 0 < pos < n:
         raise ValueError("both classes are needed to fit")
-    batch = max(64, budget.batch // rows.getNumPartitions())
+    tasks = _per_core(rows)
+    batch = max(64, budget.batch // tasks.getNumPartitions())
     courses, work, waits = [], {}, {}
     for k, (name, cols) in enumerate(feature_sets.items()):
         net = Network(len(cols), budget.hidden)
@@ -219,7 +256,7 @@ def fit(train: DataFrame, tuning: DataFrame, feature_sets: dict[str, list[str]],
         work[k] = (net, State(weights, np.zeros_like(weights), np.zeros_like(weights)), np.array([columns.index(c) for c in cols]))
         waits[k] = Patience(budget.patience, budget.reset)
     for epoch in range(1, budget.epochs + 1):
-        sums = _round(rows, work, len(columns), budget, batch, epoch)
+        sums = _round(tasks, work, len(columns), budget, batch, epoch)
         for k, s in sums.items():
             net, _, cols = work[k]
             mean = State(*(v / s.rows for v in (s.weights, s.first, s.second, s.steps)))

@@ -255,6 +255,20 @@ def test_perceptron_equals_rounds_in_numpy(spark, data):
     assert [h[2] for h in course.history] == pytest.approx(history) and course.best == 1 + int(np.argmax(history)) and course.executed == 4
 
 
+def test_rounds_have_no_more_tasks_than_cores(spark, data, monkeypatch):
+    """More stored partitions bring longer tasks, not smaller steps."""
+    df, cores, seen = data[0], spark.sparkContext.defaultParallelism, []
+    plain = N._round
+    monkeypatch.setattr(N, "_round", lambda rows, work, width, budget, batch, epoch: seen.append((rows.getNumPartitions(), batch)) or plain(rows, work, width, budget, batch, epoch))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        course, = N.fit(df.where("case_id < 400").repartition(3 * cores, "case_id"), df.where("case_id >= 400"), {"T": ["a", "b", "c"]}, N.Budget(epochs=1))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert seen == [(cores, max(64, 4096 // cores))] and course.executed == 1
+
+
 def test_perceptron_learns_and_scores(data):
     df = data[0]
     fits = Y.fit_mlp(df.where("case_id < 400"), df.where("case_id >= 400"), {"T": ["a", "b"], "T_plus_AD": ["a", "b", "c"]}, N.Budget(epochs=12, rate=0.01, batch=256))
