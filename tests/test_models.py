@@ -29,6 +29,27 @@ def test_logit_matches_the_penalised_optimum(data):
     assert r.selected and r.eligible and r.sample_count == 200
 
 
+def test_logits_of_all_feature_sets_read_rows_prepared_once(data, monkeypatch):
+    df, *_ = data
+    train, tuning, sets = df.where("case_id < 400"), df.where("case_id >= 400"), {"T": ["a", "b"], "T_plus_AD": ["a", "b", "c"]}
+    alone = {s: [r.asDict() for r in Y.fit_logit(train, tuning, cols).candidates.drop("feature_set").orderBy("candidate_id").collect()] for s, cols in sets.items()}
+    made, widths = [], []
+    plain, at_once = Y.assemble, Y.at_once
+    monkeypatch.setattr(Y, "assemble", lambda m, f, keep: made.append(list(f)) or plain(m, f, keep))
+    monkeypatch.setattr(Y, "at_once", lambda spark, fn, items, width: widths.append(width) or at_once(spark, fn, items, width))
+    for most in (Y.SIDE_BY_SIDE, 399):
+        monkeypatch.setattr(Y, "SIDE_BY_SIDE", most)
+        fits = Y.fit_logits(train, tuning, sets)
+        assert list(fits) == ["T", "T_plus_AD"]
+        for s, f in fits.items():
+            rows = f.candidates.orderBy("candidate_id").collect()
+            assert {r.feature_set for r in rows} == {s} and sum(r.selected for r in rows) == 1
+            for r, a in zip(rows, alone[s], strict=True):
+                assert (r.candidate_id, r.iterations, r.selected, r.average_precision) == (a["candidate_id"], a["iterations"], a["selected"], a["average_precision"])
+            assert Y.score_checks(f.score(df)).first().scored_rows == 600
+    assert made[:2] == [["T", "T_plus_AD"]] * 2 and made.count(["T", "T_plus_AD"]) == 4 and widths == [4, 1]
+
+
 def test_candidate_choice(spark):
     rows = [("f", "a", 0.50000, 0.30, 3, True), ("f", "b", 0.49995, 0.20, 2, True), ("f", "c", 0.49995, 0.20, 1, True), ("f", "d", 0.40, 0.01, 1, True),
             ("f", "e", 0.9, 0.01, 1, False)]

@@ -23,6 +23,26 @@ def test_split_counts_are_exact(spark):
     assert P.make_splits(labelled(spark, 970, 30), "k", "y", 2).join(s.select("k", F.col("outer_split").alias("o")), "k").where("o <> outer_split").count() > 0
 
 
+def test_split_equals_the_ranked_order_without_ranking_all_rows(spark, monkeypatch):
+    """The same members as row numbers give, found without a range shuffle of the rows; few, equal and missing labels included."""
+    monkeypatch.setattr(P, "running", None)
+    df = spark.range(3000).select(F.col("id").alias("k"), F.expr("CASE WHEN id < 2900 THEN 0 WHEN id < 2980 THEN 1 WHEN id < 2982 THEN 2 END").alias("y"))
+    df.createOrReplaceTempView("split_source")
+    want = {(r.k, r.outer_split, r.validation_role) for r in spark.sql("""
+        SELECT k, CASE WHEN rn <= e THEN 'evaluation' WHEN rn <= e + v THEN 'validation' ELSE 'train' END AS outer_split,
+               CASE WHEN rn > e AND rn <= e + v THEN CASE WHEN rn <= e + bround(v * 0.5D, 0) THEN 'validation_calibration' ELSE 'validation_tuning' END END AS validation_role
+        FROM (SELECT *, bround((n - e) * (15D / 85D), 0) AS v FROM (SELECT *, bround(n * 0.15D, 0) AS e FROM (
+            SELECT k, row_number() OVER (PARTITION BY y ORDER BY md5(concat('s|', k)), k) AS rn, count(*) OVER (PARTITION BY y) AS n FROM split_source)))""").collect()}
+    got = P.make_splits(df, "k", "y", "s")
+    assert got.columns == ["k", "y", "outer_split", "validation_role"]
+    assert {(r.k, r.outer_split, r.validation_role) for r in got.collect()} == want and len(want) == 3000
+    for digits in (0, 1, 32):
+        monkeypatch.setattr(P, "COUNTED_DIGITS", digits)
+        assert {(r.k, r.outer_split, r.validation_role) for r in P.make_splits(df, "k", "y", "s").collect()} == want
+    monkeypatch.setattr(P, "BROADCAST_OFFSETS", 0)
+    assert {(r.k, r.outer_split, r.validation_role) for r in P.make_splits(df, "k", "y", "s").collect()} == want
+
+
 def test_folds_are_balanced(spark):
     f = P.fold_summary(P.common_folds(labelled(spark, 52, 13), "k", "y", 5, "s"), "y").collect()
     assert sorted(r.positive_count for r in f) == [2, 2, 3, 3, 3] and sum(r.row_count for r in f) == 65
