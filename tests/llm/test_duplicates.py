@@ -132,6 +132,28 @@ def test_radix_edges(spark):
     assert sorted(n for _, n in got) == [0, 0, 0, 60] or sorted(n for _, n in got)[:3] == [0, 0, 0]
 
 
+def test_radix_texts_stay_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(radix, "BATCH_BYTES", 3000)
+    rows = some_texts(8, 200)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    done = radix.remove_repeats(docs, width=40)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    texts = [line for line in plan.splitlines() if "blob" in line and "FileScan" in line]
+    assert texts and all("Bucketed: true" in line for line in texts)
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(batch" in line and "blob" in line] and "SortMergeJoin" not in plan
+    assert {r.doc_id: r.n_removed for r in radix.digests(done).collect()} == {k: v[1] for k, v in plain_removal(rows, 40).items()}
+
+
+def test_radix_batch_numbers(spark):
+    ids = np.array([0, 1, -1, 1 << 33, (5 << 33) + 77, 2 ** 62, -2 ** 40])
+    want = [r.h for r in spark.createDataFrame([(i, int(x)) for i, x in enumerate(ids)], "i int, x long").selectExpr("i", "pmod(hash(x), 24) AS h").orderBy("i").collect()]
+    assert radix.home(ids, 24).tolist() == want
+    for part, buckets in ((0, 1), (3, 24), (700, 211)):
+        found = np.array([n for n, _ in zip(radix.numbers(part, buckets), range(3 * radix.BUCKET_BATCHES))])
+        assert (np.diff(found) > 0).all() and found[0] >= part << 33 and found[-1] < part + 1 << 33
+        assert radix.home(found, buckets).tolist() == np.repeat([(part + k) % buckets for k in range(3)], radix.BUCKET_BATCHES).tolist()
+
+
 # --- positional index ---------------------------------------------------------------------------------------------
 
 def plain_words(text):
