@@ -146,8 +146,8 @@ def _sum(a: dict[int, State], b: dict[int, State]) -> dict[int, State]:
     return out
 
 
-def _by_rows(packed: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(packed, np.float32).reshape(width, -1).T.astype(float, order="C")
+def _by_rows(packed: bytes, width: int, rows: int) -> np.ndarray:
+    return np.frombuffer(B.opened(packed, 4 * width * rows), np.float32).reshape(width, rows).T.astype(float, order="C")
 
 
 def _picked(x: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -167,7 +167,7 @@ def _round(rows: RDD, work: dict[int, tuple[Network, State, np.ndarray]], width:
     def part(found):
         out = {k: State(s.weights.copy(), s.first.copy(), s.second.copy(), s.steps) for k, (_, s, _) in work.items()}
         for block, _, y, packed in found:
-            x = _by_rows(packed, width)
+            x = _by_rows(packed, width, len(y))
             for k, (net, _, cols) in work.items():
                 steps(net, out[k], _picked(x, cols), y, budget, batch, [budget.seed, epoch, block])
         for s in out.values():
@@ -181,7 +181,7 @@ def _looked(rows: RDD, work: dict[int, tuple[Network, State, np.ndarray]], width
     def part(found):
         out: dict = {}
         for _, _, y, packed in found:
-            x = _by_rows(packed, width)
+            x = _by_rows(packed, width, len(y))
             for k, (net, s, cols) in work.items():
                 out = B.add_counts(out, {k: B.counted(net.logits(s.weights, _picked(x, cols)), y)})
         return out
@@ -241,7 +241,7 @@ class Course:
 def fit(train: DataFrame, tuning: DataFrame, feature_sets: dict[str, list[str]], budget: Budget = Budget(), key: str = "case_id", label: str = "target") -> list[Course]:
     """One network per feature set; rows may hold no null."""
     columns = list(dict.fromkeys(c for cols in feature_sets.values() for c in cols))
-    pack = lambda x: x.astype(np.float32).tobytes()
+    pack = lambda x: B.pressed(x.astype(np.float32))
     rows, looks = B.store(train, columns, "dense-train", key, label, pack), B.store(tuning, columns, "dense-tuning", key, label, pack)
     n, pos = B.total(rows, lambda found: sum((np.array([len(y), y.sum()]) for _, _, y, _ in found), np.zeros(2)), np.add)
     if not 0 < pos < n:

@@ -1,4 +1,7 @@
+import pathlib
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,6 +240,22 @@ def test_sums_are_added_by_executors_beyond_a_bound(spark, monkeypatch):
 
 # --- perceptron -------------------------------------------------------------------------------------------------------
 
+def test_stored_blocks_are_written_and_read_few_at_a_time(spark, monkeypatch):
+    """A row is a whole block: a row group closes by its bytes, not after a hundred rows."""
+    paths, plain = [], K.scratch_path
+    monkeypatch.setattr(K, "scratch_path", lambda *a: paths.append(plain(*a)) or paths[-1])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        rows = K.store(spark.range(0, 8000, 1, 4).selectExpr("id AS case_id", "1 AS target", "id AS a"), ["a"], "wide", "case_id", "target",
+                       lambda x: np.random.default_rng(int(x[0, 0])).bytes(1 << 20))
+        assert rows.map(lambda r: (len(r[1]), len(r[3]))).distinct().collect() == [(50, 1 << 20)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    groups = [pq.ParquetFile(f).metadata.row_group(k) for f in pathlib.Path(paths[0].removeprefix("file:")).glob("part-*.parquet") for k in range(pq.ParquetFile(f).num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 160 and max(g.num_rows for g in groups) <= 18
+
+
 def test_gradient_equals_differences():
     rng = np.random.default_rng(5)
     net = N.Network(3, (4, 2))
