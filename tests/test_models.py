@@ -1,4 +1,5 @@
 import pathlib
+import pickle
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -256,6 +257,19 @@ def test_stored_blocks_are_written_and_read_few_at_a_time(spark, monkeypatch):
     assert sum(g.num_rows for g in groups) == 160 and max(g.num_rows for g in groups) <= 18
 
 
+def test_blocks_travel_compressed():
+    rng = np.random.default_rng(3)
+    bins = np.stack([rng.integers(0, 100, 5000), *(rng.random((40, 5000)) < 0.01)]).astype(np.uint8)
+    for values in (bins, bins[:, :0], rng.random((2, 3))):
+        assert bytes(K.opened(K.pressed(values), values.nbytes)) == values.tobytes()
+    lay = X.Layout([f"c{k}" for k in range(41)], [np.arange(99.0), *[np.zeros(1)] * 40])
+    block = X._Block((0, np.arange(5000), np.zeros(5000), K.pressed(bins)), lay)
+    plain = X._Block((0, np.arange(5000), np.zeros(5000), bins.tobytes()), lay)
+    packed = pickle.dumps(block)
+    assert len(packed) < 0.6 * (len(pickle.dumps(plain)))
+    assert np.array_equal(pickle.loads(packed).bins, bins) and np.array_equal(pickle.loads(pickle.dumps(plain)).bins, bins)
+
+
 def test_gradient_equals_differences():
     rng = np.random.default_rng(5)
     net = N.Network(3, (4, 2))
